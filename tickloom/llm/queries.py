@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts
+from . import bpe, simhash, token_counts
 from .common import table, workers_find_us
 from .vocabulary import default_path
 
@@ -24,6 +24,12 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return registered
 
 
+@query
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all documents, decodes the ids, and gives digests of both."""
