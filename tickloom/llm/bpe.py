@@ -26,7 +26,7 @@ from .vocabulary import Vocabulary, vocabulary
 
 NEVER = 1 << 60
 #: Pre-tokens that a worker remembers: a bound of memory, not of the work.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 250_000
 
 
 class PrefixEncoder:
@@ -74,7 +74,7 @@ class PrefixEncoder:
 
     def compatible(self, a: int, b: int) -> bool:
         fits = not self.crossed(a, b)
-        if len(self.pairs) < 500_000:  # bounds the memory, not the work
+        if len(self.pairs) < 250_000:  # bounds the memory, not the work
             self.pairs[a << 32 | b] = fits
         return fits
 

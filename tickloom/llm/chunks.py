@@ -17,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded together, and chunks that a worker remembers: bounds of memory, not of the work.
-SLICE_BYTES = 6 << 20
-REMEMBERED = 300_000
+SLICE_BYTES = 4 << 20
+REMEMBERED = 150_000
 
 CUT = re.compile(r"(?<=.)(?= \S)", re.S)
 
