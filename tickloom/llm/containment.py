@@ -63,7 +63,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if sketch.count() <= BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
     plain = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
-    held = plain.select("id", hashes("words", size).alias("hs")).select("id", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    held = plain.select("id", hashes("words", size).alias("hs")).select("id", F.size("hs").alias("n"), F.explode_outer("hs").alias("h"))  # explode() would add a filter that computes hs anew for each use
     candidates = saved(held.join(sketch, "h").where("n >= needed").groupBy("id", "item").agg(F.lit(1).alias("one")).select(F.col("id").alias("of"), "item"), "candidates")
     wanted = candidates.groupBy("of").agg(F.collect_set("item").alias("list"), F.max(F.col("item").isNull()).alias("also_null"))
     texts = plain.join(wanted, F.col("id").eqNullSafe(F.col("of"))).withColumn("have", shingles("words", size))
@@ -76,8 +76,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 ORACLE = r"""
 WITH grams AS (
   SELECT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                          ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g
-  FROM (SELECT kind, id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), x -> x <> '') AS w
+                          ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM (SELECT kind, id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
         FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark))),
 items AS (SELECT DISTINCT id, g FROM grams WHERE kind = 'i'),
 docs AS (SELECT DISTINCT id, g FROM grams WHERE kind = 'd'),

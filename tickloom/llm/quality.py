@@ -72,7 +72,8 @@ def references(docs: DataFrame, language: Column, text: Column) -> DataFrame:
     chars = class_counts(plain, F.col("body")).groupBy("language").agg(*(F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)))
     total = sum((F.col(f"c{i}") for i in range(1, len(CLASSES) + 1)), F.col("c0"))
     chars = chars.select("language", F.array(*(F.coalesce(F.try_divide(f"c{i}", total), F.lit(0.0)) for i in range(len(CLASSES) + 1))).alias("class_shares"))
-    words = plain.select("language", F.explode(F.array_remove(F.split(spelled(F.col("body")), " +"), "")).alias("word"))
+    # explode() would add a filter that splits each text once more
+    words = plain.select("language", F.explode_outer(F.array_remove(F.split(spelled(F.col("body")), " +"), "")).alias("word")).where("word is not null")
     # longer words count for the total only
     counted = words.groupBy("language", F.when(F.length("word") <= SHORT, F.col("word")).alias("word")).agg(F.count("*").alias("n"))
     totals = counted.groupBy("language").agg(F.sum("n").alias("all_words"))
