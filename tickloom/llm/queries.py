@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, containment, quality, simhash, token_counts
-from .common import table, workers_find_us
+from . import bpe, chat, containment, quality, simhash, token_counts, token_files
+from .common import new_dir, table, workers_find_us
 from .vocabulary import default_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' ids as files and gives what is read back from them."""
+    target = new_dir(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), target, default_path(), end_id=2)
+    return token_files.read_tokens(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), default_path())
