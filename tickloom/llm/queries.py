@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, containment, quality, simhash, token_counts, token_files
+from . import bpe, chat, containment, quality, shards, simhash, site_style, token_counts, token_files, warc
 from .common import new_dir, table, workers_find_us
 from .vocabulary import default_path
 
@@ -24,6 +24,21 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return registered
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three arrivals of documents, compacted; what the last version's files hold."""
+    docs = table(spark, sf_dir, "documents")
+    store = shards.Store(spark, new_dir(spark, "shards"), docs.schema, target_bytes=64 << 20, rows_a_shard=2_000)
+    for arrival in range(3):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == arrival))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+ORACLE["op1_sharding"] = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
+
 @query
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -37,6 +52,25 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@query
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as responses in WARC files, their derivatives in others; a row for each page from what is read back."""
+    sources, derived = new_dir(spark, "warc"), new_dir(spark, "warc-derived")
+    warc.write_warc(warc.responses(table(spark, sf_dir, "pages")), sources)
+    warc.write_warc(warc.derive(warc.read_warc(spark, sources)), derived)
+    found = warc.read_warc(spark, derived)
+    field = lambda name: F.regexp_extract(F.decode("block", "UTF-8"), rf"(?m)^{name}: (.*?)\r?$", 1)
+    rows = found.select(
+        F.col("headers")["X-Source-Row"].cast("long").alias("page_id"),
+        F.col("headers")["WARC-Refers-To"].alias("refers_to"),
+        F.col("headers")["WARC-Target-URI"].alias("url"),
+        F.struct(F.col("headers")["WARC-Type"].alias("kind"), F.col("headers")["WARC-Record-ID"].alias("id"), F.col("headers")["WARC-Concurrent-To"].alias("with_"), F.when(F.col("headers")["WARC-Type"] == "metadata", field("source-payload-digest")).alias("payload"), F.when(F.col("headers")["WARC-Type"] == "metadata", field("source-header-Content-Length").cast("long")).alias("n_bytes"), F.sha2("block", 256).alias("sha256"), F.length(F.decode("block", "UTF-8")).cast("long").alias("n_chars")).alias("r"),
+    )
+    kind = lambda name, column: F.max(F.when(F.col("r.kind") == name, F.col(f"r.{column}")))
+    pages = rows.groupBy("page_id", "refers_to", "url").agg(kind("metadata", "id").alias("metadata_id"), kind("conversion", "id").alias("conversion_id"), kind("metadata", "payload").alias("payload_digest"), kind("metadata", "n_bytes").alias("n_bytes"), kind("conversion", "n_chars").alias("n_chars"), kind("conversion", "sha256").alias("text_sha256"), (kind("metadata", "with_") == kind("conversion", "id")).alias("linked"))
+    return pages
+
+
 @query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that it contains."""
@@ -73,6 +107,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), default_path())
