@@ -73,6 +73,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return found.where(F.col("n_shared") >= threshold * F.col("n_shingles") - 1e-9).distinct().select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_shared", "n_shingles")
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
+    """The rows of ``docs`` that contain none of ``items``, with all their columns; all rows of an id go together."""
+    found = saved(contaminated(docs, items, id_col, **options).select(F.col(id_col).alias("_found")).distinct(), "contaminated")
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_found")), "left_anti")
+
+
 ORACLE = r"""
 WITH grams AS (
   SELECT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]

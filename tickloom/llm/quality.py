@@ -92,15 +92,11 @@ def distance(shares: Column, others: Column) -> Column:
     return F.sqrt(F.greatest(twice / 2, F.lit(0.0)))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang") -> DataFrame:
-    """Returns ``id_col``, the five base counts, base_failed, char_distance, word_distance (null: exempt) and kept.
-
-    A null text has no words and fails; a null language is a language of its own; repeated rows each give a row. Other
-    columns are left behind, so clashing names do no harm. An empty table gives no rows.
-    """
+def judged(docs: DataFrame, text_col: str, language_col: str) -> DataFrame:
+    """The rows of ``docs`` as the struct ``row``, with base (struct), base_failed, both distances and kept."""
     text, language = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(language_col), F.lit(""))
     known = saved(references(docs, language, text), "language")
-    plain = docs.select(F.col(id_col).alias("id"), language.alias("language"), text.alias("body"))
+    plain = docs.select(F.struct("*").alias("row"), language.alias("language"), text.alias("body"))
     counted = class_counts(base_counts(plain, F.col("body")), F.col("body")).withColumn("spelled", spelled(F.col("body"))).drop("body")
     joined = counted.join(known, "language", "left").withColumn("n", F.length("spelled") - F.length(F.replace("spelled", F.lit("  "), F.lit(" "))) + 1)
     n_chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -110,5 +106,24 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     words = distance(F.concat("hits", F.array(rest(F.col("hits")))), F.concat(shares, F.array(rest(shares))))
     enough = (F.col("base.n_words") >= LEAST_WORDS) & (F.col("all_words") >= LEAST_REFERENCE)
     chars = distance(F.transform("classes", lambda c: c / n_chars), F.col("class_shares"))
-    judged = found.select(F.col("id").alias(id_col), "base.*", ((F.col("base.n_words") < 50) | (100 * F.col("base.n_repeat_words") > 50 * F.col("base.n_words"))).alias("base_failed"), F.when(enough, chars).alias("char_distance"), F.when(enough, words).alias("word_distance"))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= FAR_CHARS) & (F.coalesce("word_distance", F.lit(0.0)) <= FAR_WORDS + NOISE / F.sqrt("n_words")))
+    failed = (F.col("base.n_words") < 50) | (100 * F.col("base.n_repeat_words") > 50 * F.col("base.n_words"))
+    measured = found.select("row", "base", failed.alias("base_failed"), F.when(enough, chars).alias("char_distance"), F.when(enough, words).alias("word_distance"))
+    near = (F.coalesce("char_distance", F.lit(0.0)) <= FAR_CHARS) & (F.coalesce("word_distance", F.lit(0.0)) <= FAR_WORDS + NOISE / F.sqrt(F.greatest(F.col("base.n_words"), F.lit(1))))
+    return measured.withColumn("kept", ~F.col("base_failed") & near)
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", language_col: str = "lang") -> DataFrame:
+    """Returns ``id_col``, the five base counts, base_failed, char_distance, word_distance (null: exempt) and kept.
+
+    A null text has no words and fails; a null language is a language of its own; repeated rows each give a row. Other
+    columns are left behind, so clashing names do no harm. An empty table gives no rows.
+    """
+    found = judged(docs.select(id_col, text_col, language_col), text_col, language_col)
+    return found.select(F.col("row")[id_col].alias(id_col), "base.*", "base_failed", "char_distance", "word_distance", "kept")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", language_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    # the row number keeps the filter above the projection; below it, every use of an array would compute it anew
+    numbered = judged(docs, text_col, language_col).select("row", "kept", F.monotonically_increasing_id().alias("number"))
+    return numbered.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")

@@ -230,3 +230,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each group of near duplicates, with all their columns.
+
+    Rows with one id are one document: one of them stays. Rows with a null id can't be told apart and stay.
+    """
+    found = saved(near_duplicates(docs, id_col, text_col, size), "near-duplicates").where(F.col(id_col).isNotNull())
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if found.groupBy(id_col).count().where("count > 1").isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
