@@ -1,15 +1,51 @@
-"""A corpus pipeline over ``documents``."""
+"""A corpus pipeline over ``documents``: quality rules, near-duplicates, decontamination, BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of
+the next. All but the last return the columns of ``documents``. run() applies them to the table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import bpe, containment, quality, simhash
+from tickloom.llm.common import saved, table, workers_find_us
+from tickloom.llm.vocabulary import default_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules go."""
+    workers_find_us(spark)
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: word shingles of five."""
+    workers_find_us(spark)
+    return simhash.keep_one(docs, size=5)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with 0.8 or more of a benchmark item's five-word shingles go."""
+    workers_find_us(spark)
+    return containment.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document, and digests of them and of what they decode to."""
+    workers_find_us(spark)
+    decoded = bpe.decode(bpe.encode(docs, default_path()), default_path())
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"), "ids")
+
 
-STAGES: list = []
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("bpe_codec", bpe_codec)]
+#: SQL can't express BPE; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
