@@ -1,4 +1,15 @@
 """All queries of the engine over the test tables, by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import queries_bars, queries_joins
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+for module in (queries_bars, queries_joins):
+    QUERIES.update(module.REGISTER.queries)
+    ORACLE.update(module.REGISTER.oracle)
