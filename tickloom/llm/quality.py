@@ -75,7 +75,7 @@ def references(docs: DataFrame, language: Column, text: Column) -> DataFrame:
     # explode() would add a filter that splits each text once more
     words = plain.select("language", F.explode_outer(F.array_remove(F.split(spelled(F.col("body")), " +"), "")).alias("word")).where("word is not null")
     # longer words count for the total only
-    counted = words.groupBy("language", F.when(F.length("word") <= SHORT, F.col("word")).alias("word")).agg(F.count("*").alias("n"))
+    counted = saved(words.groupBy("language", F.when(F.length("word") <= SHORT, F.col("word")).alias("word")).agg(F.count("*").alias("n")), "words")
     totals = counted.groupBy("language").agg(F.sum("n").alias("all_words"))
     common = counted.join(totals, "language").where("word is not null").withColumn("share", F.col("n") / F.col("all_words")).where(F.col("share") >= COMMON)
     lists = common.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("word", "share"))).alias("common"))
@@ -98,9 +98,9 @@ def judged(docs: DataFrame, text_col: str, language_col: str) -> DataFrame:
     known = saved(references(docs, language, text), "language")
     plain = docs.select(F.struct("*").alias("row"), language.alias("language"), text.alias("body"))
     counted = class_counts(base_counts(plain, F.col("body")), F.col("body")).withColumn("spelled", spelled(F.col("body"))).drop("body")
-    joined = counted.join(known, "language", "left").withColumn("n", F.length("spelled") - F.length(F.replace("spelled", F.lit("  "), F.lit(" "))) + 1)
+    joined = counted.join(known, "language", "left").withColumn("n", F.octet_length("spelled") - F.octet_length(F.replace("spelled", F.lit("  "), F.lit(" "))) + 1)
     n_chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    found = joined.withColumn("hits", F.transform("common", lambda c: (F.length("spelled") - F.length(F.replace(F.col("spelled"), F.concat(F.lit(" "), c["word"], F.lit(" ")), F.lit("")))) / (F.length(c["word"]) + 2) / F.col("n")))
+    found = joined.withColumn("hits", F.transform("common", lambda c: (F.octet_length("spelled") - F.octet_length(F.replace(F.col("spelled"), F.concat(F.lit(" "), c["word"], F.lit(" ")), F.lit("")))) / (F.octet_length(c["word"]) + 2) / F.col("n")))
     rest = lambda shares: F.greatest(F.lit(0.0), 1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))
     shares = F.transform("common", lambda c: c["share"])
     words = distance(F.concat("hits", F.array(rest(F.col("hits")))), F.concat(shares, F.array(rest(shares))))
