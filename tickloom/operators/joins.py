@@ -47,12 +47,12 @@ def within(events: DataFrame, rows: DataFrame, by: str, start: Column, end: Colu
     """
     width = span_seconds * SECOND
     bucket = lambda x: F.floor(micros(x) / width)
-    e = events.select("*", start.alias("_start"), end.alias("_end"))
-    e = e.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(F.col("_start")), bucket(F.col("_end"))))))
+    e = events.select("*", start.alias("_from"), end.alias("_upto"))
+    e = e.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(F.col("_from")), bucket(F.col("_upto"))))))
     r = rows.select(F.col(by).alias("_rby"), F.col(ts).alias("_rts"), *[c for c in rows.columns if c not in (by, ts)]).withColumn("_rbucket", bucket(F.col("_rts")))
-    low = F.col("_rts") >= F.col("_start") if include_start else F.col("_rts") > F.col("_start")
-    joined = e.join(r, (F.col(by) == F.col("_rby")) & (F.col("_bucket") == F.col("_rbucket")) & low & (F.col("_rts") <= F.col("_end")), how)
-    return joined.withColumnRenamed("_rts", f"row_{ts}").drop("_start", "_end", "_bucket", "_rby", "_rbucket")
+    low = F.col("_rts") >= F.col("_from") if include_start else F.col("_rts") > F.col("_from")
+    joined = e.join(r, (F.col(by) == F.col("_rby")) & (F.col("_bucket") == F.col("_rbucket")) & low & (F.col("_rts") <= F.col("_upto")), how)
+    return joined.withColumnRenamed("_rts", f"row_{ts}").drop("_from", "_upto", "_bucket", "_rby", "_rbucket")
 
 
 def full_outer(frames: list[DataFrame], keys: list[str]) -> DataFrame:
