@@ -111,7 +111,7 @@ def agg_trades(raw: DataFrame, symbol: str) -> DataFrame:
 
 def book_ticker(raw: DataFrame, symbol: str) -> DataFrame:
     d = normalized(raw)
-    ts = in_ms(needed(d, "ts", "event_time", "transaction_time", "timestamp", "ts_ms"))
+    ts = in_ms(needed(d, "ts", "event_time", "transaction_time", "transact_time", "timestamp", "ts_ms"))
     update = first_of(d, "update_id", "u")
     return enforce(d.select(ts.alias("ts"), (number(update, "long") if update is not None else ts).alias("update_id"), *(number(needed(d, *names)).alias(out) for out, names in (("bid_price", ("bid_price", "best_bid_price", "bidpx")), ("bid_qty", ("bid_qty", "best_bid_qty", "bidsz")), ("ask_price", ("ask_price", "best_ask_price", "askpx")), ("ask_qty", ("ask_qty", "best_ask_qty", "asksz")))), F.lit(symbol).alias("symbol")), "book_ticker")
 
