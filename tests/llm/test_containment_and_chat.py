@@ -10,7 +10,7 @@ from tickloom.llm.queries import ORACLE, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op5_decontamination", "op6_chat_format"])
+@pytest.mark.parametrize("name", ["op5_decontamination", "op6_chat_format", "op7_quality_rules"])
 def test_queries_against_sql(spark, name):
     c = duckdb.connect()
     for t in ("documents", "benchmark", "conversations"):

@@ -127,3 +127,38 @@ def keep_good(docs: DataFrame, text_col: str = "text", language_col: str = "lang
     # the row number keeps the filter above the projection; below it, every use of an array would compute it anew
     numbered = judged(docs, text_col, language_col).select("row", "kept", F.monotonically_increasing_id().alias("number"))
     return numbered.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")
+
+
+#: The same in DuckDB's SQL.
+ORACLE = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS language, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+    regexp_replace(t, '\p{{Ll}}+', '', 'g') AS s1, ' ' || trim(regexp_replace(lower(t), '[^\p{{L}}]+', '  ', 'g')) || ' ' AS spelled FROM docs),
+c AS (
+  SELECT *, regexp_replace(s1, '\p{{Lu}}+', '', 'g') AS s2, regexp_replace(s2, '\p{{Nd}}+', '', 'g') AS s3, regexp_replace(s3, '[\x20\x09-\x0D]+', '', 'g') AS s4,
+    regexp_replace(s4, '[.,;:!?''()"-]+', '', 'g') AS s5, regexp_replace(s5, '[#*$%&|<>]+', '', 'g') AS s6,
+    [length(t) - length(s1), length(s1) - length(s2), length(s2) - length(s3), length(s3) - length(s4), length(s4) - length(s5), length(s5) - length(s6), length(s6)] AS classes FROM w),
+grams AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+often AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams),
+repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM often WHERE n > 1) GROUP BY r),
+words AS (SELECT language, x AS word, count(*) AS n FROM (SELECT language, unnest(list_filter(string_split(spelled, ' '), lambda x: x <> '')) AS x FROM w) GROUP BY ALL),
+totals AS (SELECT language, sum(n) AS all_words FROM words GROUP BY language),
+common AS (SELECT language, list({{'word': word, 'share': n / all_words}} ORDER BY word) AS common FROM words JOIN totals USING (language) WHERE length(word) <= {SHORT} AND n / all_words >= {COMMON} GROUP BY language),
+sums AS (SELECT language, list(s ORDER BY k) AS s FROM (SELECT language, k, sum(classes[k]) AS s FROM c, range(1, 8) AS x(k) GROUP BY ALL) GROUP BY language),
+found AS (
+  SELECT c.*, all_words, list_transform(s, lambda x: x / list_sum(s)) AS q, list_transform(classes, lambda x: x / list_sum(classes)) AS p, list_transform(common, lambda x: x.share) AS wq,
+    list_transform(common, lambda x: (strlen(spelled) - strlen(replace(spelled, ' ' || x.word || ' ', ''))) / (strlen(x.word) + 2) / (strlen(spelled) - strlen(replace(spelled, '  ', ' ')) + 1)) AS wp
+  FROM c JOIN sums USING (language) LEFT JOIN totals USING (language) LEFT JOIN common USING (language)),
+paired AS (
+  SELECT *, list_zip(p, q) AS pairs, list_zip(list_append(wp, greatest(0, 1 - list_sum(wp))), list_append(wq, greatest(0, 1 - list_sum(wq)))) AS word_pairs FROM found),
+far AS (
+  SELECT *, {{js}} FROM paired)
+SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(n, 0) > 50 * len(ws) AS base_failed,
+  NOT base_failed AND (all_words IS NULL OR all_words < {LEAST_REFERENCE} OR (coalesce(chars, 0) <= {FAR_CHARS} AND coalesce(near, 0) <= {FAR_WORDS} + {NOISE} / sqrt(len(ws)))) AS kept
+FROM far LEFT JOIN repeated USING (r)
+"""
+_TERM = "CASE WHEN x[1] > 0 THEN x[1] * log2(2 * x[1] / (x[1] + x[2])) ELSE 0 END + CASE WHEN x[2] > 0 THEN x[2] * log2(2 * x[2] / (x[1] + x[2])) ELSE 0 END"
+ORACLE = ORACLE.replace("{js}", ", ".join(f"sqrt(greatest(0, list_sum(list_transform({pairs}, lambda x: {_TERM})) / 2)) AS {name}" for pairs, name in (("pairs", "chars"), ("word_pairs", "near"))))

@@ -99,6 +99,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+ORACLE["op7_quality_rules"] = quality.ORACLE
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents' ids as files and gives what is read back from them."""
