@@ -49,9 +49,8 @@ NOISE_NAMES = set("ad ads adv advert advertisement adverts aside banner breadcru
 class Page:
     """One walk over a page's markup: blocks (text, whether in an article), and what each container node has."""
 
-    def __init__(self, html: str, low: frozenset[str] = frozenset(), stats: bool = False, whole: bool = False):
-        """``whole`` keeps all visible text, menus and the like included."""
-        self.low, self.stats, self.whole = low, stats, whole
+    def __init__(self, html: str, low: frozenset[str] = frozenset(), stats: bool = False):
+        self.low, self.stats = low, stats
         self.blocks: list[tuple[str, bool]] = []
         self.found: dict[tuple[str, str, str], None] = {}
         #: name, path, whether it goes, whether in an article, children
@@ -95,7 +94,6 @@ class Page:
             path = f"{path}/{name}.{names}" if names else f"{path}/{name}"
         bare = name in PLAIN and not names
         gone = gone or (name in NOISE and not (name == "header" and main)) or bool(names and NOISE_NAMES.intersection(re.split(r"[^a-z]+", names))) or (path in self.low and not (main and bare) and name not in ("html", "body", "article", "main"))
-        gone = name == "head" or self.stack[-1][2] if self.whole else gone
         main = main or name in ("article", "main") or "main" in names.split()
         self.stack.append((name, path, gone, main, []))
 
@@ -126,10 +124,44 @@ class Page:
                 self.blocks.append((text, self.stack[-1][3]))
 
     def main_text(self) -> str:
-        inside = [t for t, main in self.blocks if main and not self.whole]
+        inside = [t for t, main in self.blocks if main]
         return "\n".join(inside or [t for t, _ in self.blocks])
 
 
+def visible_text(html: str) -> str:
+    """All blocks of text that a page shows, menus and the like included, joined by line ends."""
+    blocks, text, at, head = [], [], 0, False
+
+    def flush() -> None:
+        if block := " ".join(unescape("".join(text)).split()):
+            blocks.append(block)
+        text.clear()
+
+    while m := TOKEN.search(html, at):
+        if not head:
+            text.append(html[at : m.start()])
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        if not name or name in INLINE and name != "wbr":
+            continue
+        if name in VOID:
+            text.append(" ")
+            continue
+        flush()
+        closes = m[1] or m[4]
+        if name == "head":
+            head = not closes
+        elif name == "body":
+            head = False
+        elif name in RAW and not closes:
+            end = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(html, at)
+            at = end.end() if end else len(html)
+    if not head:
+        text.append(html[at:])
+    flush()
+    return "\n".join(blocks)
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 

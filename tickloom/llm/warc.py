@@ -8,6 +8,7 @@ Files hold a bounded number of records.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .site_style import Page
+from .site_style import visible_text
 
 RECORDS_A_FILE = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -99,13 +100,13 @@ def derive(sources: DataFrame) -> DataFrame:
     fields; the conversion block is the visible text in UTF-8. A payload that doesn't match its digest is marked so.
     """
 
-    def make(headers: list[tuple[str, str]], block: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-        source = dict(headers)
-        if source.get("WARC-Type") != "response":
-            return
+    names = ["WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Block-Digest", "X-Source-Row"]
+
+    def make(block: bytes, *values: str | None) -> Iterator[tuple[dict[str, str], bytes]]:
+        source = {k: v for k, v in zip(names, values, strict=True) if v is not None}
         status, http, body = split_http(block or b"")
         name, found = charset(http), digest(body)
-        text = Page(body.decode(name, "replace"), whole=True).main_text().encode()
+        text = visible_text(body.decode(name, "replace")).encode()
         of = source.get("WARC-Record-ID")
         ids = {kind: record_id(kind, of) for kind in ("metadata", "conversion")}
         shared = {"WARC-Date": source.get("WARC-Date"), "WARC-Target-URI": source.get("WARC-Target-URI"), "WARC-Refers-To": of, "WARC-Refers-To-Target-URI": source.get("WARC-Target-URI"), "WARC-Refers-To-Date": source.get("WARC-Date"), "X-Source-Row": source.get("X-Source-Row")}
@@ -113,17 +114,24 @@ def derive(sources: DataFrame) -> DataFrame:
         yield record("metadata", {"WARC-Record-ID": ids["metadata"], **shared, "WARC-Concurrent-To": ids["conversion"], "Content-Type": "application/warc-fields"}, "".join(f"{clean(k)}: {clean(v)}\r\n" for k, v in fields).encode())
         yield record("conversion", {"WARC-Record-ID": ids["conversion"], **shared, "WARC-Concurrent-To": ids["metadata"], "Content-Type": "text/plain; charset=utf-8", "WARC-Source-Payload-Digest": source.get("WARC-Payload-Digest", found)}, text)
 
-    return _records(sources.select("headers", "block"), make)
+    of_pages = sources.where(F.col("headers")["WARC-Type"] == "response")
+    return _records(of_pages.select("block", *(F.col("headers")[n].alias(n) for n in names)), make)
+
 
+def write_warc(records: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE, compression: str = "gzip") -> None:
+    """Writes records as WARC/1.0 files, each file one gzip stream unless ``compression`` is none.
 
-def write_warc(records: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE) -> None:
-    """Writes records as WARC/1.0 files. Blocks have to be UTF-8, as those of this module are."""
+    Blocks have to be UTF-8, as those of this module are.
+    """
     lines = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\r\n")
     value = F.concat(F.lit("WARC/1.0\r\n"), lines, F.lit("\r\n\r\n"), F.decode("block", "UTF-8"))
-    records.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_a_file).text(path)
+    records.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_a_file).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a file; gzip is told by its first bytes, whether the file or each record is a stream."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
