@@ -75,19 +75,15 @@ def ingest(spark: SparkSession, raw: DataFrame, root: str, dataset: str, exchang
 
 def ingest_book_log(spark: SparkSession, lines: DataFrame, root: str, exchange: str, market: str, symbol: str, levels: int = 50, sample_ms: int = 1000, most_errors: float = 0.001) -> dict:
     """Replays a log of snapshots and deltas into book_depth. Too many undecodable lines, or no row at all, is an error."""
-    lines = lines.persist()
-    try:
-        n = parsers.decode_errors(lines).first()
-        if not n["lines"] or n["errors"] > most_errors * n["lines"]:
-            raise ValueError(f"{n['errors']} of {n['lines']} lines can't be decoded")
-        rows = folds.replay_book(parsers.book_events(lines, symbol), levels, sample_ms)
-        pads = [F.lit(None).cast("double").alias(c) for c in parsers.depth_columns() if c not in rows.columns]
-        rows = rows.select("*", *pads)
-        if rows.isEmpty():
-            raise ValueError("the log gives no book rows")
-        return sinks.upsert(rows, root, "book_depth", exchange, market)
-    finally:
-        lines.unpersist()
+    n = parsers.decode_errors(lines).first()
+    if not n["lines"] or n["errors"] > most_errors * n["lines"]:
+        raise ValueError(f"{n['errors']} of {n['lines']} lines can't be decoded")
+    rows = folds.replay_book(parsers.book_events(lines, symbol), levels, sample_ms)
+    pads = [F.lit(None).cast("double").alias(c) for c in parsers.depth_columns() if c not in rows.columns]
+    rows = sinks.staged(rows.select("*", *pads), "book")
+    if rows.isEmpty():
+        raise ValueError("the log gives no book rows")
+    return sinks.upsert(rows, root, "book_depth", exchange, market)
 
 
 @dataclass
@@ -128,27 +124,27 @@ def run(spark: SparkSession, trades: DataFrame, book: DataFrame | None, c: Confi
     w = T.ordered("symbol", "bar")
     for column in ("mid_open", "mid_high", "mid_low", "mid_close"):
         narrow = narrow.withColumn(column, T.fill_forward(F.col(column), w))
-    narrow = narrow.persist()
-    wide = bars.resample(narrow, c.wide_seconds)
+    narrow = sinks.staged(narrow, "narrow")
+    wide = sinks.staged(bars.resample(narrow, c.wide_seconds), "wide")
     coverage = quality_gates.minute_coverage(trades, "symbol", "ts").agg(F.min("ratio")).first()[0] or 0.0
-    classified = regime.classify(wide, c.rv_window, c.hazard_quantile, c.ema_fast, c.ema_slow, c.trend_strength).persist()
-    entered = entries_or_cusum(classified, c)
+    classified = sinks.staged(regime.classify(wide, c.rv_window, c.hazard_quantile, c.ema_fast, c.ema_slow, c.trend_strength), "classified")
+    entered = sinks.staged(entries_or_cusum(classified, c), "entries")
     events = entered.withColumnRenamed("entry_ts", "t0").select("event_id", "symbol", "t0", "side", "entry_price", "regime", "reason")
     events = backtest.delayed(events, wide, c.latency_ms)
-    labelled = labels.triple_barrier(events, wide, labels.volatility(wide), c.horizon, c.pt, c.sl, overrides=c.overrides).persist()
+    labelled = sinks.staged(labels.triple_barrier(events, wide, labels.volatility(wide), c.horizon, c.pt, c.sl, overrides=c.overrides), "labelled")
     costs = (c.capital, c.leverage, c.share, c.fee_bps, c.slippage_bps)
     baseline = backtest.trade_log(labelled, wide, *costs)
-    features = meta.feature_frame(narrow, book, micro.signed_flow(trades, c.bar_seconds, sign), c.levels).persist()
+    features = sinks.staged(meta.feature_frame(narrow, book, micro.signed_flow(trades, c.bar_seconds, sign), c.levels), "features")
     health = {"config": c.digest(), "coverage": coverage, "entries": entered.count(), "bars": narrow.count(), "enhanced": False}
     fitted: list[dict] = []
     enhanced = None
     a, b = narrow.agg(F.min("bar"), F.max("bar")).first()
     if coverage >= c.least_coverage and a is not None:
         held = labelled.select("event_id", "symbol", F.col("t0").alias("entry_ts"), F.col("t1").alias("exit_ts"), "side", "entry_price", "sl_price")
-        rows = labels.hazard_rows(held, narrow, c.hazard_horizon, c.bar_seconds)
+        rows = sinks.staged(labels.hazard_rows(held, narrow, c.hazard_horizon, c.bar_seconds), "hazard-rows")
         names = [n for n in features.columns if n.endswith("_z")]
         frame, names = meta.hazard_frame(rows, features, names)
-        frame = frame.persist()
+        frame = sinks.staged(frame, "hazard-frame")
         windows = [r.asDict() for r in backtest.folds(spark, a, b, c.train_days, c.test_days, c.step_days, c.embargo_minutes).collect()]  # a row a fold
         p, fitted = models.walk_forward_fit(frame, windows, names) if names else (None, [])
         if p is not None:

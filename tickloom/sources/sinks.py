@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.quality_gates import keep_last, validate
 from . import parsers
 
+SHARED = "spark.checkpoint.dir"
 PARTITIONS = ["exchange", "market", "date"]
 
 
@@ -21,6 +23,23 @@ def files(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder that the session names and read again: a short plan, and nothing to compute anew.
+
+    Where the session names none, as in tests, a temporary folder is set as its checkpoint folder and used.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext._jsc.sc()
+    shared = spark.conf.get(SHARED, None)
+    if not shared:
+        if context.getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tickloom-"))
+        shared = context.getCheckpointDir().get()
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def upsert(df: DataFrame, root: str, dataset: str, exchange: str, market: str, gap_seconds: int | None = None) -> dict:
     """Rows into ``root``/dataset, by key: the last by time wins, and of equal times the row that came now.
 
