@@ -12,10 +12,10 @@ EPS = 1e-12
 
 
 def realized(bars: DataFrame, window: int, price: str = "mid_close", by: str = "symbol", bar: str = "bar") -> DataFrame:
-    """Adds log_ret and rv, the rolling deviation of log returns."""
+    """Adds log_ret and rv, the rolling deviation of log returns, to 12 places: equal windows are equal to a threshold."""
     w = ordered(by, bar)
     d = bars.withColumn("log_ret", log_return(F.col(price), w))
-    return d.withColumn("rv", rolling_std(F.col("log_ret"), window, w))
+    return d.withColumn("rv", F.round(rolling_std(F.col("log_ret"), window, w), 12))
 
 
 def hazard_flags(bars: DataFrame, window: int, q: float, enter: int = 2, leave: int = 2, threshold_window: int | None = None, **names: str) -> DataFrame:

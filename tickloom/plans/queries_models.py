@@ -25,7 +25,7 @@ def over(n: int, by: str = "symbol", order: str = "bar") -> str:
 @REGISTER(
     f"""WITH {BARS}, l AS (SELECT symbol, bar, last_value(mid_close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS p FROM bars),
     r AS (SELECT symbol, bar, ln(p) - ln(lag(p) {LAG}) AS x FROM l),
-    v AS (SELECT symbol, bar, CASE WHEN count(x) {over(6)} >= 6 THEN stddev_pop(x) {over(6)} END AS rv FROM r),
+    v AS (SELECT symbol, bar, CASE WHEN count(x) {over(6)} >= 6 THEN round(stddev_pop(x) {over(6)}, 12) END AS rv FROM r),
     t AS (SELECT symbol, bar, rv, CASE WHEN count(rv) {over(24)} >= 24 THEN quantile_cont(rv, 0.8) {over(24)} END AS thr FROM v),
     f AS (SELECT *, coalesce(rv >= thr, false)::INT AS raw FROM t),
     m AS (SELECT *, CASE WHEN count(*) {over(2)} >= 2 AND min(raw) {over(2)} = 1 THEN true WHEN count(*) {over(2)} >= 2 AND max(raw) {over(2)} = 0 THEN false END AS mark FROM f)
@@ -136,10 +136,10 @@ def equity_drawdown(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("symbol", "bar", F.round("equity", 5).alias("equity"), (F.round("drawdown", 8) + F.lit(0.0)).alias("drawdown"))
 
 
-@REGISTER(f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY net_pnl, event_id) AS r, count(*) OVER (PARTITION BY symbol) AS n FROM log), w AS (SELECT symbol, date_trunc('week', exit_ts) AS week, {exact('net_pnl')} AS pnl FROM log GROUP BY ALL), m AS (SELECT symbol, min(pnl) AS worst_week_pnl FROM w GROUP BY symbol) SELECT r.symbol, round(quantile_cont(net_pnl, 0.05), 6) AS worst_5pct_trade, round(CAST(sum(CAST(net_pnl AS DECIMAL(29,9))) FILTER (r <= greatest(1, ceil(0.05 * n))) AS DOUBLE) / count(*) FILTER (r <= greatest(1, ceil(0.05 * n))), 6) AS expected_shortfall_95, any_value(worst_week_pnl) AS worst_week_pnl FROM r JOIN m ON m.symbol = r.symbol GROUP BY r.symbol")
+@REGISTER(f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY net_pnl, event_id) AS r, count(*) OVER (PARTITION BY symbol) AS n FROM log), w AS (SELECT symbol, date_trunc('week', exit_ts) AS week, {exact('net_pnl')} AS pnl FROM log GROUP BY ALL), m AS (SELECT symbol, min(pnl) AS worst_week_pnl FROM w GROUP BY symbol) SELECT r.symbol, round(quantile_cont(net_pnl, 0.05), 9) AS worst_5pct_trade, CAST(sum(CAST(net_pnl AS DECIMAL(29,9))) FILTER (r <= greatest(1, ceil(0.05 * n))) AS DOUBLE) / count(*) FILTER (r <= greatest(1, ceil(0.05 * n))) AS expected_shortfall_95, any_value(worst_week_pnl) AS worst_week_pnl FROM r JOIN m ON m.symbol = r.symbol GROUP BY r.symbol")
 def tail_metrics(spark: SparkSession, sf: str) -> DataFrame:
     t = backtest.tail(log(spark, sf), ["symbol"])
-    return t.withColumn("worst_5pct_trade", F.round("worst_5pct_trade", 6)).withColumn("expected_shortfall_95", F.round("expected_shortfall_95", 6))
+    return t.withColumn("worst_5pct_trade", F.round("worst_5pct_trade", 9))
 
 
 @REGISTER(f"WITH {LOG} SELECT strftime(date_trunc('week', exit_ts), '%Y-%m-%d') AS key, count(*) AS trades, {exact('net_pnl')} AS net_pnl FROM log GROUP BY 1")
