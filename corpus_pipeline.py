@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, and digests of them and of what they decode to."""
     workers_find_us(spark)
-    decoded = bpe.decode(bpe.encode(docs, default_path()), default_path())
+    decoded = bpe.round_trip(docs, default_path())
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"), "ids")
 
 

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Remembering, ids_of, slices
+from .chunks import Remembering, freed, ids_of, slices
 from .vocabulary import Vocabulary, vocabulary
 
 NEVER = 1 << 60
 #: Pre-tokens that a worker remembers: a bound of memory, not of the work.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 150_000
 
 
 class PrefixEncoder:
@@ -35,12 +35,8 @@ class PrefixEncoder:
 
         self.vocab = vocab
         self.rank = {(a, b): r for r, (a, b, _) in enumerate(vocab.merges)}
-        parts = {t: (a, b, r) for r, (a, b, t) in enumerate(vocab.merges)}
+        self.parts = {t: (a, b, r) for r, (a, b, t) in enumerate(vocab.merges)}
         tokens = [*vocab.byte_id, *(t for _, _, t in vocab.merges)]
-        #: Edge symbols of each token from the byte to the token itself, each with the rank at which its own side takes it up.
-        self.left, self.right = {}, {}
-        for t in tokens:
-            self.left[t], self.right[t] = self.edge(t, parts, 0), self.edge(t, parts, 1)
         self.pairs: dict[int, bool] = {}
         sound: dict[int, bool] = dict.fromkeys(vocab.byte_id, True)
         for a, b, t in vocab.merges:  # a part comes before the tokens that it is part of
@@ -52,20 +48,20 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.known: dict[str, bytes] = {}
 
-    @staticmethod
-    def edge(token: int, parts: dict, side: int) -> list[tuple[int, int]]:
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The symbols on a side of the token, from itself to the byte, with the rank at which its own side takes each up."""
         out, taken = [], NEVER
-        while True:
+        while part := self.parts.get(token):
             out.append((token, taken))
-            if token not in parts:
-                return out[::-1]
-            taken, token = parts[token][2], parts[token][side]
+            taken, token = part[2], part[side]
+        out.append((token, taken))
+        return out
 
     def crossed(self, a: int, b: int, whole: bool = False) -> bool:
         """Whether a merge crosses the border between tokens a and b; ``whole`` leaves out the merge of a with b itself."""
-        rank = self.rank
-        for x, x_taken in self.right[a]:
-            for y, y_taken in self.left[b]:
+        rank, left = self.rank, self.edge(b, 0)
+        for x, x_taken in self.edge(a, 1):
+            for y, y_taken in left:
                 r = rank.get((x, y))
                 # of equal ranks the merge further left comes first: x goes left, y stays for the border
                 if r is not None and r < x_taken and r <= y_taken and not (whole and x == a and y == b):
@@ -74,7 +70,7 @@ class PrefixEncoder:
 
     def compatible(self, a: int, b: int) -> bool:
         fits = not self.crossed(a, b)
-        if len(self.pairs) < 250_000:  # bounds the memory, not the work
+        if len(self.pairs) < 150_000:  # bounds the memory, not the work
             self.pairs[a << 32 | b] = fits
         return fits
 
@@ -126,6 +122,10 @@ def binary(flat: bytes, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
 
+def text_of(ids: np.ndarray, tokens: list[bytes]) -> str:
+    return b"".join(map(tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns ``id_col`` and ``ids``, the ids of the whole text as little-endian unsigned 32-bit integers (binary).
 
@@ -135,7 +135,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in batches:
+        for batch in freed(batches):
             for part, texts in slices(batch, "text"):
                 ids, n = ids_of(texts, encoder(path), vocab.special)
                 yield pa.RecordBatch.from_arrays([part.column(0), binary(ids.astype("<u4").tobytes(), n * 4)], names=["id", "ids"])
@@ -153,12 +153,29 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = vocabulary(path).bytes
-        for batch in batches:
+        for batch in freed(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [b"".join(map(of.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in part.column(1).to_pylist()]
+                texts = [text_of(np.frombuffer(x or b"", "<u4"), of) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     plain = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     kind = plain.schema["id"].dataType.simpleString()
     return plain.mapInArrow(run, f"id {kind}, ids binary, text string").withColumnRenamed("id", id_col)
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode() and decode() in one pass over the texts, so that a task needs one Python worker and not two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in freed(batches):
+            for part, texts in slices(batch, "text"):
+                ids, n = ids_of(texts, encoder(path), vocab.special)
+                ends = np.cumsum(n)
+                decoded = [text_of(ids[a:b], vocab.bytes) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), binary(ids.astype("<u4").tobytes(), n * 4), pa.array(decoded, pa.string())], names=["id", "ids", "text"])
+
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = plain.schema["id"].dataType.simpleString()
+    return plain.mapInArrow(run, f"id {kind}, ids binary, text string").withColumnRenamed("id", id_col)

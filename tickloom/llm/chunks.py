@@ -17,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded together, and chunks that a worker remembers: bounds of memory, not of the work.
-SLICE_BYTES = 4 << 20
-REMEMBERED = 150_000
+SLICE_BYTES = 3 << 20
+REMEMBERED = 100_000
 
 CUT = re.compile(r"(?<=.)(?= \S)", re.S)
 
@@ -34,6 +34,13 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         at = upto
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; Arrow's memory that one has needed goes back to the system before the next."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 class Remembering:
     """An encoder of units that remembers its first REMEMBERED results; frequent units come early."""
 

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -51,7 +52,12 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 
 
 def workers_find_us(spark: SparkSession) -> None:
-    """Python workers import this package by name, from the folder that holds it, wherever the driver was started."""
+    """Python workers import this package by name, from the folder that holds it, wherever the driver was started.
+
+    Batches for them are kept small: their default of 64 MB, on both sides of the pipe, is much where texts are long.
+    """
+    if spark.conf.get(BATCH) == "67108864b":
+        spark.conf.set(BATCH, "8m")
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:

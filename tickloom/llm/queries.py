@@ -48,7 +48,7 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all documents, decodes the ids, and gives digests of both."""
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), default_path()), default_path())
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents"), default_path())
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

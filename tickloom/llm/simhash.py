@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import slices
+from .chunks import freed, slices
 from .common import saved
 from .components import components
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Returns ``id_col`` and ``fp`` (long) of each whole text; no words, or a null text: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             for part, texts in slices(batch, "text"):
                 fp = simhash(pc.ascii_lower(texts).cast(pa.binary()).to_pylist(), size)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
@@ -180,7 +180,7 @@ def compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for a, b, crowded in compare(rows["anchor"], rows["fp"].view(np.uint64), rows["home"], 2):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), crowded))], names=["u", "v", "crowded"])
 
-    for batch in batches:
+    for batch in freed(batches):
         rows = np.empty(batch.num_rows, [("anchor", np.int64), ("fp", np.int64), ("home", bool)])
         for name in ("anchor", "fp", "home"):
             rows[name] = batch.column(batch.schema.names.index(name)).to_numpy(zero_copy_only=False)
@@ -202,7 +202,7 @@ def links(prints: DataFrame) -> DataFrame:
     """Links (u, v) that connect the distinct fingerprints ``fp`` just as all pairs at 2 or fewer differing bits do."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             for at in range(0, batch.num_rows, 2000):
                 fp = batch.column(0).slice(at, 2000).to_numpy(zero_copy_only=False).view(np.uint64)
                 anchor, fp, home = replicate(fp)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Remembering, counts_of, slices
+from .chunks import Remembering, counts_of, freed, slices
 from .vocabulary import Vocabulary, vocabulary
 
 NONE = np.int32(2**31 - 1)
@@ -105,7 +105,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in batches:
+        for batch in freed(batches):
             for part, texts in slices(batch, "text"):
                 n = counts_of(texts, counter(path), list(vocab.special))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])

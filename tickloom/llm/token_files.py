@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import binary
-from .chunks import Remembering, ids_of, slices
+from .chunks import Remembering, freed, ids_of, slices
 from .common import new_dir
 from .vocabulary import byte_letters, vocabulary
 
 LONGEST = 18
 BLOCK_IDS = 1 << 18
 EVERY = 128
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 200_000
 
 
 @cache
@@ -157,7 +157,7 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int, id_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = vocabulary(path).special
-        for batch in batches:
+        for batch in freed(batches):
             for part, texts in slices(batch, "text"):
                 ids, n = ids_of(texts, library_encoder(path), special)
                 ids = np.insert(ids, np.cumsum(n), end_id)
@@ -167,7 +167,7 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int, id_col: s
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds each document's first position in its bucket; a task has whole buckets, in order."""
         bucket, at = -1, 0
-        for batch in batches:
+        for batch in freed(batches):
             of, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             ends = np.cumsum(n)
             fresh = np.diff(of, prepend=bucket) != 0
@@ -189,7 +189,7 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int, id_col: s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in freed(batches):
             total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "count"])
@@ -206,7 +206,7 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int, id_col: s
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, length int").coalesce(1).write.parquet(f"{target}/code")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             n = batch.column(2).to_numpy()
             # a bucket's end, and enough ids, close a block
             cut = np.cumsum(n) // BLOCK_IDS
@@ -234,7 +234,7 @@ def read_tokens(spark: SparkSession, target: str, id_col: str = "doc_id") -> Dat
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not tables:
             tables.append(decode_table(lengths, canonical(lengths)))
-        for batch in batches:
+        for batch in freed(batches):
             for at in range(0, batch.num_rows, 8):
                 rows = batch.slice(at, 8)
                 start, docs, sizes, bits, marks = (rows.column(i).to_pylist() for i in range(5))
