@@ -8,26 +8,35 @@ from pyspark.sql import functions as F
 from .common import saved
 
 
+#: Parts that a node's edges are split into: a hub's edges go to so many tasks, and its least neighbour to each of them.
+PARTS = 32
+
+
+def _least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges with their part, and for each (u, part) that has edges the least of u's neighbours, over all parts."""
+    parted = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    by_part = parted.groupBy("u", "part").agg(F.min("v").alias("m"))
+    return parted, by_part.select("u", "part").join(by_part.groupBy("u").agg(F.min("m").alias("m")), "u")
+
+
 def _rewired(edges: DataFrame) -> DataFrame:
     """Large star: every node's greater neighbours move to the least node of its neighbourhood."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    both, least = _least(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return both.where("v > u").join(least, ["u", "part"]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v")
 
 
 def _lowered(edges: DataFrame) -> DataFrame:
     """Small star: a node and its lesser neighbours all link to the least of these."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    down, least = _least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    return down.join(least, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Returns (node, root) for every node of ``edges`` (u, v): root is the least node of its component.
 
     Edges may repeat and name a node with itself; null ends are left out. Each round is written to the shared folder.
-    The number of rounds follows the logarithm of the component size. A hub's rows meet as partial minimums and in
-    sort-merge joins, which adaptive execution splits.
+    The number of rounds follows the logarithm of the component size. A hub's edges stay in PARTS parts,
+    each with its own minimum; only these meet.
     """
     nodes = edges.where("u is not null and v is not null").select("u", "v")
     now = saved(nodes.where("u <> v").distinct(), "edges")
