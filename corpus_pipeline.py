@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, containment, quality, simhash
+from tickloom.llm import bpe, containment, near_copies, quality
 from tickloom.llm.common import saved, table, workers_find_us
 from tickloom.llm.vocabulary import default_path
 
@@ -21,9 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: word shingles of five."""
+    """One document of each group stays: exact Jaccard similarity of 0.8 or more on word shingles of five."""
     workers_find_us(spark)
-    return simhash.keep_one(docs, size=5)
+    return near_copies.keep_one(docs, size=5, threshold=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
