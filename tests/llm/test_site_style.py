@@ -50,3 +50,12 @@ def test_query_against_the_pages_own_article(spark):
         blocks = [" ".join(unescape(re.sub(r"</?(?:b|br)>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         want = "\n".join(b for b in blocks if b)
         assert found[p.page_id] == (want, len(want))
+
+
+def test_copies_of_one_article_keep_their_text(spark):
+    """On a host of nothing but copies every node has entropies of 0, however many there are."""
+    words = "A story that every page of this host has in full"
+    layouts = [f'<body><article><div class="post-body"><p>{words}</p><p>and more</p></div></article></body>', f"<body><div><p>{words}</p><p>and more</p></div></body>"]
+    rows = [(i, f"http://h{k}n{n}.example/{i}", html) for k, html in enumerate(layouts) for n in (2, 8, 1000) for i in range(n)]
+    found = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).groupBy("text").count().collect()
+    assert [tuple(r) for r in found] == [(f"{words}\nand more", 2020)]

@@ -10,7 +10,7 @@ under it (content). A node's importance joins two entropies, with the logarithm
 Branches of low importance go from each page, and with them those whose element or class names say what they are (menus,
 footers, adverts, forms, ...): a host with few pages has too little to tell by. If a page has an article or main element,
 what is outside of it goes too. Plain blocks directly in an article are never judged by entropy: a host may hold little
-but copies of one article.
+but copies of one article. For the same reason a page of which entropies would leave less than LEAST_LEFT keeps them all.
 
 Spark counts (host, node, form or text) with partial sums before the shuffle, so a host with a third of all pages is
 spread over tasks; a host's low nodes are one short row.
@@ -30,6 +30,8 @@ from .common import saved
 
 #: Pages that a node needs to be judged, the least importance that stays, and the weight of content.
 LEAST_PAGES, LEAST_IMPORTANCE, CONTENT = 8, 0.25, 0.9
+#: If entropies leave less than this share of a page's main text, it isn't judged by them.
+LEAST_LEFT = 0.4
 #: Elements nested deeper share the node of their ancestor at this depth; their text stays.
 DEEPEST = 40
 
@@ -47,14 +49,14 @@ NOISE_NAMES = set("ad ads adv advert advertisement adverts aside banner breadcru
 
 
 class Page:
-    """One walk over a page's markup: blocks (text, whether in an article), and what each container node has."""
+    """One walk over a page's markup: blocks (text, whether in an article, whether low), and what each container node has."""
 
     def __init__(self, html: str, low: frozenset[str] = frozenset(), stats: bool = False):
         self.low, self.stats = low, stats
-        self.blocks: list[tuple[str, bool]] = []
+        self.blocks: list[tuple[str, bool, bool]] = []
         self.found: dict[tuple[str, str, str], None] = {}
-        #: name, path, whether it goes, whether in an article, children
-        self.stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
+        #: name, path, whether it goes, whether it is low, whether in an article, children
+        self.stack: list[tuple[str, str, bool, bool, bool, list[str]]] = [("", "", False, False, False, [])]
         self.text: list[str] = []
         at = 0
         while m := TOKEN.search(html, at):
@@ -87,19 +89,20 @@ class Page:
                     break
                 if self.stack[i][0] in BOUNDS:
                     break
-        _, path, gone, main, children = self.stack[-1]
+        _, path, gone, low, main, children = self.stack[-1]
         names = " ".join(v.strip("\"'") for _, v in NAMED.findall(attributes)).lower() if attributes else ""
         children.append(name)
         if len(self.stack) <= DEEPEST:
             path = f"{path}/{name}.{names}" if names else f"{path}/{name}"
         bare = name in PLAIN and not names
-        gone = gone or (name in NOISE and not (name == "header" and main)) or bool(names and NOISE_NAMES.intersection(re.split(r"[^a-z]+", names))) or (path in self.low and not (main and bare) and name not in ("html", "body", "article", "main"))
+        gone = gone or (name in NOISE and not (name == "header" and main)) or bool(names and NOISE_NAMES.intersection(re.split(r"[^a-z]+", names)))
+        low = low or (path in self.low and not (main and bare) and name not in ("html", "body", "article", "main"))
         main = main or name in ("article", "main") or "main" in names.split()
-        self.stack.append((name, path, gone, main, []))
+        self.stack.append((name, path, gone, low, main, []))
 
     def pop(self) -> None:
         self.flush()
-        _, path, _, _, children = self.stack.pop()
+        _, path, _, _, _, children = self.stack.pop()
         if self.stats:
             self.found.setdefault((path, "form", " ".join(children)))
 
@@ -118,14 +121,17 @@ class Page:
         self.text = []
         if text:
             if self.stats:
-                for _, path, _, _, _ in self.stack[1 : DEEPEST + 1]:
+                for _, path, _, _, _, _ in self.stack[1 : DEEPEST + 1]:
                     self.found.setdefault((path, "text", text))
             if not self.stack[-1][2]:
-                self.blocks.append((text, self.stack[-1][3]))
+                self.blocks.append((text, self.stack[-1][4], self.stack[-1][3]))
 
     def main_text(self) -> str:
-        inside = [t for t, main in self.blocks if main]
-        return "\n".join(inside or [t for t, _ in self.blocks])
+        blocks = [(t, low) for t, main, low in self.blocks if main] or [(t, low) for t, _, low in self.blocks]
+        left = [t for t, low in blocks if not low]
+        if sum(map(len, left)) < LEAST_LEFT * sum(len(t) for t, _ in blocks):
+            left = [t for t, _ in blocks]
+        return "\n".join(left)
 
 
 def visible_text(html: str) -> str:
