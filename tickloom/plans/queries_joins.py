@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import timeops as T
 from ..operators import folds, joins, micro
 from .register import Register
-from .views import BOOK, HOUR, TRADES, bars_sql, book, end_of, exact, floor_of, hourly, trades
+from .views import BOOK, HOUR, TRADES, bars_sql, book, end_of, exact, floor_of, hourly, part, trades
 
 REGISTER = Register()
 US = HOUR * 1_000_000
@@ -34,7 +34,7 @@ def asof_trades_to_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 @REGISTER(f"WITH {BARS}, e AS (SELECT event_id, event_type AS symbol, ts + INTERVAL 30 MINUTE AS at FROM events WHERE event_id % 7 = 0) SELECT e.event_id, e.symbol, e.at, b.bar, b.mid_close FROM e ASOF LEFT JOIN bars b ON e.symbol = b.symbol AND e.at >= b.bar")
 def asof_events_to_features(spark: SparkSession, sf: str) -> DataFrame:
-    t = trades(spark, sf).where("agg_id % 7 = 0").select(F.col("agg_id").alias("event_id"), "symbol", T.shifted(F.col("ts"), 1800).alias("at"))
+    t = part(trades(spark, sf), "agg_id % 7 = 0").select(F.col("agg_id").alias("event_id"), "symbol", T.shifted(F.col("ts"), 1800).alias("at"))
     return joins.asof(t, hourly(spark, sf).select("symbol", "bar", "mid_close"), "symbol", "at", "bar")
 
 
@@ -48,7 +48,7 @@ PICKED = "ev AS (SELECT event_id, event_type AS symbol, ts AS entry_ts, value AS
 
 
 def picked(spark: SparkSession, sf: str) -> DataFrame:
-    return trades(spark, sf).where("agg_id % 11 = 0").select(F.col("agg_id").alias("event_id"), "symbol", F.col("ts").alias("entry_ts"), F.col("price").alias("entry_price"))
+    return part(trades(spark, sf), "agg_id % 11 = 0").select(F.col("agg_id").alias("event_id"), "symbol", F.col("ts").alias("entry_ts"), F.col("price").alias("entry_price"))
 
 
 @REGISTER(f"WITH {BARS}, {PICKED} SELECT ev.event_id, min(bars.bar) FILTER (mid_high >= entry_price * 1.5) AS first_up, min(bars.bar) FILTER (mid_low <= entry_price * 0.5) AS first_down, count(*) AS n FROM ev JOIN bars ON bars.symbol = ev.symbol AND bar > entry_ts AND bar <= entry_ts + INTERVAL 6 HOUR GROUP BY ev.event_id")
@@ -69,7 +69,7 @@ def range_future_minmax(spark: SparkSession, sf: str) -> DataFrame:
 
 @REGISTER("SELECT o.o_orderkey, o.o_totalprice AS total_base, l.q AS qty_enh FROM orders o LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_discount > 0.05 GROUP BY 1) l ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0")
 def equi_left_suffix(spark: SparkSession, sf: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_totalprice").alias("total_base"))
+    o = part(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderkey % 3 = 0").select("o_orderkey", F.col("o_totalprice").alias("total_base"))
     q = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_discount > 0.05").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("qty_enh"))
     return o.join(q, "o_orderkey", "left")
 

@@ -1,0 +1,36 @@
+"""The queries that take a part of a table by a modulo of its ids, over whole tables: NAME_whole."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import queries_joins, queries_models
+from .register import Register
+from .views import WHOLE
+
+REGISTER = Register()
+PARTS = "asof_events_to_features range_first_touch range_future_minmax equi_left_suffix nonoverlap_trades intrabar_features event_id_sha1 triple_barrier triple_barrier_by_group hazard_dataset".split()
+#: DuckDB takes a step of its recursion for each event.
+NO_SQL = {"nonoverlap_trades"}
+FILTER = re.compile(r" WHERE (?:event_id % 11|event_id % 7|o_orderkey % 3) = 0")
+
+
+def add(name: str) -> None:
+    query = {**queries_joins.REGISTER.queries, **queries_models.REGISTER.queries}[name]
+    sql = None if name in NO_SQL else {**queries_joins.REGISTER.oracle, **queries_models.REGISTER.oracle}.get(name)
+
+    def whole(spark: SparkSession, sf: str) -> DataFrame:
+        token = WHOLE.set(True)
+        try:
+            return query(spark, sf)
+        finally:
+            WHOLE.reset(token)
+
+    whole.__name__ = f"{name}_whole"
+    REGISTER(sql and FILTER.sub("", sql))(whole)
+
+
+for name in PARTS:
+    add(name)
