@@ -1,12 +1,18 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix filtering, which loses no pair.
-
-A text is the set of its distinct shingles' XXH64 hashes; texts with equal sets are one node. In any one order of all
-shingles, two sets of similarity t or more share one of the first n - ceil(t * n) + 1 of either. The order is shingles by
-hash, with those that a sample of texts holds often at the end, the most frequent last: a line that many texts have is then
-in few prefixes. The sample changes what is compared, not what is found.
-
-Texts that share a shingle of their prefixes are candidates. A large group of near copies would give all its pairs, so the
-texts of a shingle are first compared with two of them, and then only those that these links leave in different components.
+"""SimHash near-dedup at a stated similarity: links by anchor covering, confirmed and completed on the shingles themselves.
+
+A text is the set of its distinct shingles' XXH64 hashes; texts with equal sets are one node. Two nodes are linked if their
+Jaccard similarity is the threshold or more. Fingerprints within 2 bits (simhash.links) give the first candidates; but pairs
+at a similarity of 0.8 are often 4 to 17 bits apart, beyond what any covering of 64 bits can find without comparing most of
+all pairs. Prefixes find the others, and lose none: in any one order of all shingles, two sets of similarity t or more share
+one of the first n - ceil(t * n) + 1 of either. The order is shingles by hash, with those that a sample of texts holds often
+at the end, the most frequent last: a line that many texts have is then in few prefixes. The sample changes what is
+compared, not what is found.
+
+A large group of near copies would give all its pairs. So, first, the nodes of a shingle are compared with two of them (others
+for each shingle), and these links and those of the fingerprints are confirmed; then only nodes which these leave in different
+components meet, in blocks. Before a pair costs anything it is judged by sketches: a set's sketch has the parities of BITS
+counters, so two sketches differ in no more bits than the sets differ in shingles, and too many bits rule a pair out for
+certain. What the sketches leave is compared on the whole sets.
 """
 
 from __future__ import annotations
@@ -16,100 +22,101 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import freed, slices
 from .common import saved
 from .components import components
+from .simhash import digests, links, majority
 
 #: Texts in the sample, the number of them that makes a shingle frequent, and frequent shingles that are kept at most.
 SAMPLE, OFTEN, MOST = 20_000, 3, 200_000
+#: Shingles of more than this share of the sample are spread over tasks from the start.
+HOT = 0.01
+#: Bits of a sketch, and texts whose sketches are made together.
+BITS, SKETCHED = 1024, 1000
+#: Nodes of a shingle that meet in one block, rows that a task holds at once, and pairs of sketches.
+BLOCK, BLOCK_ROWS, BLOCK_PAIRS = 4096, 200_000, 200_000
 #: Texts of so many candidates at most are picked by a broadcast of their hashes (8 bytes each).
 BROADCAST_ROWS = 500_000
 
 
-def shingles(text: bytes, size: int) -> np.ndarray:
-    """The distinct shingle hashes (uint64) of a lower-cased text, sorted; fewer words than ``size`` are one shingle."""
-    from xxhash import xxh64_intdigest as digest
-
-    words = text.split()
-    if len(words) <= size:
-        return np.array([digest(b" ".join(words), 42)] if words else [], np.uint64)
-    line = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    return np.unique(np.array([digest(line[a:b], 42) for a, b in zip((ends - lengths).tolist(), ends[size - 1 :].tolist(), strict=False)], np.uint64))
-
-
 def node(tokens: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
     return xxh64_intdigest(tokens.tobytes(), 7) - (1 << 63)
 
 
-def each_text(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def sets_in(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Slices of rows with each text's distinct shingles, sorted, and all its shingles with their numbers."""
     for batch in freed(batches):
         for part, texts in slices(batch, "text"):
-            yield part, [shingles(t or b"", size) for t in pc.ascii_lower(texts).cast(pa.binary()).to_pylist()]
-
-
-def tokens_of(texts: DataFrame, size: int, threshold: float | None, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """(token, fp, n) of each set, once in a task: its prefix in the order of ``common``, or with no threshold all tokens."""
+            h, n = digests(pc.ascii_lower(texts).cast(pa.binary()).to_pylist(), size)
+            ends = np.cumsum(n)
+            yield part, [np.unique(h[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)], h, n
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BITS bits, as uint64, for each set."""
+    out = [np.empty((0, BITS // 64), np.uint64)]
+    for at in range(0, len(sets), SKETCHED):
+        some = sets[at : at + SKETCHED]
+        of = np.repeat(np.arange(len(some)) * BITS, list(map(len, some)))
+        counts = np.bincount(of + (np.concatenate(some) % np.uint64(BITS)).astype(np.int64), minlength=len(some) * BITS)
+        out.append(np.packbits((counts & 1).astype(bool)).view(np.uint64).reshape(-1, BITS // 64))
+    return np.concatenate(out)
+
+
+def prefix(s: np.ndarray, threshold: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first tokens of a sorted set in the order: those that aren't common by hash, then the common by rank."""
+    keep = len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1
+    if not len(common):
+        return s[:keep]
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    often = common[at] == s
+    rare = s[~often][:keep]
+    return rare if len(rare) == keep else np.concatenate((rare, s[often][np.argsort(rank[at[often]])][: keep - len(rare)]))
+
+
+def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens (sorted) that OFTEN or more sets of the sample hold (copies in several tasks count anew), their places in the
+    order, and the hot ones (sorted)."""
+    step = max(1, -(-texts.count() // SAMPLE))
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, sets in each_text(batches, size):
-            tokens, fps, ns = [np.empty(0, np.uint64)], [], []
+        for _, sets, _, _ in sets_in(batches, size):
             for s in sets:
-                fp = node(s)
-                if fp in seen or not len(s):
-                    continue
-                seen.add(fp)
-                if threshold is not None:
-                    keep = len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1
-                    at = np.minimum(np.searchsorted(common[0], s), max(len(common[0]) - 1, 0))
-                    rank = np.where(common[0][at] == s, common[1][at], -1) if len(common[0]) else np.zeros(len(s))
-                    n, s = len(s), s[np.lexsort((s, rank))[:keep]]
-                else:
-                    n = len(s)
-                tokens.append(s)
-                fps.append(np.full(len(s), fp))
-                ns.append(np.full(len(s), n))
-            token = np.concatenate(tokens).view(np.int64)
-            if len(token):
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.concatenate(fps)), pa.array(np.concatenate(ns), pa.int32())], names=["token", "fp", "n"])
-
-    return texts.select("text").mapInArrow(run, "token long, fp long, n int")
-
-
-def frequent(texts: DataFrame, n_texts: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens (sorted) that OFTEN or more sets of the sample hold (copies in several tasks count anew), and their places."""
-    step = -(-n_texts // SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(step, 1))) == 0)
-    counts = tokens_of(sample, size, None).groupBy("token").count().where(F.col("count") >= OFTEN)
+                if (fp := node(s)) not in seen and len(s):
+                    seen.add(fp)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["token"])
+
+    counts = sample.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= OFTEN)
     rows = counts.orderBy(F.desc("count"), "token").limit(MOST).toArrow()
-    token = rows.column("token").to_numpy().view(np.uint64)
+    token, count = rows.column("token").to_numpy().view(np.uint64), rows.column("count").to_numpy()
     order = np.argsort(token)
-    return token[order], (len(token) - np.arange(len(token)))[order]
+    hot = count >= max(HOT * SAMPLE, OFTEN)
+    return token[order], (len(token) - np.arange(len(token)))[order], np.sort(token[hot])
 
 
 def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (token, fp), those whose token another fp has too, each once."""
-    kept = np.empty(0, [("token", np.int64), ("fp", np.int64), ("n", np.int32)])
+    """From rows in order of (token, node), those whose token another node has too, each once."""
+    kept = np.empty(0, [("token", np.int64), ("node", np.int64)])
     before: int | None = None  # the token of the last row that is done
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in ("token", "fp", "n")], names=["token", "fp", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in ("token", "node")], names=["token", "node"])
 
     for batch in freed(batches):
         rows = np.empty(batch.num_rows, kept.dtype)
-        for name in ("token", "fp", "n"):
+        for name in ("token", "node"):
             rows[name] = batch.column(batch.schema.names.index(name)).to_numpy(zero_copy_only=False)
         rows = np.concatenate((kept, rows))
         if not len(rows):
             continue
-        new = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["fp"][1:] != rows["fp"][:-1]))
+        new = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["node"][1:] != rows["node"][:-1]))
         rows = rows[new]
         same = rows["token"][1:] == rows["token"][:-1]
         with_last = np.append(before is not None and rows["token"][0] == before, same)
@@ -123,63 +130,134 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(kept)
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(fp, tokens) of the texts whose xxhash64 is in ``wanted`` (th)."""
+def sizes_fit(n: Column | np.ndarray, m: Column | np.ndarray, threshold: float) -> Column | np.ndarray:
+    """Whether sets of these sizes can be that similar."""
+    return (n >= threshold * m - 1e-9) & (m >= threshold * n - 1e-9)
+
+
+def most_bits(n: Column | np.ndarray, m: Column | np.ndarray, threshold: float) -> Column | np.ndarray:
+    """The most shingles that sets of these sizes may differ in, at the threshold."""
+    return (1 - threshold) / (1 + threshold) * (n + m) + 1e-9
+
+
+def meet(threshold: float):
+    """Pairs (u, v) that size and sketch allow, of nodes of one cell (token, lo, hi) with different roots and, where lo and
+    hi are two blocks, of both of them; rows come in order of cell."""
+    words = BITS // 64
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1]) | (rows["hi"][1:] != rows["hi"][:-1])))
+        ends = np.append(starts[1:], len(rows))
+        each = np.repeat(ends, ends - starts) - np.arange(len(rows)) - 1
+        upto, at = np.cumsum(each), 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK_PAIRS, side="right")))
+            n = each[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            at = to
+            fit = (rows["root"][i] != rows["root"][j]) & ((rows["lo"][i] == rows["hi"][i]) | (rows["block"][i] != rows["block"][j])) & sizes_fit(rows["n"][i], rows["n"][j], threshold)
+            i, j = i[fit], j[fit]
+            apart = np.bitwise_count(rows["bits"][i] ^ rows["bits"][j]).sum(axis=1, dtype=np.int64)
+            near = apart <= most_bits(rows["n"][i], rows["n"][j], threshold)
+            if near.any():
+                a, b = rows["node"][i[near]], rows["node"][j[near]]
+                u, v = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in each_text(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "tokens"])
-
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    picked = texts.withColumn("th", F.xxhash64("text")).join(wanted, "th", "left_semi").select("text")
-    return picked.mapInArrow(run, "fp long, tokens array<long>").dropDuplicates(["fp"])
+        names = ("token", "lo", "hi", "block", "node", "root", "n")
+        kept: list[np.ndarray] = []
+        for batch in freed(batches):
+            rows = np.empty(batch.num_rows, [*((c, np.int64) for c in names), ("bits", np.uint64, (words,))])
+            for c in names:
+                rows[c] = batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False)
+            rows["bits"] = batch.column(batch.schema.names.index("bits")).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+            kept.append(rows)
+            if sum(map(len, kept)) >= BLOCK_ROWS:
+                rows = np.concatenate(kept)
+                last = (rows["token"] == rows["token"][-1]) & (rows["lo"] == rows["lo"][-1]) & (rows["hi"] == rows["hi"][-1])
+                yield from pairs(rows[~last])
+                kept = [rows[last]]
+        if kept and len(kept[0]):
+            yield from pairs(np.concatenate(kept))
+
+    return run
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose sets' similarity is the threshold or more, by the whole sets of one text for each node."""
 
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose sets' similarity is the threshold or more."""
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("tokens").alias("b")), "v")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets, _, _ in sets_in(batches, size):
+            yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "tokens"])
+
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = saved(nodes.join(ends, "node").select("th"), "wanted")
+    picked = texts.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "th", "left_semi")
+    sets = saved(picked.select("text").mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= threshold * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v")
+    return saved(both.where(common >= threshold * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v"), "links")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Returns ``id_col`` and ``component_id``: the smallest id that pairs of the threshold or more lead to.
+    """Returns ``id_col``, ``fp`` (long, the SimHash) and ``component_id``: the smallest id that links lead to.
 
     Null and empty texts are copies of each other; rows with a null id take part and get the smallest id that isn't null
     (null if there is none); repeated rows each give a row. An empty table gives no rows. Texts are compared whole.
     """
+    texts = docs.select(F.col(text_col).alias("text"))
+    common, rank, hot = frequent(texts, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in each_text(batches, size):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([node(s) for s in sets], pa.int64()), part.column(2)], names=["id", "fp", "th"])
+        seen: set[int] = set()
+        for part, sets, h, n in sets_in(batches, size):
+            names = [node(s) for s in sets]
+            fresh = [i for i, (k, s) in enumerate(zip(names, sets, strict=True)) if len(s) and k not in seen and not seen.add(k)]
+            rare, often, bits = ([None] * len(sets) for _ in range(3))
+            for i, b in zip(fresh, sketches([sets[i] for i in fresh]), strict=True):
+                first = prefix(sets[i], threshold, common, rank)
+                is_hot = np.isin(first, hot)
+                rare[i], often[i], bits[i] = first[~is_hot].view(np.int64), first[is_hot].view(np.int64), b.view(np.int64)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array(majority(h, n).view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), part.column(2), pa.array(rare, longs), pa.array(often, longs), pa.array(bits, longs)], names=["id", "node", "fp", "n", "th", "rare", "often", "bits"])
 
-    texts = docs.select(F.col(text_col).alias("text"))
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
-    prints = saved(plain.mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, fp long, th long"), "prints")
-    nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("th").alias("th")), "nodes")
-    rows = tokens_of(texts, size, threshold, frequent(texts, prints.count(), size))
-    shared = saved(rows.repartition("token").sortWithinPartitions("token", "fp").mapInArrow(shared_only, "token long, fp long, n int"), "shared")
-    sets = saved(sets_of(texts, nodes.join(shared.select("fp").distinct(), "fp").select("th").distinct(), size), "sets")
-    near = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
-
-    place = F.struct(F.xxhash64("fp").alias("h"), F.col("fp").alias("v"), F.col("n").alias("m"))
+    kind = plain.schema["id"].dataType.simpleString()
+    prints = saved(plain.mapInArrow(run, f"id {kind}, node long, fp long, n long, th long, rare array<long>, often array<long>, bits array<long>"), "prints")
+    nodes = saved(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits")), "nodes")
+    rows = prints.select(F.explode("rare").alias("token"), "node").repartition("token").sortWithinPartitions("token", "node").mapInArrow(shared_only, "token long, node long")
+    spread = prints.select(F.explode("often").alias("token"), "node").distinct()
+    shared = saved(rows.union(spread).join(nodes.select("node", "n", "bits"), "node"), "shared")
+
+    heads = nodes.where("n > 0").groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head"))
+    heads = saved(heads, "heads")
+    one = nodes.join(heads, "fp").select("node", "n", F.col("head.node").alias("v"), F.col("head.n").alias("m"))
+    other = links(heads.select("fp")).join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
+    by_print = one.union(other.select("a.node", "a.n", "b.node", "b.n"))
+    place = F.struct(F.xxhash64("token", "node").alias("h"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("bits").alias("w"))
     ends = shared.groupBy("token").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    star = shared.join(ends, "token").select("fp", "n", F.explode(F.array("a", "b")).alias("x")).select("fp", "n", "x.v", "x.m").where(near & (F.col("fp") != F.col("v")))
-    first = saved(star.select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v")).distinct(), "candidates")
-    links = saved(verified(first, sets, threshold), "links")
-    roots = saved(components(links), "roots")
-    rooted = saved(shared.join(roots, shared["fp"] == roots["node"], "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
-    # tokens all of whose texts are one component have no more to say
-    split = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    left = saved(rooted.join(split, "token", "left_semi"), "left")
-    right = left.select("token", F.col("fp").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = left.join(right, "token").where(near & (F.col("fp") < F.col("v")) & (F.col("root") != F.col("other"))).select(F.col("fp").alias("u"), "v").distinct()
-    more = saved(verified(rest.join(first, ["u", "v"], "left_anti"), sets, threshold), "links")
-    roots = saved(components(links.union(more)), "roots")
-    found = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    apart = F.aggregate(F.zip_with("bits", "w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    star = shared.join(ends, "token").select("node", "n", "bits", F.explode(F.array("a", "b")).alias("x")).select("node", "n", "bits", "x.v", "x.m", "x.w")
+    star = star.where(F.col("node") != F.col("v")).where(sizes_fit(F.col("n"), F.col("m"), threshold)).where(apart <= most_bits(F.col("n"), F.col("m"), threshold))
+    pair = (F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
+    first = saved(by_print.where(F.col("node") != F.col("v")).where(sizes_fit(F.col("n"), F.col("m"), threshold)).select(*pair).union(star.select(*pair)).distinct(), "candidates")
+    linked = confirmed(first, texts, nodes, size, threshold)
+
+    # shingles of up to three nodes have had all their pairs compared; where all nodes are one component there is no more to say
+    roots = saved(components(linked), "roots")
+    rooted = saved(shared.join(roots, shared["node"] == roots["node"], "left").select("token", shared["node"], "n", "bits", F.coalesce("root", shared["node"]).alias("root")), "rooted")
+    tokens = rooted.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("k")).where("first <> last and k > 3").select("token", F.ceil(F.col("k") / BLOCK).alias("blocks"))
+    left = rooted.join(tokens, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    cells = left.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "root", "n", "bits")
+    rest = cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(meet(threshold), "u long, v long").distinct()
+    more = confirmed(saved(rest.join(first, ["u", "v"], "left_anti"), "candidates"), texts, nodes, size, threshold)
+
+    roots = saved(components(linked.union(more)), "roots")
+    found = nodes.join(roots, nodes["node"] == roots["node"], "left").select(nodes["node"], "least", F.coalesce("root", nodes["node"]).alias("root"))
     ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(found.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "component_id")
+    return prints.join(found.select("node", "root").join(ids, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -38,8 +38,8 @@ CROWDED = 1024
 BLOCK_ROWS, BLOCK_PAIRS = 400_000, 2_000_000
 
 
-def simhash(texts: list[bytes], size: int = 3) -> np.ndarray:
-    """The fingerprints (uint64) of lower-cased texts: majority bits of XXH64 (seed 42) over shingles of ``size`` words."""
+def digests(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42, uint64) of all shingles of ``size`` words of lower-cased texts, text by text, and each text's number."""
     from xxhash import xxh64_intdigest as digest
 
     hashes, counts = [], []
@@ -54,8 +54,12 @@ def simhash(texts: list[bytes], size: int = 3) -> np.ndarray:
             lengths = np.fromiter(map(len, words), np.int64, len(words))
             ends = np.cumsum(lengths + 1) - 1
             hashes += [digest(line[a:b], 42) for a, b in zip((ends - lengths)[:n].tolist(), ends[size - 1 :].tolist(), strict=True)]
-    h, counts = np.array(hashes, np.uint64), np.array(counts, np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    return np.array(hashes, np.uint64), np.array(counts, np.int64)
+
+
+def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprints (uint64) of texts with ``counts`` hashes each: the bits that more than half of them have."""
+    out = np.zeros(len(counts), np.uint64)
     some = np.flatnonzero(counts)
     if not len(some):
         return out
@@ -73,6 +77,11 @@ def simhash(texts: list[bytes], size: int = 3) -> np.ndarray:
     return out
 
 
+def simhash(texts: list[bytes], size: int = 3) -> np.ndarray:
+    """The fingerprints (uint64) of lower-cased texts: majority bits of XXH64 (seed 42) over shingles of ``size`` words."""
+    return majority(*digests(texts, size))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """Returns ``id_col`` and ``fp`` (long) of each whole text; no words, or a null text: 0."""
 
