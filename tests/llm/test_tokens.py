@@ -45,6 +45,18 @@ def test_counts_are_the_library_s():
     assert chunks.counts_of(pa.array(texts), token_counts.counter(PATH), list(vocabulary(PATH).special)).tolist() == [len(ids(t)) for t in texts]
 
 
+def test_every_code_point():
+    """Alone, before a contraction, after letters, digits and a space: ids and counts as the library's, whose Unicode decides."""
+    points = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE0200), 0xF0000, 0x10FFFF))]
+    texts = ["\n".join(f"{c}'s a{c} 1{c}2 {c}\n{c}" for c in points[i : i + 200]) for i in range(0, len(points), 200)]
+    want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    for encoder in (bpe.encoder, token_files.library_encoder):
+        flat, n = chunks.ids_of(pa.array(texts), encoder(PATH), vocabulary(PATH).special)
+        got = np.split(flat, np.cumsum(n)[:-1])
+        assert all(g.tolist() == w for g, w in zip(got, want, strict=True))
+    assert chunks.counts_of(pa.array(texts), token_counts.counter(PATH), list(vocabulary(PATH).special)).tolist() == list(map(len, want))
+
+
 @pytest.mark.parametrize("codec", [lambda docs: bpe.decode(bpe.encode(docs, PATH), PATH), lambda docs: bpe.round_trip(docs, PATH)])
 def test_codec_edge_cases(spark, codec):
     found = codec(documents(spark, EDGE_TEXTS)).collect()
