@@ -6,27 +6,19 @@ import corpus_pipeline
 from tickloom.llm.vocabulary import default_path
 
 from .test_containment_and_chat import grams
+from .test_near_copies import brute_force as near_copies
 from .test_quality import plain
-from .test_simhash import plain_components
 
 SF = "/root/testdata/sf0.001"
 
 
-def fingerprint(text):
-    import xxhash
-
-    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
-    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))] if words else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def brute_force(spark, docs):
     from tokenizers import Tokenizer
 
     good = {i for i, *_, kept in plain([(r.doc_id, r.text, r.lang) for r in docs]) if kept}
     docs = [r for r in docs if str(r.doc_id) in good]
-    of = plain_components([r.doc_id for r in docs], [fingerprint(r.text) for r in docs])
-    docs = [r for r, c in zip(docs, of, strict=True) if r.doc_id == c]
+    kept = {x for x, least in near_copies([(r.doc_id, r.text) for r in docs]) if x == least}
+    docs = [r for r in docs if str(r.doc_id) in kept]
     items = [grams(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = [r for r in docs if not any(5 * len(g & grams(r.text)) >= 4 * len(g) for g in items)]
     library, out = Tokenizer.from_file(default_path()), []
