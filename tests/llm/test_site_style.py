@@ -1,11 +1,21 @@
+import re
+import time
+from collections import Counter
 from html import unescape
 
+import pytest
+
+from tickloom.llm import site_style
 from tickloom.llm.queries import QUERIES
-from tickloom.llm.site_style import Page, main_texts
+from tickloom.llm.site_style import Page, main_texts, visible_text
 
 SF = "/root/testdata/sf0.001"
 
 
+def site_style_host(url):
+    return re.sub(r"^[a-z]+://([^/:?#]*).*", r"\1", url).lower()
+
+
 def text(html):
     return Page(html).main_text()
 
@@ -40,8 +50,6 @@ def test_repeated_branches_of_a_host_go(spark):
 
 def test_query_against_the_pages_own_article(spark):
     """In these pages the article element has the main text, in blocks of headings and paragraphs."""
-    import re
-
     found = {r.page_id: (r.text, r.n_chars) for r in QUERIES["op9_main_text"](spark, SF).collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     assert len(found) == len(pages)
@@ -59,3 +67,69 @@ def test_copies_of_one_article_keep_their_text(spark):
     rows = [(i, f"http://h{k}n{n}.example/{i}", html) for k, html in enumerate(layouts) for n in (2, 8, 1000) for i in range(n)]
     found = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).groupBy("text").count().collect()
     assert [tuple(r) for r in found] == [(f"{words}\nand more", 2020)]
+
+
+def test_names_are_a_prior_only():
+    """Names on wrappers, and names of which a part is listed, take nothing away."""
+    assert text('<body class="no-sidebar"><article><p>x') == "x"
+    assert text('<body class="sidebar"><article class="post has-sidebar"><p>x') == "x"
+    assert text('<div class="modal"><article><p>x</article></div>') == "x"
+    for name in ("share-prices", "related-work", "hidden-gems", "adults", "no-comments"):
+        assert text(f'<article><p>a</p><section class="{name}">b</section></article>') == "a\nb", name
+    for name in ("ad", "ad-box-300x250", "site_footer", "comments-area", "comment-list", "post-share", "x newsletter"):
+        assert text(f'<article><p>a</p><section class="{name}">b</section></article>') == "a", name
+    story = " ".join(f"word{i}" for i in range(40))
+    assert text(f"<body><article>only a teaser</article><div><p>{story}</p></div></body>") == f"only a teaser\n{story}"
+    assert text(f'<body><form><main><p>{story}</p><aside><article>other</article></aside></main></form></body>') == story
+    assert text(f'<main><p>{story}</p><section class="comments"><article><p>nice</p></article></section></main>') == story
+    assert text(f'<body><article><p>{story}</p></article><section class="comments"><article><p>{story} too</p></article></section></body>') == story
+
+
+def neutral(html):
+    """The page with neither article, nav, footer nor telling class names."""
+    html = html.replace('class="ad"', 'class="x1"')
+    for name, other in (("article", "x2"), ("nav", "x3"), ("footer", "x4")):
+        html = html.replace(f"<{name}>", f'<div class="{other}">').replace(f"</{name}>", "</div>")
+    return html
+
+
+def test_tree_decides_without_names(spark, monkeypatch):
+    """On hosts with pages enough, the tree finds the same main text when nothing is named; without the tree it isn't found."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()
+    many = {h for h, _ in Counter(site_style_host(r.url) for r in pages).most_common(5)}
+    pages = [r for r in pages if site_style_host(r.url) in many]
+    named = spark.createDataFrame([(r.page_id, r.url, r.html) for r in pages], "page_id long, url string, html string")
+    unnamed = spark.createDataFrame([(r.page_id, r.url, neutral(r.html)) for r in pages], "page_id long, url string, html string")
+    texts = lambda df: {r.page_id: r.text for r in main_texts(df).collect()}
+    want, got = texts(named), texts(unnamed)
+    assert len(want) > 300
+    same = sum(got[i] == t for i, t in want.items())
+    assert same == len(want)
+    monkeypatch.setattr(site_style, "LEAST_PAGES", 10**9)
+    off = texts(unnamed)
+    assert sum(off[i] == t for i, t in want.items()) == 0
+
+
+def test_low_boxes_inside_an_article_go(spark):
+    page = '<body><article><p>story {0} of its own</p><div class="x9">Read our other stories, all of them</div><div class="x8">caption {0}</div><p>more {0}</p></article></body>'
+    rows = [(i, f"http://b.example/{i}", page.format(f"w{i}")) for i in range(20)]
+    found = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"story w{i} of its own\ncaption w{i}\nmore w{i}" for i in range(20)}
+
+
+@pytest.mark.parametrize("unit", ["<div>", "</x>", "<a b='", "<a'>'", "<!", "<!--", "<p>", "<x><p>", "<li><x>", "<script ", "</script", "<p class='a'>x", "&", "<", "<a b=\"'>"])
+def test_long_malformed_pages(unit):
+    """A megabyte of any of these takes time in proportion to its length."""
+    html = unit * (1_000_000 // len(unit)) + "</x>" * 20_000
+    for run in (lambda h: Page(h).main_text(), lambda h: Page(h, stats=True).blocks, visible_text):
+        began = time.process_time()
+        run(html)
+        assert time.process_time() - began < 6
+
+
+def test_nested_then_stray_tags():
+    n = 60_000
+    for html in ("<div>" * n + "</x>" * n, "<x>" * n + "<p></p>" * n, "<p><div>" + "<x>" * n + "<p></p>" * n):
+        began = time.process_time()
+        Page(html).main_text()
+        assert time.process_time() - began < 6

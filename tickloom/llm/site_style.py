@@ -1,16 +1,25 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree: a node is the path of container elements (name, class, id) from the root.
-For every node the pages that have it are counted, the forms in which its children come (presentation), and the texts
-under it (content). A node's importance joins two entropies, with the logarithm to the base of its m pages:
-
-    presentation   -sum p log_m p over its forms: 0 where every page has the same form
-    content        1 - mean of log_m k over its texts, each on k pages: 0 where every page has the same texts
-
-Branches of low importance go from each page, and with them those whose element or class names say what they are (menus,
-footers, adverts, forms, ...): a host with few pages has too little to tell by. If a page has an article or main element,
-what is outside of it goes too. Plain blocks directly in an article are never judged by entropy: a host may hold little
-but copies of one article. For the same reason a page of which entropies would leave less than LEAST_LEFT keeps them all.
+The pages of a host are merged into one tree: a node is the path of elements (name, class, id) from the root. For every
+node that LEAST_PAGES pages have, two entropies are taken, with the logarithm to the base of its m pages, and two sizes:
+
+    presentation   -sum p log_m p over the forms in which its children come: 0 where every page has the same form
+    content        1 - mean of log_m k over its texts by size, each on k pages: 0 where every page has the same texts
+    share          of the text of the pages that have it
+    instances      elements a page
+
+The trunk of a tree are the containers, one a page, that hold most of the text; where it ends (an article or main element
+at the latest) the main part begins. A node's importance joins presentation and content; outside of the main part, content
+counts in proportion to the share, up to SMALL: a box of a fixed form with little text is no part of the main text however
+often its text changes. Containers of low importance go from each page, inside and outside of the main part. Plain blocks
+(headings, paragraphs, list items, ... without a class) go with their container; the trunk never goes, nor do html, body,
+article and main. A host may hold little but copies of one article: a page of whose main part (of all of it, if its host's
+tree has no main part) entropies would leave less than LEAST_LEFT keeps that whole.
+
+Element and class names are a prior beside this, as a host with few pages has too little to tell by. Elements that say what
+they are (nav, footer, aside, ...) go; so do those with a class or id all of whose parts say so ("ad", "comment-list", but
+not "share-prices" or "no-sidebar"), unless they hold the largest article or main element of the page. If that holds half
+or more of what is left, it is the main text by itself.
 
 Spark counts (host, node, form or text) with partial sums before the shuffle, so a host with a third of all pages is
 spread over tasks; a host's low nodes are one short row.
@@ -20,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -28,110 +38,184 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Pages that a node needs to be judged, the least importance that stays, and the weight of content.
-LEAST_PAGES, LEAST_IMPORTANCE, CONTENT = 8, 0.25, 0.9
-#: If entropies leave less than this share of a page's main text, it isn't judged by them.
+#: Pages that a node needs to be judged, the least importance that stays, the weight of content, and the share of a page's
+#: text from which on a node outside of the main part counts in full.
+LEAST_PAGES, LEAST_IMPORTANCE, CONTENT, SMALL = 8, 0.25, 0.9, 0.2
+#: The share of the text that a node of the trunk holds, and its instances a page at most.
+TRUNK, ONCE = 0.7, 1.2
+#: If entropies leave less than this share of a page's main part, it isn't judged by them.
 LEAST_LEFT = 0.4
-#: Elements nested deeper share the node of their ancestor at this depth; their text stays.
-DEEPEST = 40
-
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: An article in a box with a noise name has to be so much larger to be the main one.
+BOXED = 4
+#: Elements nested deeper share the node of their ancestor at this depth; their text stays. Longer names are cut in a path.
+DEEPEST, LONGEST_NAME = 40, 80
+
+START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+#: The rest of a tag; a tag with a quote that isn't closed ends at the first ">".
+QUOTED = re.compile(r"""(?:(?>[^>"']+)|"[^"]*"|'[^']*')*+>""")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "textarea", "title", "select", "button", "canvas", "video", "audio"}
+RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
 VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "br"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "thead", "tbody", "tr", "td", "th", "figure", "figcaption", "header", "section", "div"}
+#: Without a class they go with their container.
+PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "thead", "tbody", "tr", "td", "th", "figcaption"}
+NEVER_LOW = {"html", "body", "article", "main"}
 #: An open element of the set ends where one of the names begins.
-ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 BOUNDS = {"ul", "ol", "dl", "table", "article", "main", "div", "section", "body", "html"}
-NOISE = {"head", "nav", "header", "footer", "aside", "form", "dialog", "menu", "fieldset"}
-NOISE_NAMES = set("ad ads adv advert advertisement adverts aside banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies dialog disqus disclaimer footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget widgets".split())
+#: Elements that are noise wherever they are, and those that are unless they hold the main article; header: outside of one.
+NOISE, MOSTLY_NOISE = {"head", "nav", "footer", "aside", "dialog", "menu"}, {"form", "fieldset"}
+NOISE_NAMES = set("ad ads adv advert advertisement adverts aside banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies dialog disqus disclaimer footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+#: What a name may say besides: which box it is, and where.
+BOX_NAMES = set("area article bar block blog body bottom box button buttons col column container content entry first fixed global group holder inner item items last left links list main modal outer page panel post posts primary right row secondary section site slot sticky text thread top unit wrap wrapper zone".split())
+
+
+@lru_cache(100_000)
+def says_noise(token: str) -> bool:
+    """Whether a class or id says that the element isn't main text: each of its parts is a noise name or a box, one a noise name."""
+    parts = [p for p in re.split(r"[-_]+|(?<=\D)(?=\d)", token) if p and not p[0].isdigit()]
+    return any(p in NOISE_NAMES for p in parts) and all(p in NOISE_NAMES or p in BOX_NAMES for p in parts)
+
+
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Comments and tags: start, end, name in lower case ("" for what is none), whether it closes, attributes.
+
+    A raw element is one tag with all it holds. Each character is looked at a bounded number of times: a comment or raw
+    element that isn't closed takes in the rest, and after one tag whose quotes don't match, quotes count for nothing.
+    """
+    at, quotes = 0, True
+    while m := START.search(html, at):
+        start, at = m.start(), m.end()
+        if m[1]:
+            end = html.find("-->", at)
+            at = len(html) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        end = QUOTED.match(html, at) if quotes and m[3] else None
+        stop = end.end() if end else html.find(">", at) + 1
+        if not stop:
+            return  # no tag ends any more
+        quotes = quotes and (end is not None or not m[3])
+        name = (m[3] or "").lower()
+        attributes = html[at : stop - 1] if name else ""
+        at = stop
+        if name in RAW and not m[2]:
+            close = RAW_END[name].search(html, at)
+            at = close and html.find(">", close.end()) + 1 or len(html)
+        yield start, at, name, bool(m[2]), attributes
+
+
+class Element:
+    __slots__ = ("article", "box", "children", "low", "name", "noise", "noise_inside", "outside", "path", "size")
+
+    def __init__(self, name: str, path: str, parent: Element | None):
+        self.name, self.path, self.children, self.size = name, path, [], 0
+        #: The outermost article or main element around; whether it goes for sure; whether it goes unless it holds the main
+        #: article, by a name outside of any article (box) or inside of one; whether it is low, beside the main part or else.
+        self.article, self.noise, self.box, self.noise_inside, self.outside, self.low = (parent.article, parent.noise, parent.box, parent.noise_inside, parent.outside, parent.low) if parent else (None, False, False, False, False, False)
 
 
 class Page:
-    """One walk over a page's markup: blocks (text, whether in an article, whether low), and what each container node has."""
+    """One walk over a page's markup: blocks of text with their elements, and what each node of the tree has."""
 
     def __init__(self, html: str, low: frozenset[str] = frozenset(), stats: bool = False):
         self.low, self.stats = low, stats
-        self.blocks: list[tuple[str, bool, bool]] = []
-        self.found: dict[tuple[str, str, str], None] = {}
-        #: name, path, whether it goes, whether it is low, whether in an article, children
-        self.stack: list[tuple[str, str, bool, bool, bool, list[str]]] = [("", "", False, False, False, [])]
+        self.blocks: list[tuple[str, Element]] = []
+        self.texts: dict[tuple[str, str], None] = {}
+        self.forms: dict[str, list[str]] = {}
+        self.stack = [Element("", "", None)]
+        #: For each name of an open element, and for BOUNDS together, the places in the stack.
+        self.places: dict[str, list[int]] = {"": []}
         self.text: list[str] = []
         at = 0
-        while m := TOKEN.search(html, at):
-            self.text.append(html[at : m.start()])
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
-            if not name:
+        for start, end, name, closes, attributes in tags(html):
+            self.text.append(html[at:start])
+            at = end
+            if not name or name in INLINE and name != "wbr" or name in RAW and not closes:
                 continue
-            if m[1] or m[4]:
-                self.close(name)
-            elif name in RAW:
-                end = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-            elif name in VOID:
+            if name in VOID:
                 self.text.append(" ")
-            elif name not in INLINE:
-                self.open(name, m[3] if m[2] else m[6])
+            elif closes:
+                if self.places.get(name):
+                    self.flush()
+                    self.pop_to(self.places[name][-1])
+                else:
+                    self.flush()
+            else:
+                self.open(name, attributes)
         self.text.append(html[at:])
-        while len(self.stack) > 1:
-            self.pop()
         self.flush()
+        self.pop_to(0)
 
     def open(self, name: str, attributes: str) -> None:
         self.flush()
         if name in ENDS:
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i][0] in ENDS[name]:
-                    while len(self.stack) > i:
-                        self.pop()
-                    break
-                if self.stack[i][0] in BOUNDS:
-                    break
-        _, path, gone, low, main, children = self.stack[-1]
+            bound = self.places[""][-1] if self.places[""] else 0
+            place = max((self.places[n][-1] for n in ENDS[name] if self.places.get(n)), default=0)
+            if place > bound:
+                self.pop_to(place)
+        parent = self.stack[-1]
         names = " ".join(v.strip("\"'") for _, v in NAMED.findall(attributes)).lower() if attributes else ""
-        children.append(name)
+        if not parent.children or parent.children[-1] != name:
+            parent.children.append(name)
+        path = parent.path
         if len(self.stack) <= DEEPEST:
-            path = f"{path}/{name}.{names}" if names else f"{path}/{name}"
-        bare = name in PLAIN and not names
-        gone = gone or (name in NOISE and not (name == "header" and main)) or bool(names and NOISE_NAMES.intersection(re.split(r"[^a-z]+", names)))
-        low = low or (path in self.low and not (main and bare) and name not in ("html", "body", "article", "main"))
-        main = main or name in ("article", "main") or "main" in names.split()
-        self.stack.append((name, path, gone, low, main, []))
-
-    def pop(self) -> None:
-        self.flush()
-        _, path, _, _, _, children = self.stack.pop()
-        if self.stats:
-            self.found.setdefault((path, "form", " ".join(children)))
-
-    def close(self, name: str) -> None:
-        if name in INLINE or name in VOID:
-            return
-        self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == name:
-                while len(self.stack) > i:
-                    self.pop()
-                return
+            path = f"{path}/{name}.{names[:LONGEST_NAME].replace('/', '|')}" if names else f"{path}/{name}"
+        e = Element(name, path, parent)
+        inside = e.article is not None
+        if name in ("article", "main") or "main" in names.split():
+            e.article = e.article or e
+        e.noise = e.noise or name in NOISE or (name == "header" and not inside)
+        said = name in MOSTLY_NOISE or name not in NEVER_LOW and any(says_noise(t) and not (inside and t == "header") for t in names.split())
+        if inside:
+            e.noise_inside = e.noise_inside or said
+        else:
+            e.box = e.box or said
+        if self.low and name not in NEVER_LOW and (names or name not in PLAIN):
+            e.outside = e.outside or "!" + path in self.low
+            e.low = e.low or path in self.low
+        for n in (name, "") if name in BOUNDS else (name,):
+            self.places.setdefault(n, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def pop_to(self, place: int) -> None:
+        """Closes the elements from ``place`` of the stack on; the root (place 0) is only counted."""
+        while len(self.stack) > place:
+            e = self.stack.pop()
+            if e.name:
+                self.places[e.name].pop()
+                if e.name in BOUNDS:
+                    self.places[""].pop()
+            if self.stats:
+                self.forms.setdefault(e.path, []).append(" ".join(e.children))
 
     def flush(self) -> None:
         text = " ".join(unescape("".join(self.text)).split())
         self.text = []
         if text:
             if self.stats:
-                for _, path, _, _, _, _ in self.stack[1 : DEEPEST + 1]:
-                    self.found.setdefault((path, "text", text))
-            if not self.stack[-1][2]:
-                self.blocks.append((text, self.stack[-1][4], self.stack[-1][3]))
+                for e in self.stack[: DEEPEST + 1]:
+                    self.texts.setdefault((e.path, text))
+            e = self.stack[-1]
+            self.blocks.append((text, e))
+            if e.article and not e.noise and not e.noise_inside:
+                e.article.size += len(text)
 
     def main_text(self) -> str:
-        blocks = [(t, low) for t, main, low in self.blocks if main] or [(t, low) for t, _, low in self.blocks]
-        left = [t for t, low in blocks if not low]
-        if sum(map(len, left)) < LEAST_LEFT * sum(len(t) for t, _ in blocks):
-            left = [t for t, _ in blocks]
-        return "\n".join(left)
+        # an article in a box with a noise name is more often a comment or a teaser
+        largest = max((e.article for _, e in self.blocks if e.article), key=lambda a: a.size / (BOXED if a.box else 1), default=None)
+        rest = [(t, e) for t, e in self.blocks if not e.noise and not e.noise_inside and not (e.box and (e.article is None or e.article is not largest))]
+        rest = [(t, e) for t, e in rest if not e.outside] or rest
+        left = [(t, e) for t, e in rest if not e.low]
+        if _size(left) < LEAST_LEFT * _size(rest):
+            left = rest
+        inside = [(t, e) for t, e in left if e.article is not None and e.article is largest]
+        return "\n".join(t for t, _ in (inside if inside and 2 * _size(inside) >= _size(left) else left))
+
+
+def _size(blocks: list[tuple[str, Element]]) -> int:
+    return sum(len(t) for t, _ in blocks)
 
 
 def visible_text(html: str) -> str:
@@ -143,25 +227,20 @@ def visible_text(html: str) -> str:
             blocks.append(block)
         text.clear()
 
-    while m := TOKEN.search(html, at):
+    for start, end, name, closes, _ in tags(html):
         if not head:
-            text.append(html[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+            text.append(html[at:start])
+        at = end
         if not name or name in INLINE and name != "wbr":
             continue
         if name in VOID:
             text.append(" ")
             continue
         flush()
-        closes = m[1] or m[4]
         if name == "head":
             head = not closes
         elif name == "body":
             head = False
-        elif name in RAW and not closes:
-            end = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
     if not head:
         text.append(html[at:])
     flush()
@@ -172,34 +251,59 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """One row for each host that has nodes of low importance: host, nodes."""
+def importance(pages: DataFrame) -> DataFrame:
+    """The judged nodes of each host's tree: host, node, m, presentation, content, share, trunk, inside and importance."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                hosts, paths, kinds, values = [], [], [], []
+                hosts, paths, kinds, values, sizes = [], [], [], [], []
                 for h, html in zip(batch.column(0).slice(at, 200).to_pylist(), batch.column(1).slice(at, 200).to_pylist(), strict=True):
-                    found = Page(html, stats=True).found
-                    hosts += [h] * len(found)
-                    for path, kind, value in found:
+                    page = Page(html, stats=True)
+                    for path, text in page.texts:
+                        paths.append(path)
+                        values.append(xxh64_intdigest(text) - (1 << 63))
+                        sizes.append(len(text))
+                    for path, forms in page.forms.items():
                         paths.append(path)
-                        kinds.append(kind == "text")
-                        values.append(xxh64_intdigest(value) - (1 << 63))
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.bool_()), pa.array(values, pa.int64())], names=["host", "node", "is_text", "value"])
-
-    rows = pages.select("host", "html").mapInArrow(nodes, "host string, node string, is_text boolean, value long")
-    counted = rows.groupBy("host", "node", "is_text", "value").agg(F.count("*").alias("k"))
-    form, text = F.when(~F.col("is_text"), F.col("k")), F.when(F.col("is_text"), F.col("k"))
-    # a page has a node in one form or in several; forms that pages share count for each
-    nodes_ = counted.groupBy("host", "node").agg(F.sum(form).alias("m"), F.sum(form * F.log(form)).alias("forms"), F.sum(F.log(text)).alias("texts"), F.count(text).alias("n"))
+                        values.append(xxh64_intdigest("|".join(sorted(set(forms)))) - (1 << 63))
+                        sizes.append(len(forms))
+                    hosts += [h] * (len(page.texts) + len(page.forms))
+                    kinds += [True] * len(page.texts) + [False] * len(page.forms)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.bool_()), pa.array(values, pa.int64()), pa.array(sizes, pa.int64())], names=["host", "node", "is_text", "value", "size"])
+
+    rows = pages.select("host", "html").mapInArrow(nodes, "host string, node string, is_text boolean, value long, size long")
+    counted = rows.groupBy("host", "node", "is_text", "value").agg(F.count("*").alias("k"), F.sum("size").alias("s"))
+    form, text = (lambda x: F.when(~F.col("is_text"), x)), (lambda x: F.when(F.col("is_text"), x))
+    k, s = F.col("k"), F.col("s")
+    # a page gives one form of a node, and each of its texts once
+    sums = counted.groupBy("host", "node").agg(F.sum(form(k)).alias("m"), F.sum(form(k * F.log(k))).alias("forms"), F.sum(form(s)).alias("n"), F.sum(text(s / k * F.log(k))).alias("old"), F.sum(text(s / k)).alias("texts"), F.sum(text(s)).alias("chars"))
+    sums = saved(sums.where(F.col("m") >= LEAST_PAGES), "nodes")
+    whole = sums.where("node = ''").select("host", (F.col("chars") / F.col("m")).alias("page_chars"))
     base = F.log("m")
-    presentation = (base - F.col("forms") / F.col("m")) / base
-    content = F.when(F.col("n") > 0, 1 - F.col("texts") / F.col("n") / base).otherwise(0.0)
-    low = nodes_.where(F.col("m") >= LEAST_PAGES).where((1 - CONTENT) * presentation + CONTENT * content < LEAST_IMPORTANCE)
-    return low.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    found = sums.where("node <> ''").join(whole, "host").select(
+        "host", "node", "m", ((base - F.col("forms") / F.col("m")) / base).alias("presentation"),
+        F.when(F.col("texts") > 0, 1 - F.col("old") / F.col("texts") / base).otherwise(0.0).alias("content"),
+        F.coalesce(F.col("chars") / F.col("m") / F.col("page_chars"), F.lit(0.0)).alias("share"), (F.col("n") / F.col("m")).alias("instances"),
+    )
+    holds = (F.col("share") >= TRUNK) & (F.col("instances") <= ONCE) & F.col("node").rlike(r"/(?:html|body|div|section|article|main|form|center|table|tbody|tr|td)(?:\.[^/]*)?$") & ~F.col("node").rlike(r"/(?:article|main)(?:\.[^/]*)?/")
+    trunks = found.where(holds).groupBy("host").agg(F.collect_set("node").alias("trunk"))
+    # the main part begins at the end of a trunk, if that is more than html and body
+    ends = F.filter("trunk", lambda t: ~t.rlike(r"/(?:html|body)(?:\.[^/]*)?$") & ~F.exists("trunk", lambda u: u.startswith(F.concat(t, F.lit("/")))))
+    placed = found.join(trunks.withColumn("ends", ends), "host", "left")
+    node = F.col("node")
+    placed = placed.withColumn("on_trunk", F.coalesce(F.exists("trunk", lambda t: (t == node) | t.startswith(F.concat(node, F.lit("/")))), F.lit(False))).withColumn("inside", F.coalesce(F.exists("ends", lambda t: node.startswith(F.concat(t, F.lit("/")))), F.lit(False)))
+    weight = F.when(F.col("inside"), 1.0).otherwise(F.least(F.lit(1.0), F.col("share") / SMALL))
+    return placed.select("host", "node", "m", "presentation", "content", "share", "on_trunk", "inside", F.coalesce(F.size("ends") > 0, F.lit(False)).alias("has_main"), ((1 - CONTENT) * F.col("presentation") + CONTENT * F.col("content") * weight).alias("importance"))
+
+
+def low_nodes(pages: DataFrame) -> DataFrame:
+    """One row for each host that has nodes of low importance: host, nodes; "!" marks those beside the main part."""
+    low = importance(pages).where(~F.col("on_trunk") & (F.col("importance") < LEAST_IMPORTANCE))
+    marked = F.when(F.col("has_main") & ~F.col("inside"), F.concat(F.lit("!"), F.col("node"))).otherwise(F.col("node"))
+    return low.groupBy("host").agg(F.sort_array(F.collect_list(marked)).alias("nodes"))
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
