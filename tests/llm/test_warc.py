@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import zlib
 
 from tickloom.llm import warc
 from tickloom.llm.queries import QUERIES
@@ -18,12 +20,10 @@ def test_round_trip_and_links(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, headers string")
     made = warc.responses(pages)
     path = f"file://{tmp_path}/w"
-    warc.write_warc(made, path, records_a_file=2)
-    warc.write_warc(made, path + "plain", compression="none")
-    assert warc.read_warc(spark, path + "plain").count() == len(rows)
+    warc.write_warc(made, path, file_bytes=500)
     read = warc.read_warc(spark, path).collect()
     assert sorted((sorted(r.headers.items()), bytes(r.block)) for r in read) == sorted((sorted(r.headers.items()), bytes(r.block)) for r in made.collect())
-    warc.write_warc(warc.derive(warc.read_warc(spark, path)), path + "d", records_a_file=3)
+    warc.write_warc(warc.derive(warc.read_warc(spark, path)), path + "d", file_bytes=900)
     derived = warc.read_warc(spark, path + "d").collect()
     assert len(derived) == 2 * len(rows)
     by_id = {r.headers["WARC-Record-ID"]: r for r in read}
@@ -60,3 +60,34 @@ def test_query(spark):
         r, text = found[p.page_id], visible_text(p.html)
         assert (r.url, r.payload_digest, r.n_bytes, r.n_chars, r.text_sha256, r.linked) == (p.url, sha1(p.html.encode()), len(p.html.encode()), len(text), hashlib.sha256(text.encode()).hexdigest(), True)
         assert r.refers_to == warc.record_id("response", p.page_id, p.url, sha1(p.html.encode()))
+
+
+def test_members_and_foreign_files(spark, tmp_path):
+    """Every record is a gzip member; other WARC headers of a source are kept; plain files and blocks of any bytes are read."""
+    blocks = [b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n\xff\xfe\x00" + bytes(range(256)) * k for k in range(4)]
+    rows = [({"WARC-Type": "response", "WARC-Record-ID": f"<urn:{k}>", "WARC-Truncated": "length", "Content-Length": str(len(b))}, b) for k, b in enumerate(blocks)]
+    made = spark.createDataFrame(rows, "headers map<string,string>, block binary").coalesce(1)
+    warc.write_warc(made, f"file://{tmp_path}/w", file_bytes=10**6)
+    (file,) = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    found, members = file, []
+    while found:
+        d = zlib.decompressobj(31)
+        members.append(d.decompress(found))
+        found = d.unused_data
+    assert [m.startswith(b"WARC/1.0\r\n") for m in members] == [True] * 4 + [False] and members[-1] == b""
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "a.warc").write_bytes(gzip.decompress(file))
+    for folder in ("w", "plain"):
+        read = warc.read_warc(spark, f"file://{tmp_path}/{folder}")
+        assert sorted(bytes(r.block) for r in read.collect()) == sorted(blocks)
+        fields = [bytes(r.block) for r in warc.derive(read).collect() if r.headers["WARC-Type"] == "metadata"]
+        assert len(fields) == 4 and all(b"source-warc-WARC-Truncated: length\r\n" in f for f in fields)
+
+
+def test_long_and_repeated_pages(spark, tmp_path):
+    """A page of 50 MB goes to a file and back, and to its derivatives; repeated pages stay as many rows."""
+    text = "<p>" + "word &amp; " * 5_000_000
+    pages = spark.createDataFrame([(1, "http://h/1", text), (2, "http://h/2", "<p>x"), (2, "http://h/2", "<p>x")], "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(f"file://{tmp_path}/pages.parquet")
+    found = sorted((r.page_id, r.n_bytes, r.n_chars, r.linked) for r in QUERIES["op4_warc_derivatives"](spark, f"file://{tmp_path}").collect())
+    assert found == [(1, len(text), 7 * 5_000_000 - 1, True), (2, 4, 1, True), (2, 4, 1, True)]

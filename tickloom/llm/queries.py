@@ -54,7 +54,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as responses in WARC files, their derivatives in others; a row for each page from what is read back."""
+    """All pages as responses in WARC files, their derivatives in others; a row for each page from what is read back.
+
+    Rows of pages that are equal in all columns have records with equal ids, and give as many equal rows.
+    """
     sources, derived = new_dir(spark, "warc"), new_dir(spark, "warc-derived")
     warc.write_warc(warc.responses(table(spark, sf_dir, "pages")), sources)
     warc.write_warc(warc.derive(warc.read_warc(spark, sources)), derived)
@@ -67,8 +70,8 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("headers")["WARC-Type"].alias("kind"), F.col("headers")["WARC-Record-ID"].alias("id"), F.col("headers")["WARC-Concurrent-To"].alias("with_"), F.when(F.col("headers")["WARC-Type"] == "metadata", field("source-payload-digest")).alias("payload"), F.when(F.col("headers")["WARC-Type"] == "metadata", field("source-header-Content-Length").cast("long")).alias("n_bytes"), F.sha2("block", 256).alias("sha256"), F.length(F.decode("block", "UTF-8")).cast("long").alias("n_chars")).alias("r"),
     )
     kind = lambda name, column: F.max(F.when(F.col("r.kind") == name, F.col(f"r.{column}")))
-    pages = rows.groupBy("page_id", "refers_to", "url").agg(kind("metadata", "id").alias("metadata_id"), kind("conversion", "id").alias("conversion_id"), kind("metadata", "payload").alias("payload_digest"), kind("metadata", "n_bytes").alias("n_bytes"), kind("conversion", "n_chars").alias("n_chars"), kind("conversion", "sha256").alias("text_sha256"), (kind("metadata", "with_") == kind("conversion", "id")).alias("linked"))
-    return pages
+    pages = rows.groupBy("page_id", "refers_to", "url").agg(kind("metadata", "id").alias("metadata_id"), kind("conversion", "id").alias("conversion_id"), kind("metadata", "payload").alias("payload_digest"), kind("metadata", "n_bytes").alias("n_bytes"), kind("conversion", "n_chars").alias("n_chars"), kind("conversion", "sha256").alias("text_sha256"), (kind("metadata", "with_") == kind("conversion", "id")).alias("linked"), F.count(F.when(F.col("r.kind") == "metadata", 1)).alias("copies"))
+    return pages.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
 
 
 @query

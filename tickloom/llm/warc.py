@@ -1,8 +1,9 @@
 """WARC derivatives: metadata and plain-text conversion records, linked to the responses that they come from.
 
-A WARC file is written by Spark's text writer, one record a row, with the two line ends that close a record as the row
-separator; it is read whole and cut by the records' own Content-Length, so no text inside can be taken for a border.
-Files hold a bounded number of records.
+Each record is a gzip member of its own, so a reader can start at any record. Tasks put members together up to FILE_BYTES,
+and Spark's text writer makes a file of each such run (a longer record is a file by itself); the row separator that it adds
+is an empty gzip member, which holds nothing. Files are read as a stream and cut by the records' own Content-Length, so no
+text inside can be taken for a border; a task holds one file's compressed bytes and one record.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,11 +23,19 @@ from pyspark.sql import functions as F
 
 from .site_style import visible_text
 
-RECORDS_A_FILE = 1000
+#: Bytes of a file, as it is on disk, from which on it ends.
+FILE_BYTES = 16 << 20
+#: Rows of an Arrow batch, and the bytes of their blocks from which on it ends.
+BATCH_ROWS, BATCH_BYTES = 200, 8 << 20
+#: The date of a response for which none is given: tables of pages have none, and WARC asks for one.
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "headers map<string,string>, block binary"
 #: Fixed value: the name space of record ids that are made from content.
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+#: Fixed value: a gzip member of no bytes.
+EMPTY = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
+#: Headers that have a place of their own in derivatives.
+OWN = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Block-Digest", "Content-Type", "Content-Length", "X-Source-Row")
 
 
 def digest(data: bytes) -> str:
@@ -46,14 +57,29 @@ def record(kind: str, headers: dict[str, object], block: bytes) -> tuple[dict[st
     return given | {"WARC-Block-Digest": digest(block), "Content-Length": str(len(block))}, block
 
 
+def batched(records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of records, bounded by bytes."""
+    out, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _ in out], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in out], pa.binary())], names=["headers", "block"])
+
+    for r in records:
+        out.append(r)
+        size += len(r[1])
+        if len(out) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield batch()
+            out, size = [], 0
+    if out:
+        yield batch()
+
+
 def _records(rows: DataFrame, make) -> DataFrame:
     """The records that ``make`` gives for each row's values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                out = [r for row in zip(*(c.slice(at, 200).to_pylist() for c in batch.columns), strict=True) for r in make(*row)]
-                yield pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _ in out], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in out], pa.binary())], names=["headers", "block"])
+            yield from batched(r for i in range(batch.num_rows) for r in make(*(c[i].as_py() for c in batch.columns)))
 
     return rows.mapInArrow(run, RECORD)
 
@@ -61,7 +87,8 @@ def _records(rows: DataFrame, make) -> DataFrame:
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
     """Response records of pages, with HTTP headers. Null html is an empty body; a null url or id leaves out its header.
 
-    Equal rows give equal records, with one id. Other columns are left behind.
+    Equal rows give equal records, with one id. Other columns are left behind. An empty table gives no records; pages are
+    carried whole. All records have the date ``date``, in WARC's form.
     """
 
     def make(page: object, url: str | None, html: str | None) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -97,12 +124,14 @@ def derive(sources: DataFrame) -> DataFrame:
 
     Both refer to the response (WARC-Refers-To) and to each other (WARC-Concurrent-To), and carry its target, date, payload
     digest and source row. The metadata block has the status line, every source header and the source's digests as
-    fields; the conversion block is the visible text in UTF-8. A payload that doesn't match its digest is marked so.
+    fields, and every other WARC header of the source as source-warc-NAME; the conversion block is the visible text in
+    UTF-8. A payload that doesn't match its digest is marked so. A null block counts as empty; a response without an id
+    gives records that refer to nothing; repeated responses each give their two records, with equal ids.
     """
 
     names = ["WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Block-Digest", "X-Source-Row"]
 
-    def make(block: bytes, *values: str | None) -> Iterator[tuple[dict[str, str], bytes]]:
+    def make(block: bytes, more: list[tuple[str, str]], *values: str | None) -> Iterator[tuple[dict[str, str], bytes]]:
         source = {k: v for k, v in zip(names, values, strict=True) if v is not None}
         status, http, body = split_http(block or b"")
         name, found = charset(http), digest(body)
@@ -110,53 +139,78 @@ def derive(sources: DataFrame) -> DataFrame:
         of = source.get("WARC-Record-ID")
         ids = {kind: record_id(kind, of) for kind in ("metadata", "conversion")}
         shared = {"WARC-Date": source.get("WARC-Date"), "WARC-Target-URI": source.get("WARC-Target-URI"), "WARC-Refers-To": of, "WARC-Refers-To-Target-URI": source.get("WARC-Target-URI"), "WARC-Refers-To-Date": source.get("WARC-Date"), "X-Source-Row": source.get("X-Source-Row")}
-        fields = [("source-status", status), *((f"source-header-{k}", v) for k, v in http), ("source-charset", name), ("source-payload-digest", source.get("WARC-Payload-Digest", found)), ("source-block-digest", source.get("WARC-Block-Digest", "")), ("source-payload-matches", str(source.get("WARC-Payload-Digest", found) == found).lower()), ("conversion-block-digest", digest(text))]
+        fields = [("source-status", status), *((f"source-header-{k}", v) for k, v in http), *((f"source-warc-{k}", v) for k, v in more), ("source-charset", name), ("source-payload-digest", source.get("WARC-Payload-Digest", found)), ("source-block-digest", source.get("WARC-Block-Digest", "")), ("source-payload-matches", str(source.get("WARC-Payload-Digest", found) == found).lower()), ("conversion-block-digest", digest(text))]
         yield record("metadata", {"WARC-Record-ID": ids["metadata"], **shared, "WARC-Concurrent-To": ids["conversion"], "Content-Type": "application/warc-fields"}, "".join(f"{clean(k)}: {clean(v)}\r\n" for k, v in fields).encode())
         yield record("conversion", {"WARC-Record-ID": ids["conversion"], **shared, "WARC-Concurrent-To": ids["metadata"], "Content-Type": "text/plain; charset=utf-8", "WARC-Source-Payload-Digest": source.get("WARC-Payload-Digest", found)}, text)
 
     of_pages = sources.where(F.col("headers")["WARC-Type"] == "response")
-    return _records(of_pages.select("block", *(F.col("headers")[n].alias(n) for n in names)), make)
+    more = F.map_filter("headers", lambda k, _: ~k.isin(*OWN))
+    return _records(of_pages.select("block", more.alias("more"), *(F.col("headers")[n].alias(n) for n in names)), make)
+
+
+def member(headers: dict[str, str], block: bytes, level: int = 1) -> bytes:
+    """A record as WARC/1.0 in a gzip member."""
+    out = zlib.compressobj(level, wbits=31)
+    head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + "\r\n"
+    return out.compress(head.encode()) + out.compress(block) + out.compress(b"\r\n\r\n") + out.flush()
 
 
-def write_warc(records: DataFrame, path: str, records_a_file: int = RECORDS_A_FILE, compression: str = "gzip") -> None:
-    """Writes records as WARC/1.0 files, each file one gzip stream unless ``compression`` is none.
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Writes records (headers, block) as gzipped WARC/1.0 files of about ``file_bytes`` bytes, or a longer record's size.
 
-    Blocks have to be UTF-8, as those of this module are.
+    Blocks are any bytes; a null block counts as empty, null headers as none. Repeated records are written as often as they
+    come, an empty table gives no records; other columns are left behind.
     """
-    lines = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\r\n")
-    value = F.concat(F.lit("WARC/1.0\r\n"), lines, F.lit("\r\n\r\n"), F.decode("block", "UTF-8"))
-    records.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_a_file).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.append(member(dict(batch.column(0)[i].as_py() or ()), batch.column(1)[i].as_py() or b""))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+    # a cast keeps the bytes as they are
+    files = records.select("headers", "block").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of a file; gzip is told by its first bytes, whether the file or each record is a stream."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(headers["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield headers, block
-        at = end + 4 + size + 4
+    """The records of a file, one at a time; gzip is told by its first bytes, whether the file or each record is a member."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    with io.BufferedReader(stream, 1 << 16) as lines:
+        while line := lines.readline():
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record: {line[:40]!r}")
+            headers = {}
+            while (line := lines.readline()) not in (b"\r\n", b"\n"):
+                if not line:
+                    raise ValueError("a record's headers are cut off")
+                k, _, v = line.decode("utf-8", "replace").partition(":")
+                headers[k.strip()] = v.strip()
+            size = int(headers["Content-Length"])
+            block = lines.read(size)
+            if len(block) < size:
+                raise ValueError("a record is cut off")
+            yield headers, block
+            lines.read(4)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files in a folder: headers (map) and block (binary). A file has to fit into memory."""
+    """The records of all WARC files in a folder: headers (map) and block (binary); of an empty folder none.
+
+    Repeated records come as often as they are there. A file's bytes on disk have to fit into a row (2 GB), and a record
+    into a worker's memory.
+    """
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                found = list(parse_warc(content.as_py()))
-                for at in range(0, len(found), 200):
-                    part = found[at : at + 200]
-                    yield pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _ in part], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in part], pa.binary())], names=["headers", "block"])
+                yield from batched(parse_warc(content.as_py()))
 
     return files.mapInArrow(run, RECORD)
