@@ -25,10 +25,45 @@ def test_tiers_and_versions(spark, tmp_path):
     store.vacuum(keep=1)
     assert store.versions() == [last] and rows(store.read()) == rows(docs.union(docs))
     with pytest.raises(shards.Conflict):
-        store.commit(last, [])
+        store.commit(last, [], [], [])
     assert store.manifest()["version"] == last
 
 
+def test_vacuum_beside_a_writer(spark, tmp_path):
+    """A writer between its files and its commit loses nothing to vacuum(); one beyond the grace period fails, and no version breaks."""
+    docs = documents(spark, EDGE_TEXTS)
+    store = shards.Store(spark, f"file://{tmp_path}/s", docs.schema)
+    store.append(docs)
+    new, note = store._write(docs)
+    store.vacuum()
+    store.commit(2, new, [], [note])
+    assert rows(store.read()) == rows(docs.union(docs))
+    new, note = store._write(docs)
+    store.vacuum(grace=-1)
+    with pytest.raises(RuntimeError, match="grace"):
+        store.commit(3, new, [], [note])
+    assert store.versions() == [2] and rows(store.read()) == rows(docs.union(docs))
+    store.append(docs)
+    store.vacuum(grace=-1)
+    assert rows(store.read()) == rows(docs.union(docs).union(docs)) and not list((tmp_path / "s" / "writing").glob("[0-9a-f]*"))
+
+
+def test_manifests_hold_what_is_new(spark, tmp_path, monkeypatch):
+    import json
+
+    monkeypatch.setattr(shards, "SNAPSHOT", 3)
+    docs = documents(spark, EDGE_TEXTS)
+    store = shards.Store(spark, f"file://{tmp_path}/s", docs.schema)
+    for n in range(1, 8):
+        assert store.append(docs.coalesce(1)) == n
+    files = {p.name: json.loads(p.read_text()) for p in (tmp_path / "s" / "manifest").glob("[sv]*.json")}
+    assert sorted(files) == [f"s{n:08d}.json" for n in (3, 6)] + [f"v{n:08d}.json" for n in range(1, 8)]
+    assert all(len(files[f"v{n:08d}.json"]["add"]) == 1 for n in range(1, 8)) and len(files["s00000006.json"]["files"]) == 6
+    assert [len(store.manifest(n)["files"]) for n in range(1, 8)] == list(range(1, 8))
+    store.vacuum(keep=2)
+    assert store.versions() == [6, 7] and [len(store.manifest(n)["files"]) for n in (6, 7)] == [6, 7]
+
+
 def test_edge_cases(spark, tmp_path):
     docs = documents(spark, EDGE_TEXTS)
     store = shards.Store(spark, f"file://{tmp_path}/s", docs.schema, rows_a_shard=2)
