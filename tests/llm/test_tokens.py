@@ -116,6 +116,19 @@ def test_token_files_edge_cases(spark, tmp_path, monkeypatch):
         assert sorted(((str(r.doc_id), r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in found), key=lambda r: r[1]) == plain_files(rows)
 
 
+def test_token_files_of_hot_ids(spark, tmp_path, monkeypatch):
+    """Documents that share an id, or have none, are spread over buckets of about equal size, in order."""
+    monkeypatch.setattr(token_files, "LEAST_BYTES", 200)
+    monkeypatch.setattr(token_files, "BUCKET_BYTES", 2_000)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} of many {i * i}") for i in range(3000)]
+    target = f"file://{tmp_path}/hot"
+    token_files.write_tokens(documents(spark, rows), target, PATH, 2)
+    found = token_files.read_tokens(spark, target).collect()
+    assert sorted(((str(r.doc_id), r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in found), key=lambda r: r[1]) == plain_files(rows)
+    sizes = [r["count"] for r in spark.read.parquet(f"{target}/blocks").selectExpr("bucket", "explode(docs)").groupBy("bucket").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 4 * len(rows) / len(sizes)
+
+
 def test_token_files_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     found = QUERIES["op8_token_files"](spark, SF).collect()

@@ -18,11 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) an own one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a local master (as in tests) gets a temporary folder; on a cluster that is an error, as a machine's
+    own folder isn't seen by the others.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tickloom-"))
         shared = context.getCheckpointDir().get()
     return shared.rstrip("/")
@@ -54,7 +60,8 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 def workers_find_us(spark: SparkSession) -> None:
     """Python workers import this package by name, from the folder that holds it, wherever the driver was started.
 
-    Batches for them are kept small: their default of 64 MB, on both sides of the pipe, is much where texts are long.
+    Batches for them are kept small: their default of 64 MB, on both sides of the pipe, is much where texts are long. This
+    changes the session: its batch size, where that is the default, and the workers' PYTHONPATH, to which a folder is added.
     """
     if spark.conf.get(BATCH) == "67108864b":
         spark.conf.set(BATCH, "8m")

@@ -1,11 +1,13 @@
 """Token ids in files: canonical length-limited Huffman codes, in independent blocks with bit-offset checkpoints.
 
-The ids of all documents, in ascending order of document, are cut into buckets by quantiles of the document id and within
-a bucket into blocks of whole documents. A block holds its documents' ids as one bit stream under the code that the
+The ids of all documents, in ascending order of document, are cut into buckets of about BUCKET_BYTES by ranges of the
+document id (and of the first ids of a document, so that one id with very many documents is split as well), and within a
+bucket into blocks of whole documents. A block holds its documents' ids as one bit stream under the code that the
 global counts give, with the bit offset of every EVERY-th id. Blocks decode on their own, and within a block the stretches
 between checkpoints are decoded side by side, by one table look-up for each id. On disk the format is a folder:
 
-    blocks/   Parquet, a folder for each bucket: first id's position, document ids, lengths, bits, checkpoints
+    blocks/   Parquet: bucket, first id's position in it, document ids, lengths, bits, checkpoints
+    buckets/  Parquet: for each bucket the ids of all buckets before it
     code/     Parquet: each id that occurs and the length of its code; canonical codes follow from these
 """
 
@@ -16,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +30,10 @@ from .vocabulary import byte_letters, vocabulary
 LONGEST = 18
 BLOCK_IDS = 1 << 18
 EVERY = 128
+#: Bytes of ids that a bucket should hold, the least of them for the sake of more tasks, and bytes of a document that order it.
+BUCKET_BYTES, LEAST_BYTES, ORDERED = 64 << 20, 2 << 20, 64
 REMEMBERED_WORDS = 200_000
+BLOCK = "bucket int, start long, docs array<long>, lengths array<long>, bits binary, checkpoints binary"
 
 
 @cache
@@ -148,9 +154,6 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int, id_col: s
     their own; other columns are left behind. An empty table gives empty tables.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.agg(F.percentile_approx(id_col, [(i + 1) / buckets for i in range(buckets - 1)])).first()[0] if buckets > 1 else None
-    bounds = np.array(sorted(set(bounds or [])), np.int64)
     size = len(vocabulary(path).bytes)
     kind = "<u2" if size <= 1 << 16 else "<u4"
     item = np.dtype(kind).itemsize
@@ -161,31 +164,12 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int, id_col: s
             for part, texts in slices(batch, "text"):
                 ids, n = ids_of(texts, library_encoder(path), special)
                 ids = np.insert(ids, np.cumsum(n), end_id)
-                bucket = np.where(part.column(0).is_valid(), np.searchsorted(bounds, part.column(0).fill_null(0).to_numpy(zero_copy_only=False), "left"), 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bucket, pa.int32()), pa.array(n + 1, pa.int64()), binary(ids.astype(kind).tobytes(), (n + 1) * item)], names=["id", "bucket", "n", "ids"])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds each document's first position in its bucket; a task has whole buckets, in order."""
-        bucket, at = -1, 0
-        for batch in freed(batches):
-            of, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            ends = np.cumsum(n)
-            fresh = np.diff(of, prepend=bucket) != 0
-            base = np.where(fresh, ends - n, 0)
-            if len(n) and not fresh[0]:
-                base[0] = -at
-                fresh[0] = True
-            begin = ends - n - base[np.maximum.accumulate(np.where(fresh, np.arange(len(n)), 0))]
-            if len(n):
-                bucket, at = int(of[-1]), int(begin[-1] + n[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(begin, pa.int64())], names=["id", "bucket", "n", "ids", "begin"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n + 1, pa.int64()), binary(ids.astype(kind).tobytes(), (n + 1) * item)], names=["id", "n", "ids"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    encoded = plain.mapInArrow(encode, "id long, bucket int, n long, ids binary")
-    placed = encoded.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id", "ids").mapInArrow(place, "id long, bucket int, n long, ids binary, begin long")
     store = new_dir(spark, "tokens")
-    placed.write.option("compression", "zstd").parquet(store)
-    tokens = spark.read.schema("id long, bucket int, n long, ids binary, begin long").parquet(store)
+    plain.mapInArrow(encode, "id long, n long, ids binary").write.option("compression", "zstd").parquet(store)
+    tokens = spark.read.schema("id long, n long, ids binary").parquet(store)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -199,27 +183,30 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int, id_col: s
         counts[row["id"]] = row["count"]
     lengths = code_lengths(counts)
     codes = canonical(lengths)
-    totals = np.zeros(len(bounds) + 1, np.int64)  # as long as the number of partitions
-    for row in tokens.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        totals[row["bucket"]] = row["n"]
-    bases = np.cumsum(totals) - totals
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, length int").coalesce(1).write.parquet(f"{target}/code")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task has a bucket, in order."""
+        bucket, at = TaskContext.get().partitionId(), 0
         for batch in freed(batches):
-            n = batch.column(2).to_numpy()
-            # a bucket's end, and enough ids, close a block
-            cut = np.cumsum(n) // BLOCK_IDS
-            edges = np.flatnonzero(np.diff(cut, prepend=-1) | np.diff(batch.column(1).to_numpy(), prepend=-1)).tolist()
+            n = batch.column(1).to_numpy()
+            # a batch's end, and enough ids, close a block
+            edges = np.flatnonzero(np.diff(np.cumsum(n) // BLOCK_IDS, prepend=-1)).tolist()
             for a, b in zip(edges, [*edges[1:], batch.num_rows], strict=True):
                 rows = batch.slice(a, b - a)
-                bucket, start = rows.column(1)[0].as_py(), rows.column(4)[0].as_py()
-                bits, marks, _ = pack(np.frombuffer(b"".join(rows.column(3).to_pylist()), kind), codes, lengths)
-                values = [[bucket], [start + int(bases[bucket])], [rows.column(0).to_pylist()], [n[a:b].tolist()], [bits], [marks.astype("<u4").tobytes()]]
+                bits, marks, _ = pack(np.frombuffer(b"".join(rows.column(2).to_pylist()), kind), codes, lengths)
+                values = [[bucket], [at], [rows.column(0).to_pylist()], [n[a:b].tolist()], [bits], [marks.astype("<u4").tobytes()]]
+                at += int(n[a:b].sum())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], names=["bucket", "start", "docs", "lengths", "bits", "checkpoints"])
 
-    blocks = tokens.mapInArrow(block, "bucket int, start long, docs array<long>, lengths array<long>, bits binary, checkpoints binary")
-    blocks.write.option("compression", "none").partitionBy("bucket").parquet(f"{target}/blocks")
+    n_bytes = int(counts.sum()) * item
+    buckets = max(-(-n_bytes // BUCKET_BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-n_bytes // LEAST_BYTES)), 1)
+    placed = tokens.repartitionByRange(buckets, "id", F.substring("ids", 1, ORDERED)).sortWithinPartitions("id", "ids")
+    placed.mapInArrow(block, BLOCK).write.option("compression", "none").parquet(f"{target}/blocks")
+    totals = np.zeros(buckets, np.int64)
+    for row in spark.read.schema(BLOCK).parquet(f"{target}/blocks").groupBy("bucket").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect():
+        totals[row["bucket"]] = row["n"]
+    spark.createDataFrame([(i, int(x)) for i, x in enumerate(np.cumsum(totals) - totals)], "bucket int, base long").coalesce(1).write.parquet(f"{target}/buckets")
 
 
 def read_tokens(spark: SparkSession, target: str, id_col: str = "doc_id") -> DataFrame:
@@ -230,6 +217,7 @@ def read_tokens(spark: SparkSession, target: str, id_col: str = "doc_id") -> Dat
             lengths = np.concatenate((lengths, np.zeros(row["id"] + 1 - len(lengths), np.int64)))
         lengths[row["id"]] = row["length"]
     tables: list = []
+    base = {row["bucket"]: row["base"] for row in spark.read.schema("bucket int, base long").parquet(f"{target}/buckets").collect()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not tables:
@@ -237,11 +225,11 @@ def read_tokens(spark: SparkSession, target: str, id_col: str = "doc_id") -> Dat
         for batch in freed(batches):
             for at in range(0, batch.num_rows, 8):
                 rows = batch.slice(at, 8)
-                start, docs, sizes, bits, marks = (rows.column(i).to_pylist() for i in range(5))
+                bucket, start, docs, sizes, bits, marks = (rows.column(i).to_pylist() for i in range(6))
                 ids = unpack(bits, [np.frombuffer(m, "<u4") for m in marks], [sum(s) for s in sizes], tables[0])
-                for first, names, size, flat in zip(start, docs, sizes, ids, strict=True):
+                for of, first, names, size, flat in zip(bucket, start, docs, sizes, ids, strict=True):
                     n = np.array(size, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(first + np.cumsum(n) - n), pa.array(n), binary(flat.astype("<u4").tobytes(), n * 4)], names=["id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(base[of] + first + np.cumsum(n) - n), pa.array(n), binary(flat.astype("<u4").tobytes(), n * 4)], names=["id", "start", "n_tokens", "ids"])
 
-    blocks = spark.read.schema("start long, docs array<long>, lengths array<long>, bits binary, checkpoints binary, bucket int").parquet(f"{target}/blocks")
-    return blocks.select("start", "docs", "lengths", "bits", "checkpoints").mapInArrow(decode, "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    blocks = spark.read.schema(BLOCK).parquet(f"{target}/blocks")
+    return blocks.mapInArrow(decode, "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
