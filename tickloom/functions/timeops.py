@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 SECOND = 1_000_000
+DAY = 86_400
 
 
 def micros(ts: Column) -> Column:
@@ -91,6 +94,60 @@ def fill_forward(x: Column, w: WindowSpec) -> Column:
     return F.last(x, ignorenulls=True).over(upto_now(w))
 
 
+def chunk_of(ts: Column, seconds: int = DAY) -> Column:
+    return F.floor(micros(ts) / (seconds * SECOND))
+
+
+def by_day(df: DataFrame, by: str, ts: str, tie: str, n: int, run: Callable[[DataFrame, WindowSpec], DataFrame], seconds: int = DAY) -> DataFrame:
+    """``run(rows, window)`` with windows of a key's day instead of its whole history; each day also has the n rows before it.
+
+    The last n rows of each day are all that other days need; of these few rows, those before a day go to it. So the rows
+    of a hot key are spread over its days, and a window function that looks back n rows at most gives what it would give
+    over the whole history. Rows that were only lent to a day are taken away at the end. Within another by_day(), whose
+    n has to suffice, the rows are used as they are.
+    """
+    if "_chunk" in df.columns:
+        return run(df, ordered([by, "_chunk"], ts, tie))
+    rows = df.withColumn("_chunk", chunk_of(F.col(ts), seconds))
+    tails = rows.withColumn("_r", F.row_number().over(ordered([by, "_chunk"], F.desc(ts), F.desc(tie)))).where(F.col("_r") <= n).drop("_r")
+    placed = tails.withColumn("_pos", F.row_number().over(ordered(by, ts, tie)))
+    counts = tails.groupBy(by, "_chunk").agg(F.count("*").alias("_n"))
+    before = counts.select(by, "_chunk", F.sum("_n").over(ordered(by, "_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_upto")).where("_upto is not null")
+    lent = before.select(by, "_chunk", F.explode(F.sequence(F.greatest(F.col("_upto") - n + 1, F.lit(1)), F.col("_upto")).cast("array<int>")).alias("_pos"))
+    lent = lent.join(placed.drop("_chunk"), [by, "_pos"]).drop("_pos").withColumn("_lent", F.lit(True))
+    both = rows.withColumn("_lent", F.lit(False)).unionByName(lent)
+    return run(both, ordered([by, "_chunk"], ts, tie)).where("not _lent").drop("_lent", "_chunk")
+
+
+def filled_by_day(df: DataFrame, value: Column, out: str, by: str, ts: str, tie: str, seconds: int = DAY) -> DataFrame:
+    """Adds the last value there is up to each row; a day starts with the last one of the days before it, a row each."""
+    rows = df.withColumn("_chunk", chunk_of(F.col(ts), seconds)).withColumn("_value", value)
+    last = rows.groupBy(by, "_chunk").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(ts, tie))).alias("_last"))
+    known = F.last("_last", ignorenulls=True).over(ordered(by, "_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    days = last.select(by, "_chunk", known.alias("_known"))
+    filled = F.coalesce(fill_forward(F.col("_value"), ordered([by, "_chunk"], ts, tie)), F.col("_known"))
+    return rows.join(days, [by, "_chunk"], "left").withColumn(out, filled).drop("_chunk", "_value", "_known")
+
+
+def running_totals(counts: DataFrame, keys: list[str], order: str, columns: list[str], buckets: int = 64) -> DataFrame:
+    """Adds cum_<column> for each column: its sum over a key's rows (all rows, without keys) up to ``order``.
+
+    Rows are cut into buckets of about equal number by ranges of ``order``; a bucket is summed by itself, on top of the
+    sum of the buckets before it. ``order`` is a number, distinct within a key.
+    """
+    names = keys or ["_all"]
+    rows = counts if keys else counts.withColumn("_all", F.lit(1))
+    # a short row for each key
+    bounds = rows.groupBy(*names).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 1000).alias("_bounds"))
+    rows = rows.join(F.broadcast(bounds), names).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
+    sums = rows.groupBy(*names, "_bucket").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    w = ordered(names, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*names, "_bucket", *(F.sum(f"_{c}").over(w).alias(f"_{c}") for c in columns))
+    inside = upto_now(ordered([*names, "_bucket"], order))
+    out = rows.join(F.broadcast(before), [*names, "_bucket"]).select("*", *((F.coalesce(F.col(f"_{c}"), F.lit(0)) + F.sum(c).over(inside)).alias(f"cum_{c}") for c in columns))
+    return out.drop("_bucket", "_all", *(f"_{c}" for c in columns))
+
+
 def log_return(price: Column, w: WindowSpec) -> Column:
     return F.ln(price) - F.ln(F.lag(price).over(w))
 

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeops import ordered, rolling_std, rolling_zscore, simple_return
+from pyspark.sql.window import WindowSpec
+
+from ..functions.timeops import by_day, ordered, rolling_std, rolling_zscore, simple_return
 from . import micro
 from .joins import asof
 from .quality_gates import enough_values
@@ -23,8 +25,11 @@ def feature_frame(bars: DataFrame, book: DataFrame | None, flow: DataFrame, leve
     out = micro.kyle_lambda(out, lambda_window, by=by)
     names = ["flow", "mid_change", "lambda", "resid_std"]
     if book is not None:
-        d = micro.depth_features(micro.weighted_imbalance(micro.weighted_order_flow(micro.order_flow(book, levels), levels), levels), levels)
-        d = micro.replenishment(d.drop("spread"), levels)
+        def features(rows: DataFrame, _: WindowSpec) -> DataFrame:
+            d = micro.depth_features(micro.weighted_imbalance(micro.weighted_order_flow(micro.order_flow(rows, levels), levels), levels), levels)
+            return micro.replenishment(d.drop("spread"), levels)
+
+        d = by_day(book, by, "ts", "agg_id", 3, features)
         top = levels[-1]
         columns = [f"ofi_L{top}", f"w_ofi_L{top}", f"w_obi_L{top}", f"depth_L{top}", "repl_ratio", "spread"]
         d = d.withColumn("ofi", F.col(f"ofi_L{top}"))

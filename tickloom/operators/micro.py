@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeops import bar_end, bar_floor, exact_sum, fill_forward, full, last_rows, ordered, rolling_mean, rolling_zscore
+from pyspark.sql.window import WindowSpec
+
+from ..functions.timeops import bar_end, bar_floor, by_day, exact_sum, filled_by_day, full, last_rows, ordered, rolling_mean, rolling_zscore, running_totals
 from .joins import asof, on_spine
 
 
@@ -15,9 +17,8 @@ def total(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def flow_of_level(level: int, by: str = "symbol", ts: str = "ts", tie: str = "agg_id") -> Column:
+def flow_of_level(level: int, w: WindowSpec) -> Column:
     """Order-flow imbalance of one level: what was added at the bid less what was added at the ask; 0 where unknown."""
-    w = ordered(by, ts, tie)
 
     def side(name: str, better: int) -> Column:
         price, size = F.col(f"{name}_price_{level}"), F.col(f"{name}_size_{level}")
@@ -33,29 +34,33 @@ def depth(levels: list[int], weights: list[float] | None = None) -> Column:
     return total([F.lit(x) * (F.col(f"bid_size_{i}") + F.col(f"ask_size_{i}")) for i, x in zip(levels, weights, strict=True)])
 
 
-def order_flow(book: DataFrame, levels: list[int], normalize: bool = False, eps: float = 1e-9, keep: list[str] | None = None) -> DataFrame:
+def order_flow(book: DataFrame, levels: list[int], normalize: bool = False, eps: float = 1e-9, by: str = "symbol", ts: str = "ts", tie: str = "agg_id") -> DataFrame:
     """Adds ofi_L<n> for each level n: the sum of the flows of the configured levels up to n."""
-    flows = book
-    for i in levels:
-        flows = flows.withColumn(f"_ofi_{i}", flow_of_level(i))
-    for n in levels:
-        used = [i for i in levels if i <= n]
-        value = total([F.col(f"_ofi_{i}") for i in used])
-        flows = flows.withColumn(f"ofi_L{n}", value / (depth(used) + eps) if normalize else value)
-    return flows.drop(*(f"_ofi_{i}" for i in levels))
 
+    def run(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        flows = rows.select("*", *(flow_of_level(i, w).alias(f"_ofi_{i}") for i in levels))
+        for n in levels:
+            used = [i for i in levels if i <= n]
+            value = total([F.col(f"_ofi_{i}") for i in used])
+            flows = flows.withColumn(f"ofi_L{n}", value / (depth(used) + eps) if normalize else value)
+        return flows.drop(*(f"_ofi_{i}" for i in levels))
+
+    return by_day(book, by, ts, tie, 1, run)
 
-def weighted_order_flow(book: DataFrame, levels: list[int], decay: float = 0.7, normalize: bool = False, eps: float = 1e-9) -> DataFrame:
+
+def weighted_order_flow(book: DataFrame, levels: list[int], decay: float = 0.7, normalize: bool = False, eps: float = 1e-9, by: str = "symbol", ts: str = "ts", tie: str = "agg_id") -> DataFrame:
     """Adds w_ofi_L<n>, levels weighted by decay to the power of their place."""
-    flows = book
-    for i in levels:
-        flows = flows.withColumn(f"_ofi_{i}", flow_of_level(i))
-    for n in levels:
-        used = [i for i in levels if i <= n]
-        weights = [decay**k for k in range(len(used))]
-        value = total([F.lit(x) * F.col(f"_ofi_{i}") for i, x in zip(used, weights, strict=True)])
-        flows = flows.withColumn(f"w_ofi_L{n}", value / (depth(used, weights) + eps) if normalize else value)
-    return flows.drop(*(f"_ofi_{i}" for i in levels))
+
+    def run(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        flows = rows.select("*", *(flow_of_level(i, w).alias(f"_ofi_{i}") for i in levels))
+        for n in levels:
+            used = [i for i in levels if i <= n]
+            weights = [decay**k for k in range(len(used))]
+            value = total([F.lit(x) * F.col(f"_ofi_{i}") for i, x in zip(used, weights, strict=True)])
+            flows = flows.withColumn(f"w_ofi_L{n}", value / (depth(used, weights) + eps) if normalize else value)
+        return flows.drop(*(f"_ofi_{i}" for i in levels))
+
+    return by_day(book, by, ts, tie, 1, run)
 
 
 def weighted_imbalance(book: DataFrame, levels: list[int], decay: float = 0.7, eps: float = 1e-9) -> DataFrame:
@@ -76,14 +81,17 @@ def depth_features(book: DataFrame, levels: list[int]) -> DataFrame:
 
 def replenishment(book: DataFrame, levels: list[int], window: int = 3, eps: float = 1e-9, by: str = "symbol", ts: str = "ts", tie: str = "agg_id") -> DataFrame:
     """Adds depth, depletion, replenish, repl_ratio (rolling mean), spread and microprice."""
-    w = ordered(by, ts, tie)
-    d = book.withColumn("depth", depth(levels))
-    before = F.lag("depth").over(w)
-    moved = d.withColumn("depletion", F.greatest(F.lit(0.0), before - F.col("depth"))).withColumn("replenish", F.greatest(F.lit(0.0), F.col("depth") - before))
-    moved = moved.withColumn("depletion", F.when(before.isNotNull(), F.col("depletion"))).withColumn("replenish", F.when(before.isNotNull(), F.col("replenish"))).withColumn("_ratio", F.col("replenish") / (F.col("depletion") + eps))
-    size = F.col("bid_size_1") + F.col("ask_size_1")
-    micro = F.try_divide(F.col("ask_price_1") * F.col("bid_size_1") + F.col("bid_price_1") * F.col("ask_size_1"), size)
-    return moved.withColumn("repl_ratio", rolling_mean(F.col("_ratio"), window, w)).withColumn("spread", F.col("ask_price_1") - F.col("bid_price_1")).withColumn("microprice", micro).drop("_ratio")
+
+    def run(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        d = rows.withColumn("depth", depth(levels))
+        before = F.lag("depth").over(w)
+        moved = d.withColumn("depletion", F.greatest(F.lit(0.0), before - F.col("depth"))).withColumn("replenish", F.greatest(F.lit(0.0), F.col("depth") - before))
+        moved = moved.withColumn("depletion", F.when(before.isNotNull(), F.col("depletion"))).withColumn("replenish", F.when(before.isNotNull(), F.col("replenish"))).withColumn("_ratio", F.col("replenish") / (F.col("depletion") + eps))
+        size = F.col("bid_size_1") + F.col("ask_size_1")
+        micro = F.try_divide(F.col("ask_price_1") * F.col("bid_size_1") + F.col("bid_price_1") * F.col("ask_size_1"), size)
+        return moved.withColumn("repl_ratio", rolling_mean(F.col("_ratio"), window, w)).withColumn("spread", F.col("ask_price_1") - F.col("bid_price_1")).withColumn("microprice", micro).drop("_ratio")
+
+    return by_day(book, by, ts, tie, window, run)
 
 
 def on_bars(bars: DataFrame, features: DataFrame, columns: list[str], by: str = "symbol", bar: str = "bar", ts: str = "ts") -> DataFrame:
@@ -96,17 +104,17 @@ def sign_by_maker(maker: Column) -> Column:
     return F.when(maker, -1.0).otherwise(1.0)
 
 
-def sign_by_side(side: Column, by: str = "symbol", ts: str = "ts", tie: str = "agg_id") -> Column:
-    """+1 for buy, -1 for sell; others as the trade before, +1 at first."""
+def sign_by_side(trades: DataFrame, side: Column, by: str = "symbol", ts: str = "ts", tie: str = "agg_id") -> DataFrame:
+    """Adds ``sign``: +1 for buy, -1 for sell; others as the trade before, +1 at first."""
     known = F.when(F.lower(side).isin("buy", "b"), 1.0).when(F.lower(side).isin("sell", "s"), -1.0)
-    return F.coalesce(fill_forward(known, ordered(by, ts, tie)), F.lit(1.0))
+    return filled_by_day(trades, known, "sign", by, ts, tie).fillna(1.0, ["sign"])
 
 
 def sign_by_tick(trades: DataFrame, by: str = "symbol", ts: str = "ts", tie: str = "agg_id") -> DataFrame:
     """Adds ``sign``: the direction of the last price change, +1 before any."""
-    w = ordered(by, ts, tie)
-    moved = trades.withColumn("_move", F.nullif(F.signum(F.col("price") - F.lag("price").over(w)), F.lit(0.0)))
-    return moved.withColumn("sign", F.coalesce(fill_forward(F.col("_move"), w), F.lit(1.0))).drop("_move")
+    move = lambda rows, w: rows.withColumn("_move", F.nullif(F.signum(F.col("price") - F.lag("price").over(w)), F.lit(0.0)))
+    moved = by_day(trades, by, ts, tie, 1, move)
+    return filled_by_day(moved, F.col("_move"), "sign", by, ts, tie).fillna(1.0, ["sign"]).drop("_move")
 
 
 def signed_flow(trades: DataFrame, seconds: int, sign: Column, by: str = "symbol", ts: str = "ts", label: str = "right") -> DataFrame:
@@ -161,14 +169,21 @@ def rank_correlation(rows: DataFrame, features: list[str], targets: list[str]) -
     cells = rows.select(*targets, F.expr(f"stack({len(features)}, {', '.join(f'{f!r}, double(`{f}`)' for f in features)}) AS (feature, x)"))
     pairs = cells.select("feature", "x", F.expr(f"stack({len(targets)}, {', '.join(f'{t!r}, double(`{t}`)' for t in targets)}) AS (target, y)")).where("x is not null and y is not null")
     key = ["feature", "target"]
-    # average ranks from counts of distinct values: a pair's rows never meet in one task but as counts
+    # average ranks from counts of distinct values, by ranges of values
     for v in ("x", "y"):
-        counts = pairs.groupBy(*key, v).agg(F.count("*").alias("_n"))
-        ranks = counts.withColumn(f"r{v}", F.sum("_n").over(ordered(key, v)) - (F.col("_n") - 1) / 2).drop("_n")
+        counts = pairs.groupBy(*key, v).agg(F.count("*").alias("n"))
+        ranks = running_totals(counts, key, v, ["n"]).select(*key, v, (F.col("cum_n") - (F.col("n") - 1) / 2).alias(f"r{v}"))
         pairs = pairs.join(ranks, [*key, v])
     return pairs.groupBy(*key).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("ic"))
 
 
+def correlation(rows: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
+    """Pearson's correlation of each feature and target over the rows that have both, all in one pass: feature, target, n, r."""
+    both = [(f, t, F.when(F.col(f).isNotNull() & F.col(t).isNotNull(), F.col(f).cast("double")), F.when(F.col(f).isNotNull() & F.col(t).isNotNull(), F.col(t).cast("double"))) for f in features for t in targets]
+    one = rows.agg(*(x for i, (_, _, a, b) in enumerate(both) for x in (F.count(a).alias(f"n{i}"), F.corr(a, b).alias(f"r{i}"))))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r")) for i, (f, t, _, _) in enumerate(both)))))
+
+
 def top_features(ics: DataFrame, n: int) -> DataFrame:
     """The n features of each target with the largest absolute correlation."""
     return ics.where("ic is not null").withColumn("place", F.row_number().over(ordered("target", F.abs("ic").desc(), "feature"))).where(F.col("place") <= n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeops import ordered, upto_now
+from ..functions.timeops import running_totals
 
 
 def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
@@ -121,20 +121,22 @@ def fused(scores: DataFrame, oof: DataFrame, full: DataFrame, key: str = "event_
 
 def by_score(df: DataFrame, score: str, y: str) -> DataFrame:
     """Counts by distinct score with running totals from below: what rank-based measures need, in one row a score."""
-    c = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.lit(1).alias("_k"), F.col(score).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    return c.withColumn("neg", F.col("n") - F.col("pos")).withColumn("cum_neg", F.sum("neg").over(upto_now(ordered("_k", "s")))).withColumn("cum_pos_down", F.sum("pos").over(upto_now(ordered("_k", F.desc("s"))))).withColumn("cum_n_down", F.sum("n").over(upto_now(ordered("_k", F.desc("s")))))
+    c = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
+    return running_totals(c, [], "s", ["pos", "n"])
 
 
 def auc(df: DataFrame, score: str, y: str) -> DataFrame:
     """Area under the ROC curve; ties count half; NULL with one class."""
-    c = by_score(df, score, y)
-    won = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2))
-    return c.agg(F.try_divide(won, F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    neg = F.col("n") - F.col("pos")
+    won = F.sum(F.col("pos") * (F.col("cum_n") - F.col("cum_pos") - neg / 2))
+    return by_score(df, score, y).agg(F.try_divide(won, F.nullif(F.sum("pos") * F.sum(neg), F.lit(0))).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
     c = by_score(df, score, y)
-    return c.agg(F.try_divide(F.sum(F.col("pos") * F.col("cum_pos_down") / F.col("cum_n_down")), F.nullif(F.sum("pos"), F.lit(0))).alias("ap"))
+    totals = c.agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))  # one row
+    pos, n = F.col("_pos") - F.col("cum_pos") + F.col("pos"), F.col("_n") - F.col("cum_n") + F.col("n")
+    return c.join(F.broadcast(totals)).agg(F.try_divide(F.sum(F.col("pos") * pos / n), F.nullif(F.max("_pos"), F.lit(0))).alias("ap"))
 
 
 def brier(df: DataFrame, p: str, y: str) -> DataFrame:
@@ -153,6 +155,10 @@ def precision_recall(df: DataFrame, p: str, y: str, threshold: float) -> DataFra
 
 
 def lift(df: DataFrame, p: str, y: str) -> DataFrame:
-    """The positive rate of scores at or above the 0.9 quantile against that of all."""
-    cut = df.agg(F.percentile(p, 0.9).alias("cut"), F.avg(F.col(y).cast("double")).alias("base"))
-    return df.join(F.broadcast(cut)).agg(F.try_divide(F.avg(F.when(F.col(p) >= F.col("cut"), F.col(y).cast("double"))), F.max("base")).alias("lift"))
+    """The positive rate of scores at or above the 0.9 quantile (interpolated) against that of all."""
+    c = by_score(df, p, y)
+    totals = c.agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n")).withColumn("_at", 0.9 * (F.col("_n") - 1))  # one row
+    c = c.join(F.broadcast(totals))
+    cut = c.agg(F.min(F.when(F.col("cum_n") > F.floor("_at"), F.col("s"))).alias("_lo"), F.min(F.when(F.col("cum_n") > F.ceil("_at"), F.col("s"))).alias("_hi"), F.max(F.col("_at") - F.floor("_at")).alias("_part"))
+    top = c.join(F.broadcast(cut)).where(F.col("s") >= F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part"))
+    return top.agg(F.try_divide(F.sum("pos") / F.sum("n"), F.max(F.col("_pos") / F.col("_n"))).alias("lift"))

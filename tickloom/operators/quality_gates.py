@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeops import exact_sum, micros, ordered
+from ..functions.timeops import by_day, exact_sum, micros, ordered
 
 
 def _one(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -26,8 +26,8 @@ def key_violations(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def gaps(df: DataFrame, by: str, ts: str, tie: str, most_seconds: int) -> DataFrame:
-    before = F.lag(ts).over(ordered(by, ts, tie))
-    found = df.select(by, ts, before.alias(f"prev_{ts}")).withColumn("gap_us", micros(F.col(ts)) - micros(F.col(f"prev_{ts}")))
+    rows = by_day(df.select(*dict.fromkeys((by, ts, tie))), by, ts, tie, 1, lambda d, w: d.withColumn(f"prev_{ts}", F.lag(ts).over(w)))
+    found = rows.select(by, ts, f"prev_{ts}").withColumn("gap_us", micros(F.col(ts)) - micros(F.col(f"prev_{ts}")))
     return found.where(F.col("gap_us") > most_seconds * 1_000_000)
 
 
@@ -54,8 +54,9 @@ def rows_per_day(df: DataFrame, by: str, ts: str) -> DataFrame:
 
 
 def median_gap(df: DataFrame, by: str, ts: str, tie: str) -> DataFrame:
-    gap = micros(F.col(ts)) - micros(F.lag(ts).over(ordered(by, ts, tie)))
-    return df.select(by, gap.alias("g")).where("g is not null").groupBy(by).agg((F.percentile("g", 0.5) / 1_000_000).alias("median_gap_s"))
+    """The exact median, from counts of distinct gaps."""
+    rows = by_day(df.select(*dict.fromkeys((by, ts, tie))), by, ts, tie, 1, lambda d, w: d.withColumn("g", micros(F.col(ts)) - micros(F.lag(ts).over(w))))
+    return rows.select(by, "g").where("g is not null").groupBy(by).agg((F.percentile("g", 0.5) / 1_000_000).alias("median_gap_s"))
 
 
 def missing_share(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:

@@ -158,9 +158,8 @@ def ofi_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 @REGISTER(f"WITH {OFI}, r AS (SELECT agg_id, symbol, ts, (ofi_1 + 0.7 * ofi_2 + 0.7 * 0.7 * ofi_3) / (bid_size_1 + ask_size_1 + 0.7 * (bid_size_2 + ask_size_2) + 0.7 * 0.7 * (bid_size_3 + ask_size_3) + 1e-9) AS w FROM f) SELECT agg_id, symbol, round(w, 7) AS w_ofi_L3, CASE WHEN count(w) {over(20, 'ts, agg_id')} >= 20 THEN round((w - avg(w) {over(20, 'ts, agg_id')}) / (nullif(stddev_pop(w) {over(20, 'ts, agg_id')}, 0) + 1e-9), 5) END AS w_ofi_L3_z FROM r")
 def weighted_ofi_z(spark: SparkSession, sf: str) -> DataFrame:
-    f = micro.weighted_order_flow(book(spark, sf), [1, 2, 3], 0.7, normalize=True)
-    z = T.rolling_zscore(F.col("w_ofi_L3"), 20, T.ordered("symbol", "ts", "agg_id"))
-    return rounded(f.withColumn("w_ofi_L3_z", z).withColumn("w_ofi_L3", F.round("w_ofi_L3", 7)), 5, "w_ofi_L3_z").select("agg_id", "symbol", "w_ofi_L3", "w_ofi_L3_z")
+    f = T.by_day(book(spark, sf), "symbol", "ts", "agg_id", 20, lambda d, w: micro.weighted_order_flow(d, [1, 2, 3], 0.7, normalize=True).withColumn("w_ofi_L3_z", T.rolling_zscore(F.col("w_ofi_L3"), 20, w)))
+    return rounded(f.withColumn("w_ofi_L3", F.round("w_ofi_L3", 7)), 5, "w_ofi_L3_z").select("agg_id", "symbol", "w_ofi_L3", "w_ofi_L3_z")
 
 
 @REGISTER(f"WITH {BOOK} SELECT agg_id, symbol, round((bid_size_1 - ask_size_1 + 0.7 * (bid_size_2 - ask_size_2) + 0.7 * 0.7 * (bid_size_3 - ask_size_3)) / (bid_size_1 + ask_size_1 + 0.7 * (bid_size_2 + ask_size_2) + 0.7 * 0.7 * (bid_size_3 + ask_size_3) + 1e-9), 7) AS w_obi_L3 FROM book")
