@@ -39,9 +39,10 @@ def trade_log(labelled: DataFrame, bars: DataFrame, capital: float = 10_000.0, l
 
 def with_exits(labelled: DataFrame, exits: DataFrame, bars: DataFrame, key: str = "event_id", by: str = "symbol") -> DataFrame:
     """Labelled events with the exits of a policy that come strictly before their own; priced as of that time."""
-    j = labelled.join(exits.withColumnRenamed("exit_ts", "_exit"), key, "left")
-    early = F.col("_exit") < F.col("t1")
-    return j.withColumn("event_type", F.when(early, F.col("exit_reason")).otherwise(F.col("event_type"))).withColumn("t1", F.when(early, F.col("_exit")).otherwise(F.col("t1"))).withColumn("exit_reason", F.when(early, F.col("exit_reason"))).drop("_exit")
+    j = labelled.join(exits.withColumnRenamed("exit_ts", "_exit"), key, "left").withColumn("_early", F.col("_exit") < F.col("t1"))
+    pick = lambda early, otherwise: F.when(F.col("_early"), early).otherwise(otherwise)
+    j = j.withColumns({"event_type": pick(F.col("exit_reason"), F.col("event_type")), "t1": pick(F.col("_exit"), F.col("t1")), "exit_reason": F.when(F.col("_early"), F.col("exit_reason"))})
+    return j.drop("_exit", "_early")
 
 
 def equity(trades: DataFrame, bars: DataFrame, capital: float = 10_000.0, by: str = "symbol", pnl: str = "net_pnl") -> DataFrame:
@@ -111,6 +112,14 @@ def threshold_sweep(trades: DataFrame, thresholds: list[float], score: str = "sc
     return trades.select(passed.alias("threshold"), "net_pnl", "fees").groupBy("threshold").agg(F.count("*").alias("accepted"), exact_sum(F.col("net_pnl")).alias("net_pnl"), exact_sum(F.col("fees")).alias("fees")).join(F.broadcast(all_)).withColumn("accept_rate", F.col("accepted") / F.col("_n")).drop("_n")
 
 
+def accept_rates(trades: DataFrame, thresholds: list[float], by: str = "regime", score: str = "score") -> DataFrame:
+    """For each threshold and group (UNKNOWN where NULL): trades, those with a score at or above it, and their share."""
+    grid = F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold")
+    rows = trades.select(F.coalesce(F.col(by).cast("string"), F.lit("UNKNOWN")).alias(by), F.col(score).alias("_s"), grid)
+    passed = F.count_if(F.col("_s") >= F.col("threshold"))
+    return rows.groupBy("threshold", by).agg(F.count("*").alias("trades"), passed.alias("accepted"), (passed / F.count("*")).alias("accept_rate"))
+
+
 def recommended(sweep: DataFrame, total: int) -> DataFrame:
     """The threshold with the best mean net profit (then least fees, then lowest) of those with enough trades."""
     least = max(20, 0.2 * total)
@@ -134,7 +143,10 @@ def folds(spark: SparkSession, start: datetime, end: datetime, train_days: int,
 
 
 def by_fold(events: DataFrame, fold_rows: DataFrame, ts: str) -> DataFrame:
-    """Events with each fold whose test range, ends included, they fall in. Folds are as many as the steps of the range."""
+    """Events with each fold whose test range, ends included, they fall in.
+
+    Every event is held against every fold: these are as many as the steps of the range, dozens, which bounds the broadcast.
+    """
     return events.join(F.broadcast(fold_rows), (F.col(ts) >= F.col("test_start")) & (F.col(ts) <= F.col("test_end")))
 
 
@@ -160,6 +172,26 @@ def flags(summary: DataFrame, turnover_most: float = 50.0, hazard_share_most: fl
     return summary.withColumn("churn", F.col("turnover") > turnover_most).withColumn("over_exit", exits > hazard_share_most).withColumn("misaligned", (F.col("pnl_gross") > 0) & (F.col("pnl_net") < 0))
 
 
+def walk_forward_compared(labelled: DataFrame, probabilities: DataFrame, bars: DataFrame, fold_rows: DataFrame, modes: list[str], exit_at: float, fail_at: float, in_a_row: int = 2, costs: tuple[float, ...] = (10_000.0, 1.0, 0.1, 4.0, 2.0)) -> DataFrame:
+    """For each fold and mode of the exit policy: the summaries of the trades with and without it, and what it saved.
+
+    ``probabilities`` (event_id, t, p) are out of fold. Trades are made once for each mode and cut by fold.
+    """
+    from functools import reduce
+
+    from .regime import first_exits
+
+    base = trade_log(labelled, bars, *costs)
+    parts = []
+    for mode in modes:
+        exits = first_exits(probabilities, exit_at, fail_at, in_a_row, mode=mode)
+        other = trade_log(with_exits(labelled, exits, bars), bars, *costs)
+        both = compared(base.select("event_id", "entry_ts", "net_pnl", "event_type", "exit_ts"), other).join(base.select("event_id", "entry_ts"), "event_id")
+        parts.append(by_fold(both, fold_rows, "entry_ts").withColumn("mode", F.lit(mode)))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("fold_id", "mode").agg(F.count("*").alias("trades"), exact_sum(F.col("net_pnl_base")).alias("net_pnl_base"), exact_sum(F.col("net_pnl_enh")).alias("net_pnl_enh"), exact_sum(F.col("saved")).alias("saved"), F.count_if("stop_avoided").alias("stops_avoided"), F.count_if(F.col("exit_reason_enh").startswith("hazard")).alias("hazard_exits"))
+
+
 def top_drivers(trades: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
     """The n groups, over all keys, that earned and that lost most."""
     from functools import reduce

@@ -33,6 +33,22 @@ def asof(left: DataFrame, right: DataFrame, by: str, left_ts: str = "ts", right_
     return matched.select("_left.*", *(F.col("_match")[c].alias(prefix + c) for c in values))
 
 
+def asof_required(left: DataFrame, right: DataFrame, by: str, left_ts: str = "ts", right_ts: str = "ts", **options: object) -> DataFrame:
+    """asof() where every left row has to have a right row at or before it; ValueError if one has none."""
+    out = asof(left, right.withColumn("_is_there", F.lit(True)), by, left_ts, right_ts, **options)
+    found = f"{options.get('prefix', '')}_is_there"
+    if not (early := out.where(F.col(found).isNull())).isEmpty():
+        raise ValueError(f"no row at or before {early.select(F.min(left_ts)).first()[0]}")
+    return out.drop(found)
+
+
+def around(events: DataFrame, rows: DataFrame, by: str, at: str, seconds: int, ts: str = "ts") -> DataFrame:
+    """Events with the rows at most ``seconds`` before or after, both ends included."""
+    from ..functions.timeops import shifted
+
+    return within(events, rows, by, shifted(F.col(at), -seconds), shifted(F.col(at), seconds), 2 * seconds, ts, include_start=True)
+
+
 def next_row(df: DataFrame, by: str, ts: str, *columns: str) -> DataFrame:
     """Adds each row's strictly later neighbour: next_ts and next_<column>."""
     w = ordered(by, ts)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeops import running_totals
+from ..functions.timeops import from_micros, micros, running_totals
 
 
 def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
@@ -82,6 +84,13 @@ def fit_isotonic(df: DataFrame, score: str, y: str) -> dict:
     return {"x": [float(v) for v in m.boundaries], "y": [float(v) for v in m.predictions]}
 
 
+def fit_sigmoid(df: DataFrame, score: str, y: str) -> dict:
+    """Slope and intercept of a balanced logistic fit of the labels on a score."""
+    m = fit_logistic(df.select(score, y), [score], y, clip=float("inf"))
+    mean, std = m["scaling"][score]
+    return {"slope": m["weights"][0] / std, "intercept": m["intercept"] - m["weights"][0] * mean / std}
+
+
 def interpolated(x: Column, points: dict) -> Column:
     """Piecewise linear between the points, constant outside."""
     pairs = list(zip(points["x"], points["y"], strict=True))
@@ -94,25 +103,98 @@ def interpolated(x: Column, points: dict) -> Column:
 
 def scored(df: DataFrame, model: dict, out: str = "p_hat") -> DataFrame:
     """Adds the probability, calibrated where the model has points for it."""
-    raw = margin(model)
-    return df.withColumn(out, interpolated(raw, model["isotonic"]) if "isotonic" in model else sigmoid(raw))
+    if missing := [c for c in model["features"] if c not in df.columns]:
+        raise ValueError(f"missing feature columns: {', '.join(missing)}")
+    p = sigmoid(margin(model))
+    if "isotonic" in model:
+        p = interpolated(p, model["isotonic"])
+    elif "sigmoid" in model:
+        p = sigmoid(F.lit(model["sigmoid"]["intercept"]) + F.lit(model["sigmoid"]["slope"]) * p)
+    return df.withColumn(out, p)
+
+
+def fitted(df: DataFrame, features: list[str], y: str = "y", calibration: str | None = None, **options: object) -> dict:
+    """A model with its calibration (``isotonic``, ``sigmoid`` or none) of the probabilities of the rows it was fitted on."""
+    model = fit_logistic(df, features, y, **options)
+    if calibration:
+        raw = scored(df.select(y, *features).dropna(), model)
+        model[calibration] = {"isotonic": fit_isotonic, "sigmoid": fit_sigmoid}[calibration](raw, "p_hat", y)
+    return model
+
+
+def saved_models(fitted_: list[dict]) -> str:
+    return json.dumps(fitted_, indent=1, default=str)
 
 
-def walk_forward_fit(rows: DataFrame, fold_rows: list[dict], features: list[str], key: str = "event_id", t: str = "t", horizon_end: str = "horizon_end_ts", y: str = "y") -> tuple[DataFrame | None, list[dict]]:
-    """Out-of-fold probabilities of all test rows, and the models. Training rows whose horizon reaches into the test go."""
+def loaded_models(text: str) -> list[dict]:
+    """Models as saved_models() wrote them; ValueError if one lacks a part."""
+    found = json.loads(text)
+    for m in found:
+        if missing := {"features", "scaling", "clip", "weights", "intercept"} - set(m):
+            raise ValueError(f"a model lacks {', '.join(sorted(missing))}")
+    return found
+
+
+def walk_forward_fit(rows: DataFrame, fold_rows: list[dict], features: list[str], key: str = "event_id", t: str = "t", horizon_end: str | None = "horizon_end_ts", y: str = "y", calibration: str | None = None) -> tuple[DataFrame | None, list[dict]]:
+    """Out-of-fold probabilities of all test rows, and the models, calibrated on their own training rows.
+
+    Training rows whose horizon reaches into the test go. Without a horizon, the training range has its end in it. A fold
+    with one class is left out.
+    """
     out, models = None, []
     for fold in fold_rows:
-        train = rows.where((F.col(t) >= F.lit(fold["train_start"])) & (F.col(t) < F.lit(fold["train_end"])) & (F.col(horizon_end) < F.lit(fold["test_start"])))
+        train = rows.where((F.col(t) >= F.lit(fold["train_start"])) & (F.col(t) < F.lit(fold["train_end"])) & (F.col(horizon_end) < F.lit(fold["test_start"])) if horizon_end else (F.col(t) >= F.lit(fold["train_start"])) & (F.col(t) <= F.lit(fold["train_end"])))
         test = rows.where((F.col(t) >= F.lit(fold["test_start"])) & (F.col(t) <= F.lit(fold["test_end"])))
         if train.select(y).dropna().distinct().count() < 2:
             continue
-        model = fit_logistic(train, features, y)
+        model = fitted(train, features, y, calibration)
         models.append({"fold_id": fold["fold_id"], **model})
-        p = scored(test, model).select(key, t, y, "p_hat", F.lit(fold["fold_id"]).alias("fold_id"))
+        p = scored(test, model).select(*dict.fromkeys((key, t, y)), "p_hat", F.lit(fold["fold_id"]).alias("fold_id"))
         out = p if out is None else out.unionByName(p)
     return out, models
 
 
+def split_at(rows: DataFrame, ts: str, share: float = 0.7) -> dict | None:
+    """One fold: the first ``share`` of the rows in order of time (one at least) for training, the others for the test."""
+    n = rows.count()
+    if n < 2:
+        return None
+    k = min(max(1, int(n * share)), n - 1)
+    c = running_totals(rows.groupBy(micros(F.col(ts)).alias("s")).agg(F.count("*").alias("n")), [], "s", ["n"])
+    at = lambda c: from_micros(c)
+    cut = lambda i: F.min(F.when(F.col("cum_n") >= i, F.col("s")))
+    one = c.agg(at(F.min("s")).alias("train_start"), at(cut(k)).alias("train_end"), at(cut(k + 1)).alias("test_start"), at(F.max("s")).alias("test_end")).first()
+    return {"fold_id": 0, **one.asDict()}
+
+
+def fit_meta(frame: DataFrame, features: list[str], fold_rows: list[dict], key: str = "event_id", ts: str = "entry_ts", y: str = "label", net: str = "net_pnl_est", calibration: str | None = None, thresholds: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75)) -> tuple[DataFrame | None, dict, dict]:
+    """Out-of-fold scores, the model of all rows, and a report: measures of each fold and of all rows, and for thresholds
+    the share of events accepted and what they should earn. Without folds one split in time, 70 to 30, is the fold."""
+    if not fold_rows:
+        fold_rows = [f for f in [split_at(frame, ts)] if f]
+    oof, _ = walk_forward_fit(frame, fold_rows, features, key, ts, None, y, calibration)
+    model = fitted(frame, features, y, calibration)
+    full = scored(frame, model)
+    measures = lambda df, p: {"rows": df.count(), "auc": auc(df, p, y).first()[0], **precision_recall(df, p, y, 0.5).first().asDict()}
+    passed = [F.struct(F.lit(float(x)).alias("threshold"), F.avg((F.col("p_hat") >= x).cast("double")).alias("accept_rate"), F.coalesce(F.sum(F.when(F.col("p_hat") >= x, F.col(net))), F.lit(0.0)).alias(net)) for x in thresholds]
+    report = {
+        "features": features,
+        "folds": [] if oof is None else [{"fold_id": f["fold_id"], **measures(oof.where(F.col("fold_id") == f["fold_id"]), "p_hat")} for f in fold_rows],
+        "overall": measures(full, "p_hat"),
+        "thresholds": [r.asDict() for r in full.agg(F.array(*passed).alias("x")).first()["x"]],
+        "oof_coverage": 0.0 if oof is None else oof.select(key).distinct().count() / max(1, frame.count()),
+    }
+    return oof, model, report
+
+
+def gated(scores: DataFrame, score: str = "score", most_missing: float = 0.05) -> DataFrame:
+    """The scores as they are; ValueError if more than a share of them is missing."""
+    share = scores.agg(F.avg(F.col(score).isNull().cast("double"))).first()[0] or 0.0
+    if share > most_missing:
+        raise ValueError(f"{share:.4f} of the events have no score")
+    return scores
+
+
 def fused(scores: DataFrame, oof: DataFrame, full: DataFrame, key: str = "event_id") -> DataFrame:
     """Out-of-fold scores where there are, else the full model's, and which."""
     j = scores.join(oof.select(key, F.col("p_hat").alias("score_oof")), key, "left").join(full.select(key, F.col("p_hat").alias("score_full")), key, "left")

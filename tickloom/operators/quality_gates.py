@@ -83,3 +83,26 @@ def missing_days(df: DataFrame, ts: str) -> DataFrame:
     days = df.select(F.to_date(ts).alias("day")).distinct()
     spine = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
     return spine.join(days, "day", "left_anti")
+
+
+def middles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Mean and median of number columns: a row for each column."""
+    one = df.agg(*(f(c).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, f in (("mean", F.avg), ("median", F.median))))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"mean_{i}").alias("mean"), F.col(f"median_{i}").alias("median")) for i, c in enumerate(columns)))))
+
+
+def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows that a seed picks: those with the least digests of seed and key, whatever the order of the input."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+
+
+def first_and_last(df: DataFrame, by: str, order: list[str], n: int = 3) -> DataFrame:
+    """The first n and the last n rows of each key, with their place and the end it counts from (both, for few rows)."""
+    up, down = ordered(by, *order), ordered(by, *(F.col(c).desc() for c in order))
+    placed = [df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).withColumn("from_end", F.lit(end)) for w, end in ((up, False), (down, True))]
+    return placed[0].unionByName(placed[1])
+
+
+def columns_by(df: DataFrame, prefixes: tuple[str, ...] = (), words: tuple[str, ...] = (), first: int | None = None) -> list[str]:
+    """The columns that begin with one of the prefixes or hold one of the words, the first so many of them."""
+    return [c for c in df.columns if c.startswith(prefixes) or any(w in c for w in words)][:first]

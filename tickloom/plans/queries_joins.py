@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import timeops as T
 from ..operators import folds, joins, micro
 from .register import Register
-from .views import BOOK, HOUR, TRADES, bars_sql, book, end_of, exact, floor_of, hourly, part, trades
+from .views import BOOK, HOUR, TRADES, bars_sql, book, end_of, exact, floor_of, hourly, trades
 
 REGISTER = Register()
 US = HOUR * 1_000_000
@@ -32,9 +32,9 @@ def asof_trades_to_bars(spark: SparkSession, sf: str) -> DataFrame:
     return joins.asof(hourly(spark, sf).select("symbol", "bar", "volume"), trades(spark, sf).select("symbol", "ts", "price", "agg_id"), "symbol", "bar", "ts", "agg_id")
 
 
-@REGISTER(f"WITH {BARS}, e AS (SELECT event_id, event_type AS symbol, ts + INTERVAL 30 MINUTE AS at FROM events WHERE event_id % 7 = 0) SELECT e.event_id, e.symbol, e.at, b.bar, b.mid_close FROM e ASOF LEFT JOIN bars b ON e.symbol = b.symbol AND e.at >= b.bar")
+@REGISTER(f"WITH {BARS}, e AS (SELECT event_id, event_type AS symbol, ts + INTERVAL 30 MINUTE AS at FROM events) SELECT e.event_id, e.symbol, e.at, b.bar, b.mid_close FROM e ASOF LEFT JOIN bars b ON e.symbol = b.symbol AND e.at >= b.bar")
 def asof_events_to_features(spark: SparkSession, sf: str) -> DataFrame:
-    t = part(trades(spark, sf), "agg_id % 7 = 0").select(F.col("agg_id").alias("event_id"), "symbol", T.shifted(F.col("ts"), 1800).alias("at"))
+    t = trades(spark, sf).select(F.col("agg_id").alias("event_id"), "symbol", T.shifted(F.col("ts"), 1800).alias("at"))
     return joins.asof(t, hourly(spark, sf).select("symbol", "bar", "mid_close"), "symbol", "at", "bar")
 
 
@@ -44,11 +44,11 @@ def next_bar(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", "bar", F.col("next_ts").alias("next_bar"), F.col("next_mid_close").alias("next_close"))
 
 
-PICKED = "ev AS (SELECT event_id, event_type AS symbol, ts AS entry_ts, value AS entry_price FROM events WHERE event_id % 11 = 0)"
+PICKED = "ev AS (SELECT event_id, event_type AS symbol, ts AS entry_ts, value AS entry_price FROM events)"
 
 
 def picked(spark: SparkSession, sf: str) -> DataFrame:
-    return part(trades(spark, sf), "agg_id % 11 = 0").select(F.col("agg_id").alias("event_id"), "symbol", F.col("ts").alias("entry_ts"), F.col("price").alias("entry_price"))
+    return trades(spark, sf).select(F.col("agg_id").alias("event_id"), "symbol", F.col("ts").alias("entry_ts"), F.col("price").alias("entry_price"))
 
 
 @REGISTER(f"WITH {BARS}, {PICKED} SELECT ev.event_id, min(bars.bar) FILTER (mid_high >= entry_price * 1.5) AS first_up, min(bars.bar) FILTER (mid_low <= entry_price * 0.5) AS first_down, count(*) AS n FROM ev JOIN bars ON bars.symbol = ev.symbol AND bar > entry_ts AND bar <= entry_ts + INTERVAL 6 HOUR GROUP BY ev.event_id")
@@ -67,9 +67,9 @@ def range_future_minmax(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("event_id", "t").join(found, ["event_id", "t"], "left")
 
 
-@REGISTER("SELECT o.o_orderkey, o.o_totalprice AS total_base, l.q AS qty_enh FROM orders o LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_discount > 0.05 GROUP BY 1) l ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0")
+@REGISTER("SELECT o.o_orderkey, o.o_totalprice AS total_base, l.q AS qty_enh FROM orders o LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_discount > 0.05 GROUP BY 1) l ON l_orderkey = o_orderkey")
 def equi_left_suffix(spark: SparkSession, sf: str) -> DataFrame:
-    o = part(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderkey % 3 = 0").select("o_orderkey", F.col("o_totalprice").alias("total_base"))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.col("o_totalprice").alias("total_base"))
     q = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_discount > 0.05").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("qty_enh"))
     return o.join(q, "o_orderkey", "left")
 
@@ -256,9 +256,9 @@ def cooldown_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 @REGISTER(
     f"""WITH RECURSIVE {PICKED}, k AS (SELECT *, entry_ts + to_hours(CAST(2 + event_id % 5 AS INT)) AS exit_ts, row_number() OVER (PARTITION BY symbol ORDER BY entry_ts, event_id) AS r FROM ev),
-    e AS (SELECT symbol, event_id, entry_ts, exit_ts, r, exit_ts AS free, true AS taken FROM k WHERE r = 1 UNION ALL
-      SELECT k.symbol, k.event_id, k.entry_ts, k.exit_ts, k.r, CASE WHEN k.entry_ts >= free THEN k.exit_ts ELSE free END, k.entry_ts >= free FROM e JOIN k ON k.symbol = e.symbol AND k.r = e.r + 1)
-    SELECT symbol, event_id, entry_ts, exit_ts FROM e WHERE taken"""
+    o AS (SELECT symbol, entry_ts AS at, min(r) AS r FROM k GROUP BY ALL), n AS (SELECT k.*, o.r AS following FROM k ASOF LEFT JOIN o ON o.symbol = k.symbol AND k.exit_ts <= o.at),
+    e AS (SELECT * FROM n WHERE r = 1 UNION ALL SELECT n.* FROM e JOIN n ON n.symbol = e.symbol AND n.r = e.following)
+    SELECT symbol, event_id, entry_ts, exit_ts FROM e"""
 )
 def nonoverlap_trades(spark: SparkSession, sf: str) -> DataFrame:
     t = picked(spark, sf).select("symbol", "event_id", "entry_ts", T.from_micros(T.micros(F.col("entry_ts")) + (2 + F.col("event_id") % 5) * US).alias("exit_ts"))
@@ -275,8 +275,3 @@ def vpin(spark: SparkSession, sf: str) -> DataFrame:
     on = joins.asof(hourly(spark, sf).select("symbol", "bar"), v, "symbol", "bar", "ts", "place")
     return on.select("symbol", "bar", "vpin", T.rolling_cdf(F.col("vpin"), 20, T.ordered("symbol", "bar")).alias("vpin_cdf"))
 
-
-@REGISTER()
-def intrabar_features(spark: SparkSession, sf: str) -> DataFrame:
-    ev = picked(spark, sf).select("symbol", T.bar_end(F.col("entry_ts"), HOUR).alias("entry_ts"))
-    return micro.candles_before(ev, hourly(spark, sf), 5, 60, HOUR)

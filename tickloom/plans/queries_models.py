@@ -44,11 +44,6 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
     return regime.classify(b, window=6, q=0.8, fast=6, slow=24, strength=20.0)
 
 
-@REGISTER()
-def regime_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return classified(spark, sf).select("symbol", "bar", "rv", "ema_fast", "ema_slow", "trend_strength", "hazard_flag", "trend_flag", "regime")
-
-
 @REGISTER()
 def entries_by_regime(spark: SparkSession, sf: str) -> DataFrame:
     return regime.entries(classified(spark, sf), 10, 1.0, 8, 1.0)
@@ -258,9 +253,8 @@ def backtest_by_regime(spark: SparkSession, sf: str) -> DataFrame:
 
 @REGISTER()
 def hazard_model(spark: SparkSession, sf: str) -> DataFrame:
-    """A calibrated model of the scores' labels, fitted and applied."""
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", (F.col("label") % 2).alias("y"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(4)))
-    model = models.fit_logistic(e, [f"f{i}" for i in range(4)], max_iter=25)
-    raw = e.withColumn("margin", models.margin(model))
-    model["isotonic"] = models.fit_isotonic(raw, "margin", "y")
-    return models.scored(e, model).select("vec_id", "y", "p_hat")
+    """A calibrated model of the labels on all dimensions, fitted and applied."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    n = e.select(F.size("embedding")).first()[0]
+    e = e.select("vec_id", (F.col("label") % 2).alias("y"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(n)))
+    return models.scored(e, models.fitted(e, [f"f{i}" for i in range(n)], calibration="isotonic", max_iter=25)).select("vec_id", "y", "p_hat")

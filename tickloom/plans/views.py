@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +49,3 @@ def bars_sql(us: int, name: str = "bars", ts: str = "ts") -> str:
 spine_{name} AS (SELECT symbol, unnest(generate_series(a, b, to_microseconds({us}))) AS bar FROM (SELECT symbol, min(bar) AS a, max(bar) AS b FROM raw_{name} GROUP BY symbol)),
 {name} AS (SELECT s.symbol, s.bar, mid_open, mid_high, mid_low, mid_close, coalesce(volume, 0) AS volume, vwap FROM spine_{name} s LEFT JOIN raw_{name} r ON r.symbol = s.symbol AND r.bar = s.bar)"""
 
-
-#: Whether queries that take a part of a table by a modulo of its ids take the whole table.
-WHOLE = ContextVar("WHOLE", default=False)
-
-
-def part(df: DataFrame, condition: str) -> DataFrame:
-    return df if WHOLE.get() else df.where(condition)

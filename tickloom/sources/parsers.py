@@ -109,6 +109,38 @@ def agg_trades(raw: DataFrame, symbol: str) -> DataFrame:
     return enforce(d.select(agg_id.alias("agg_id"), ts.alias("ts"), price.alias("price"), qty.alias("qty"), sold.alias("is_buyer_maker"), F.lit(symbol).alias("symbol")).dropna(subset=["ts", "price", "qty"]), "agg_trades")
 
 
+def _strict(raw: DataFrame, symbol: str) -> DataFrame:
+    """A trade file's columns as values, and which of them are bad; ValueError if it lacks a column."""
+    d = raw.toDF(*(c.strip().lower() for c in raw.columns))
+    if missing := [c for c in ("timestamp", "symbol", "side", "price", "size") if c not in d.columns]:
+        raise ValueError(f"trades are missing columns {', '.join(missing)}; there are {', '.join(raw.columns)}")
+    t = number(F.col("timestamp"))
+    side = F.lower(F.trim("side"))
+    side = F.when(side.isin("b", "buy"), "buy").when(side.isin("s", "sell"), "sell")
+    trade_id = F.col("trdmatchid") if "trdmatchid" in d.columns else F.lit(None)
+    d = d.select(F.when(t >= 10**12, t).otherwise(t * 1000).alias("t"), F.upper("symbol").alias("symbol"), side.alias("side"), number(F.col("price")).alias("price"), number(F.col("size")).alias("size"), trade_id.cast("string").alias("trade_id"))
+    bad = lambda c: F.coalesce(F.isnan(c) | (F.col(c) <= 0), F.lit(True))
+    return d.select("*", (F.col("t").isNull() | F.isnan("t")).alias("bad_ts"), bad("price").alias("bad_price"), bad("size").alias("bad_size"), F.col("side").isNull().alias("bad_side"), (F.coalesce(F.col("symbol") != symbol.upper(), F.lit(True))).alias("bad_symbol"))
+
+
+BAD = ["bad_ts", "bad_price", "bad_size", "bad_side", "bad_symbol"]
+
+
+def strict_trades(raw: DataFrame, symbol: str, start_ms: int, end_ms: int) -> DataFrame:
+    """The valid trades of a symbol in [start, end), each once: ts_ms, symbol, side, price, size, trade_id."""
+    good = _strict(raw, symbol).where(~(F.col("bad_ts") | F.col("bad_price") | F.col("bad_size") | F.col("bad_side") | F.col("bad_symbol")))
+    rows = good.select(F.col("t").cast("long").alias("ts_ms"), "symbol", "side", "price", "size", "trade_id").where((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") < end_ms))
+    return rows.dropDuplicates()
+
+
+def strict_counts(raw: DataFrame, symbol: str, start_ms: int, end_ms: int) -> DataFrame:
+    """One row: rows seen, rows with each fault (a row may have several), rows valid in the window, and the times seen."""
+    d = _strict(raw, symbol)
+    clean = ~(F.col("bad_ts") | F.col("bad_price") | F.col("bad_size") | F.col("bad_side") | F.col("bad_symbol"))
+    t = F.when(~F.col("bad_ts"), F.col("t")).cast("long")
+    return d.agg(F.count("*").alias("seen"), *(F.count_if(F.col(c)).alias(c) for c in BAD), F.count_if(clean & (t >= start_ms) & (t < end_ms)).alias("valid"), F.min(t).alias("min_ts"), F.max(t).alias("max_ts"))
+
+
 def book_ticker(raw: DataFrame, symbol: str) -> DataFrame:
     d = normalized(raw)
     ts = in_ms(needed(d, "ts", "event_time", "transaction_time", "transact_time", "timestamp", "ts_ms"))
@@ -160,6 +192,26 @@ def book_events(lines: DataFrame, symbol: str) -> DataFrame:
     return j.select(F.lit(symbol).alias("symbol"), in_ms(F.col("j.ts")).alias("ts"), "line", F.col("j.type").alias("kind"), "j.data.u", "j.data.seq", F.col("j.data.b").alias("bids"), F.col("j.data.a").alias("asks")).where("ts is not null")
 
 
+#: What a number of a given size counts as, by the first power of ten that is above it.
+SCALES = ((11, "seconds"), (14, "milliseconds"), (17, "microseconds"), (20, "nanoseconds"))
+
+
+def book_log_report(lines: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """What a book log (path, value) holds, a row for each file: lines, bytes, decode_errors, records, records in
+    [start, end), snapshots, deltas, the times seen, and the units that the times are in (a map of counts)."""
+    schema = "type string, ts string, data struct<u:long, seq:long>, _corrupt_record string"
+    j = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.where("trim(value) <> ''").select("path", F.length("value").alias("n"), j.alias("j"))
+    t = F.col("j.ts").try_cast("decimal(38,6)")
+    unit = F.lit("invalid")
+    for digits, name in reversed(SCALES):
+        unit = F.when(t < F.lit("1" + "0" * digits).cast("decimal(38,0)"), name).otherwise(unit)
+    rows = rows.select("path", "n", F.col("j._corrupt_record").isNotNull().alias("bad"), F.col("j.type").alias("kind"), in_ms(F.col("j.ts")).alias("ts"), F.coalesce(F.when(t.isNull() | (t <= 0), "invalid"), unit).alias("unit"), F.col("j.data").isNotNull().alias("is_record"))
+    record = F.col("is_record") & F.col("ts").isNotNull()
+    units = F.map_from_arrays(F.array(*(F.lit(u) for _, u in SCALES), F.lit("invalid")), F.array(*(F.count_if(F.col("is_record") & (F.col("unit") == u)) for u in [u for _, u in SCALES] + ["invalid"])))
+    return rows.groupBy("path").agg(F.count("*").alias("lines"), F.sum("n").alias("bytes"), F.count_if("bad").alias("decode_errors"), F.count_if(record).alias("records"), F.count_if(record & (F.col("ts") >= start_ms) & (F.col("ts") < end_ms)).alias("in_window"), F.count_if(record & (F.col("kind") == "snapshot")).alias("snapshots"), F.count_if(record & (F.col("kind") == "delta")).alias("deltas"), F.min(F.when(record, F.col("ts"))).alias("min_ts"), F.max(F.when(record, F.col("ts"))).alias("max_ts"), units.alias("units"))
+
+
 def decode_errors(lines: DataFrame) -> DataFrame:
     """How many lines there are, and how many are no JSON objects."""
     bad = F.from_json("value", "type string, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})["_corrupt_record"].isNotNull()

@@ -23,28 +23,35 @@ def files(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder that the session names and read again: a short plan, and nothing to compute anew.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Where the session names none, as in tests, a temporary folder is set as its checkpoint folder and used.
+    Where neither is set, a local master (as in tests) gets a temporary folder; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext._jsc.sc()
     shared = spark.conf.get(SHARED, None)
     if not shared:
         if context.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError(f"set {SHARED} to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tickloom-"))
         shared = context.getCheckpointDir().get()
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: a short plan, and nothing to compute anew."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def upsert(df: DataFrame, root: str, dataset: str, exchange: str, market: str, gap_seconds: int | None = None) -> dict:
     """Rows into ``root``/dataset, by key: the last by time wins, and of equal times the row that came now.
 
-    Only the dates that the rows touch are read and written again. Rows are staged, as Spark can't overwrite what it
-    reads, and replace the partitions of their dates at once. Returns the manifest.
+    Only the dates that the rows touch are read and written again, here and in the manifest. Rows are staged, as Spark
+    can't overwrite what it reads, and replace the partitions of their dates; Spark moves one date after another, so a
+    reader in between can see some of them new. Returns the manifest.
     """
     spark, path, (schema, key) = df.sparkSession, f"{root}/{dataset}", parsers.SCHEMAS[dataset]
     new = parsers.enforce(df, dataset).withColumn("date", F.to_date(F.timestamp_millis("ts"))).withColumn("_gen", F.lit(1))
@@ -60,9 +67,10 @@ def upsert(df: DataFrame, root: str, dataset: str, exchange: str, market: str, g
         validate(rows.withColumn("ts", F.timestamp_millis("ts")) if gap_seconds else rows, key, "symbol", "ts", gap_seconds)
         placed = rows.withColumn("exchange", F.lit(exchange)).withColumn("market", F.lit(market))
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+        touched = [r["date"] for r in rows.select("date").distinct().collect()]  # days
     finally:
         fs.delete(to_path(stage), True)
-    return write_manifest(spark, root, dataset, exchange, market)
+    return write_manifest(spark, root, dataset, exchange, market, touched)
 
 
 def append(df: DataFrame, root: str, dataset: str, exchange: str, market: str) -> None:
@@ -70,12 +78,18 @@ def append(df: DataFrame, root: str, dataset: str, exchange: str, market: str) -
     rows.write.mode("append").partitionBy(*PARTITIONS).parquet(f"{root}/{dataset}")
 
 
-def write_manifest(spark: SparkSession, root: str, dataset: str, exchange: str, market: str) -> dict:
-    """Rows and range of each date, as JSON beside the data."""
+def write_manifest(spark: SparkSession, root: str, dataset: str, exchange: str, market: str, touched: list | None = None) -> dict:
+    """Rows and range of each date, as JSON beside the data. With ``touched``, only these dates are counted anew."""
+    path = f"{root}/_manifests/{dataset}-{exchange}-{market}.json"
+    old = read_text(spark, path) if touched is not None else None
     rows = spark.read.parquet(f"{root}/{dataset}").where((F.col("exchange") == exchange) & (F.col("market") == market))
-    days = rows.groupBy("date").agg(F.count("*").alias("rows"), F.min("ts").alias("start"), F.max("ts").alias("end")).orderBy("date").collect()  # a row a day
-    manifest = {"dataset": dataset, "exchange": exchange, "market": market, "schema": "v1", "rows": sum(d["rows"] for d in days), "partitions": [{"date": str(d["date"]), "rows": d["rows"], "start": d["start"], "end": d["end"]} for d in days]}
-    write_text(spark, f"{root}/_manifests/{dataset}-{exchange}-{market}.json", json.dumps(manifest, indent=1))
+    if old:
+        rows = rows.where(F.col("date").isin(*touched)) if touched else rows.limit(0)
+    counted = rows.groupBy("date").agg(F.count("*").alias("rows"), F.min("ts").alias("start"), F.max("ts").alias("end")).collect()  # a row a day
+    days = {d["date"]: d for d in json.loads(old)["partitions"]} if old else {}
+    days |= {str(d["date"]): {"date": str(d["date"]), "rows": d["rows"], "start": d["start"], "end": d["end"]} for d in counted}
+    manifest = {"dataset": dataset, "exchange": exchange, "market": market, "schema": "v1", "rows": sum(d["rows"] for d in days.values()), "partitions": [days[k] for k in sorted(days)]}
+    write_text(spark, path, json.dumps(manifest, indent=1))
     return manifest
 
 
