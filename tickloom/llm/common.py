@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +41,27 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_MADE: ContextVar[list[str] | None] = ContextVar("_MADE", default=None)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is saved inside goes at the end, but for what is saved to be kept: that has to be all that is read later."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            drop_dir(spark, path)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = new_dir(df.sparkSession, name)
+    if not keep and (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

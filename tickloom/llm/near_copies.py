@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import freed, slices
-from .common import saved
+from .common import saved, temporary
 from .components import components
 from .simhash import digests, links, majority
 
@@ -102,32 +102,48 @@ def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (token, node), those whose token another node has too, each once."""
-    kept = np.empty(0, [("token", np.int64), ("node", np.int64)])
-    before: int | None = None  # the token of the last row that is done
-
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in ("token", "node")], names=["token", "node"])
+    """From rows in order of (token, h, node), those whose token another node has too, each once, with the first two nodes
+    (a, b) of the token. A token's rows go through in parts, however many there are."""
+    kind = [("token", np.int64), ("node", np.int64)]
+    kept = np.empty(0, kind)
+    head: tuple[int, int, int] | None = None  # token, first and second node, once there is a second
+
+    def out(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (rows["token"], rows["node"], a, b)], names=["token", "node", "a", "b"])
+
+    def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows whose last token may go on, but has two nodes here or in ``head``, or ends."""
+        nonlocal head
+        new = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["node"][1:] != rows["node"][:-1]))
+        rows = rows[new]
+        starts = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
+        sizes = np.diff(np.append(starts, len(rows)))
+        a, b = rows["node"][starts].copy(), rows["node"][np.minimum(starts + 1, len(rows) - 1)].copy()
+        enough = sizes > 1
+        if head is not None and rows["token"][0] == head[0]:
+            a[0], b[0], enough[0] = head[1], head[2], True
+        head = (int(rows["token"][-1]), int(a[-1]), int(b[-1])) if enough[-1] else None
+        stay = np.repeat(enough, sizes)
+        if stay.any():
+            yield out(rows[stay], np.repeat(a, sizes)[stay], np.repeat(b, sizes)[stay])
 
     for batch in freed(batches):
-        rows = np.empty(batch.num_rows, kept.dtype)
+        rows = np.empty(batch.num_rows, kind)
         for name in ("token", "node"):
             rows[name] = batch.column(batch.schema.names.index(name)).to_numpy(zero_copy_only=False)
         rows = np.concatenate((kept, rows))
         if not len(rows):
             continue
-        new = np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["node"][1:] != rows["node"][:-1]))
-        rows = rows[new]
-        same = rows["token"][1:] == rows["token"][:-1]
-        with_last = np.append(before is not None and rows["token"][0] == before, same)
-        done = (with_last | np.append(same, False))[:-1]
-        if done.any():
-            yield out(rows[:-1][done])
-        if len(rows) > 1:
-            before = int(rows["token"][-2])
-        kept = rows[-1:]
-    if len(kept) and before is not None and kept["token"][0] == before:
-        yield out(kept)
+        # the last token's rows wait, unless it is known to be shared
+        last = rows["token"] == rows["token"][-1]
+        if head is not None and head[0] == rows["token"][-1] or len(np.unique(rows["node"][last])) > 1:
+            kept = rows[:0]
+        else:
+            kept, rows = rows[last][-1:], rows[~last]
+        if len(rows):
+            yield from whole(rows)
+    if len(kept):
+        yield from whole(kept)
 
 
 def sizes_fit(n: Column | np.ndarray, m: Column | np.ndarray, threshold: float) -> Column | np.ndarray:
@@ -223,41 +239,51 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array(majority(h, n).view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), part.column(2), pa.array(rare, longs), pa.array(often, longs), pa.array(bits, longs)], names=["id", "node", "fp", "n", "th", "rare", "often", "bits"])
 
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
-    kind = plain.schema["id"].dataType.simpleString()
-    prints = saved(plain.mapInArrow(run, f"id {kind}, node long, fp long, n long, th long, rare array<long>, often array<long>, bits array<long>"), "prints")
-    nodes = saved(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits")), "nodes")
-    rows = prints.select(F.explode("rare").alias("token"), "node").repartition("token").sortWithinPartitions("token", "node").mapInArrow(shared_only, "token long, node long")
-    spread = prints.select(F.explode("often").alias("token"), "node").distinct()
-    shared = saved(rows.union(spread).join(nodes.select("node", "n", "bits"), "node"), "shared")
-
-    heads = nodes.where("n > 0").groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head"))
-    heads = saved(heads, "heads")
-    one = nodes.join(heads, "fp").select("node", "n", F.col("head.node").alias("v"), F.col("head.n").alias("m"))
-    other = links(heads.select("fp")).join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
-    by_print = one.union(other.select("a.node", "a.n", "b.node", "b.n"))
-    place = F.struct(F.xxhash64("token", "node").alias("h"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("bits").alias("w"))
-    ends = shared.groupBy("token").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    apart = F.aggregate(F.zip_with("bits", "w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    star = shared.join(ends, "token").select("node", "n", "bits", F.explode(F.array("a", "b")).alias("x")).select("node", "n", "bits", "x.v", "x.m", "x.w")
-    star = star.where(F.col("node") != F.col("v")).where(sizes_fit(F.col("n"), F.col("m"), threshold)).where(apart <= most_bits(F.col("n"), F.col("m"), threshold))
-    pair = (F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
-    first = saved(by_print.where(F.col("node") != F.col("v")).where(sizes_fit(F.col("n"), F.col("m"), threshold)).select(*pair).union(star.select(*pair)).distinct(), "candidates")
-    linked = confirmed(first, texts, nodes, size, threshold)
-
-    # shingles of up to three nodes have had all their pairs compared; where all nodes are one component there is no more to say
-    roots = saved(components(linked), "roots")
-    rooted = saved(shared.join(roots, shared["node"] == roots["node"], "left").select("token", shared["node"], "n", "bits", F.coalesce("root", shared["node"]).alias("root")), "rooted")
-    tokens = rooted.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("k")).where("first <> last and k > 3").select("token", F.ceil(F.col("k") / BLOCK).alias("blocks"))
-    left = rooted.join(tokens, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    cells = left.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "root", "n", "bits")
-    rest = cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(meet(threshold), "u long, v long").distinct()
-    more = confirmed(saved(rest.join(first, ["u", "v"], "left_anti"), "candidates"), texts, nodes, size, threshold)
-
-    roots = saved(components(linked.union(more)), "roots")
-    found = nodes.join(roots, nodes["node"] == roots["node"], "left").select(nodes["node"], "least", F.coalesce("root", nodes["node"]).alias("root"))
-    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(found.select("node", "root").join(ids, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "fp", "component_id")
+    def found() -> DataFrame:
+        plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+        kind = plain.schema["id"].dataType.simpleString()
+        prints = saved(plain.mapInArrow(run, f"id {kind}, node long, fp long, n long, th long, rare array<long>, often array<long>, bits array<long>"), "prints")
+        nodes = saved(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
+        sketched = prints.where("bits is not null").select("node", "bits").dropDuplicates(["node"])
+
+        def allowed(pairs: DataFrame) -> DataFrame:
+            """The distinct pairs (node, v) that sizes and sketches allow, as (u, v)."""
+            p = pairs.where(F.col("node") != F.col("v")).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+            p = p.join(nodes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(nodes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v").where(sizes_fit(F.col("nu"), F.col("nv"), threshold))
+            p = p.join(sketched.select(F.col("node").alias("u"), F.col("bits").alias("bu")), "u").join(sketched.select(F.col("node").alias("v"), F.col("bits").alias("bv")), "v")
+            apart = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+            return p.where(apart <= most_bits(F.col("nu"), F.col("nv"), threshold)).select("u", "v")
+
+        rows = prints.select(F.explode("rare").alias("token"), "node").withColumn("h", F.xxhash64("token", "node"))
+        shared = rows.repartition("token").sortWithinPartitions("token", "h", "node").select("token", "node").mapInArrow(shared_only, "token long, node long, a long, b long")
+        spread = prints.select(F.explode("often").alias("token"), "node").distinct().withColumn("h", F.xxhash64("token", "node"))
+        ends = spread.groupBy("token").agg(F.min_by("node", "h").alias("a"), F.max_by("node", "h").alias("b"))
+        shared = saved(shared.union(spread.join(ends, "token").select("token", "node", "a", "b")), "shared")
+
+        heads = saved(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("head")), "heads")
+        one = nodes.where("n > 0").join(heads, "fp").select("node", F.col("head").alias("v"))
+        other = links(heads.select("fp")).join(heads.select(F.col("fp").alias("u"), F.col("head").alias("node")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("to")), "v").select("node", F.col("to").alias("v"))
+        star = shared.select("node", F.explode(F.array("a", "b")).alias("v"))
+        first = saved(allowed(one.union(other).union(star)), "candidates")
+        linked = confirmed(first, texts, nodes, size, threshold)
+
+        # shingles of up to three nodes have had all their pairs compared; where all nodes are one component there is no more to say
+        roots = saved(components(linked), "roots")
+        rooted = saved(shared.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")), "rooted")
+        tokens = rooted.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("k")).where("first <> last and k > 3").select("token", F.ceil(F.col("k") / BLOCK).alias("blocks"))
+        left = rooted.join(tokens, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        left = left.join(nodes.select("node", "n"), "node").join(sketched, "node")
+        cells = left.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "root", "n", "bits")
+        rest = cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(meet(threshold), "u long, v long").distinct()
+        more = confirmed(saved(rest.join(first, ["u", "v"], "left_anti"), "candidates"), texts, nodes, size, threshold)
+
+        roots = saved(components(linked.union(more)), "roots")
+        of = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
+        return prints.select("id", "fp", "node").join(of.select("node", "root").join(ids, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "fp", "component_id")
+
+    with temporary(docs.sparkSession):
+        return saved(found(), "near-copies", keep=True)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -265,7 +291,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     Rows with one id are one document: one of them stays. Rows with a null id can't be told apart and stay.
     """
-    found = saved(near_copies(docs, id_col, text_col, size, threshold), "near-copies").where(F.col(id_col).isNotNull())
+    found = near_copies(docs, id_col, text_col, size, threshold).where(F.col(id_col).isNotNull())
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     if found.groupBy(id_col).count().where("count > 1").isEmpty():

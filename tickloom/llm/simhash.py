@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import freed, slices
-from .common import saved
+from .common import saved, temporary
 from .components import components
 
 BITS = 64
@@ -233,12 +233,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id that isn't null (null if there is none); repeated rows each give a row. Other columns are left behind. An empty
     table gives no rows.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = saved(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    roots = saved(components(links(nodes)), "roots")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    with temporary(docs.sparkSession):
+        prints = saved(fingerprints(docs, id_col, text_col, size), "fingerprints")
+        nodes = saved(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+        roots = saved(components(links(nodes)), "roots")
+        rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        found = prints.join(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp")
+        return saved(found.select(id_col, "fp", "component_id"), "near-duplicates", keep=True)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -246,7 +248,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     Rows with one id are one document: one of them stays. Rows with a null id can't be told apart and stay.
     """
-    found = saved(near_duplicates(docs, id_col, text_col, size), "near-duplicates").where(F.col(id_col).isNotNull())
+    found = near_duplicates(docs, id_col, text_col, size).where(F.col(id_col).isNotNull())
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     if found.groupBy(id_col).count().where("count > 1").isEmpty():
