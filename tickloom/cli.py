@@ -7,7 +7,7 @@ import argparse
 from .operators import backtest
 from .plans import flows
 from .session import session
-from .sources import files, sinks
+from .sources import files, parsers, sinks
 from .streaming import paper
 
 
@@ -25,10 +25,14 @@ def thresholds(text: str) -> list[float]:
     return given[:-1] + [round(given[-1] + k * step, 10) for k in range(int((last - given[-1]) / step + 1e-9) + 1)]
 
 
+#: Options that may be left out.
+OPTIONAL = {"--book", "--config", "--timeout", "--mode", "--fee-mults", "--slippage-mults", "--probabilities", "--policies", "--root"}
+
+
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tickloom")
     commands = parser.add_subparsers(dest="command", required=True)
-    add = lambda name, *options: [c := commands.add_parser(name), *(c.add_argument(o, required=o not in ("--book", "--config", "--timeout")) for o in options)]
+    add = lambda name, *options: [c := commands.add_parser(name), *(c.add_argument(o, required=o not in OPTIONAL) for o in options)]
     add("ingest", "--input", "--root", "--dataset", "--exchange", "--market", "--symbol")
     add("ingest-book-log", "--input", "--root", "--exchange", "--market", "--symbol")
     add("run", "--trades", "--book", "--config", "--output")
@@ -37,6 +41,9 @@ def main(arguments: list[str] | None = None) -> None:
     add("sweep-costs", "--trades", "--output")
     add("sweep-thresholds", "--trades", "--thresholds", "--output")
     add("inspect", "--input")
+    add("inspect-book-log", "--input", "--date", "--output")
+    add("train", "--rows", "--features", "--columns", "--config", "--output")
+    add("backtest", "--bars", "--config", "--mode", "--fee-mults", "--slippage-mults", "--probabilities", "--policies", "--output")
     add("live", "--input", "--venue", "--output", "--timeout")
     a = parser.parse_args(arguments)
     spark = session()
@@ -61,6 +68,20 @@ def main(arguments: list[str] | None = None) -> None:
         sinks.write_text(spark, a.output, sinks.report(sweep.orderBy("threshold"), "Thresholds") + sinks.report(backtest.recommended(sweep, trades.count()), "Recommended"))
     elif a.command == "inspect":
         files.containers(spark, a.input).show(1000, False)
+    elif a.command == "inspect-book-log":
+        from datetime import datetime, timezone
+
+        start = int(datetime.fromisoformat(a.date).replace(tzinfo=timezone.utc).timestamp() * 1000)
+        found = parsers.book_log_report(files.numbered_lines(spark, a.input), start, start + 86_400_000).orderBy("path")
+        sinks.write_text(spark, a.output, sinks.report(found, f"Book logs, {a.date}"))
+    elif a.command == "train":
+        config = flows.configured(sinks.read_text(spark, a.config)) if a.config else flows.Config()
+        print(flows.train(spark, spark.read.parquet(a.rows), spark.read.parquet(a.features), a.columns.split(","), config, a.output)["overall"])
+    elif a.command == "backtest":
+        config = flows.configured(sinks.read_text(spark, a.config)) if a.config else flows.Config()
+        numbers = lambda text: tuple(float(x) for x in text.split(",")) if text else ()
+        p = spark.read.parquet(a.probabilities) if a.probabilities else None
+        print(flows.backtested(spark, spark.read.parquet(a.bars), config, a.output, a.mode or "both", numbers(a.fee_mults), numbers(a.slippage_mults) or (1.0,), p, tuple((a.policies or "full_policy").split(",")))["summary"])
     elif a.command == "live":
         messages = spark.readStream.schema("seq long, value string").json(a.input)
         q = paper.paper_trades(paper.decoded(messages, a.venue)).writeStream.format("json").option("path", a.output).option("checkpointLocation", f"{a.output}/_checkpoint").start()

@@ -129,6 +129,16 @@ def filled_by_day(df: DataFrame, value: Column, out: str, by: str, ts: str, tie:
     return rows.join(days, [by, "_chunk"], "left").withColumn(out, filled).drop("_chunk", "_value", "_known")
 
 
+def numbered_by_day(df: DataFrame, out: str, by: str, ts: str, tie: str, seconds: int = DAY) -> DataFrame:
+    """Adds each row's place in its key's order of time, from 0; a day counts on from the days before it."""
+    rows = df.withColumn("_chunk", chunk_of(F.col(ts), seconds))
+    counts = rows.groupBy(by, "_chunk").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(ordered(by, "_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    days = counts.select(by, "_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(ordered([by, "_chunk"], ts, tie)) - 1
+    return rows.join(days, [by, "_chunk"], "left").withColumn(out, F.coalesce("_before", F.lit(0)) + place).drop("_chunk", "_before")
+
+
 def running_totals(counts: DataFrame, keys: list[str], order: str, columns: list[str], buckets: int = 64) -> DataFrame:
     """Adds cum_<column> for each column: its sum over a key's rows (all rows, without keys) up to ``order``.
 

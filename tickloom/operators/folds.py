@@ -1,20 +1,22 @@
 """Scans whose state depends on all rows before: exponential means, CUSUM, volume buckets, cooldowns, book replay.
 
 They run as applyInPandas per key in a total order. A key is one sequential state, so a key's rows meet in one task by
-their nature; what goes in is small columns of bars, minutes or events, and books are cut into sessions by snapshots.
+their nature; what goes in is small columns of bars, minutes or events. Book logs are not small: they are cut into sessions,
+each of which begins with a snapshot and is a key of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timeops import filled_by_day, numbered_by_day, ordered
 
-def fold(rows: DataFrame, by: str, order: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+
+def fold(rows: DataFrame, by: str | list[str], order: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     def group(frame: pd.DataFrame) -> pd.DataFrame:
         return run(frame.sort_values(order, kind="stable", ignore_index=True))
 
@@ -156,13 +158,14 @@ def replay_book(events: DataFrame, levels: int, sample_ms: int = 1000, every: bo
     """Book rows from snapshots and deltas in order of (ts, line): ts, update_id, and price and size of each level.
 
     A row comes at the first event of each ``sample_ms`` (or at every event), after it has been applied. A delta with
-    u = 1 is a snapshot; deltas before the first snapshot, or after one whose number doesn't grow, wait for the next.
+    u = 1 is a snapshot; deltas before the first snapshot, or after one whose number doesn't grow, wait for the next. A
+    snapshot makes the book anew, so what follows it, up to the next, is replayed by itself.
     """
     names = [f"{s}_{f}_{i}" for s in ("bid", "ask") for f in ("price", "size") for i in range(1, levels + 1)]
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         state, valid, last, bucket, out = BookState(), False, None, None, []
-        for ts, kind, u, seq, bids, asks in zip(f.ts, f.kind, f.u, f.seq, f.bids, f.asks, strict=True):
+        for ts, line, kind, u, seq, bids, asks in zip(f.ts, f.line, f.kind, f.u, f.seq, f.bids, f.asks, strict=True):
             number = seq if seq is not None and seq == seq else u
             snapshot = kind == "snapshot" or u == 1
             if not snapshot:
@@ -174,7 +177,16 @@ def replay_book(events: DataFrame, levels: int, sample_ms: int = 1000, every: bo
             valid, last = True, number if number == number else last
             if every or ts // sample_ms != bucket:
                 bucket = ts // sample_ms
-                out.append((f.symbol.iloc[0], ts, ts * 1_000_000 + len(out), *state.top(levels)))
-        return pd.DataFrame(out, columns=["symbol", "ts", "update_id", *names]).astype(dict.fromkeys(names, "float64"))
-
-    return fold(events, "symbol", ["ts", "line"], run, "symbol string, ts long, update_id long, " + ", ".join(f"{n} double" for n in names))
+                out.append((f.symbol.iloc[0], ts, line, *state.top(levels)))
+        return pd.DataFrame(out, columns=["symbol", "ts", "line", *names]).astype(dict.fromkeys(names, "float64"))
+
+    at = events.withColumn("_at", F.timestamp_millis("ts"))
+    snapshot = (F.col("kind") == "snapshot") | (F.col("u") == 1)
+    sessions = filled_by_day(at, F.when(snapshot, F.concat_ws("|", "ts", "line")), "_session", "symbol", "_at", "line").where("_session is not null").drop("_at")
+    kind = sessions.schema["line"].dataType.simpleString()
+    rows = fold(sessions, ["symbol", "_session"], ["ts", "line"], run, f"symbol string, ts long, line {kind}, " + ", ".join(f"{n} double" for n in names))
+    if not every:  # a bucket in which a session ends and another begins has a row of each
+        rows = rows.withColumn("_bucket", F.floor(F.col("ts") / sample_ms)).withColumn("_r", F.row_number().over(ordered(["symbol", "_bucket"], "ts", "line")))
+        rows = rows.where("_r = 1").drop("_r", "_bucket")
+    placed = numbered_by_day(rows.withColumn("_at", F.timestamp_millis("ts")), "_place", "symbol", "_at", "line")
+    return placed.select("symbol", "ts", (F.col("ts") * 1_000_000 + F.col("_place")).alias("update_id"), *names)

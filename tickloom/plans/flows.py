@@ -51,6 +51,9 @@ class Config:
     embargo_minutes: int = 60
     least_coverage: float = 0.5
     meta_threshold: float | None = None
+    calibration: str | None = "isotonic"
+    large_bytes: int = 50 << 20
+    large_records: int = 10_000
 
     def digest(self) -> str:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
@@ -73,11 +76,20 @@ def ingest(spark: SparkSession, raw: DataFrame, root: str, dataset: str, exchang
     return sinks.upsert(parse(raw, symbol), root, dataset, exchange, market)
 
 
-def ingest_book_log(spark: SparkSession, lines: DataFrame, root: str, exchange: str, market: str, symbol: str, levels: int = 50, sample_ms: int = 1000, most_errors: float = 0.001) -> dict:
-    """Replays a log of snapshots and deltas into book_depth. Too many undecodable lines, or no row at all, is an error."""
-    n = parsers.decode_errors(lines).first()
-    if not n["lines"] or n["errors"] > most_errors * n["lines"]:
-        raise ValueError(f"{n['errors']} of {n['lines']} lines can't be decoded")
+def ingest_book_log(spark: SparkSession, lines: DataFrame, root: str, exchange: str, market: str, symbol: str, levels: int = 50, sample_ms: int = 1000, most_errors: float = 0.001, c: Config | None = None) -> dict:
+    """Replays a log of snapshots and deltas into book_depth.
+
+    A file with too many undecodable lines, with few records for its size, or with none is an error, and so is a log that
+    gives no row.
+    """
+    c = c or Config()
+    named = lines if "path" in lines.columns else lines.withColumn("path", F.lit(symbol))
+    found = parsers.book_log_report(named, 0, 1 << 62)
+    wrong = (F.col("decode_errors") > most_errors * F.col("lines")) | (F.col("records") == 0) | ((F.col("bytes") >= c.large_bytes) & (F.col("records") < c.large_records))
+    if found.isEmpty():
+        raise ValueError("the log has no lines")
+    if bad := found.where(wrong).orderBy("path").limit(5).collect():
+        raise ValueError("; ".join(f"{r['path']}: {r['decode_errors']} of {r['lines']} lines can't be decoded, {r['records']} records in {r['bytes']} bytes" for r in bad))
     rows = folds.replay_book(parsers.book_events(lines, symbol), levels, sample_ms)
     pads = [F.lit(None).cast("double").alias(c) for c in parsers.depth_columns() if c not in rows.columns]
     rows = sinks.staged(rows.select("*", *pads), "book")
@@ -146,7 +158,7 @@ def run(spark: SparkSession, trades: DataFrame, book: DataFrame | None, c: Confi
         frame, names = meta.hazard_frame(rows, features, names)
         frame = sinks.staged(frame, "hazard-frame")
         windows = [r.asDict() for r in backtest.folds(spark, a, b, c.train_days, c.test_days, c.step_days, c.embargo_minutes).collect()]  # a row a fold
-        p, fitted = models.walk_forward_fit(frame, windows, names) if names else (None, [])
+        p, fitted = models.walk_forward_fit(frame, windows, names, calibration=c.calibration) if names else (None, [])
         if p is not None:
             context = [n for n in ("ofi", "lambda", "resid_std", "repl_ratio", "spread_mean") if n in frame.columns]
             p = p.withColumnRenamed("p_hat", "p").join(frame.select("event_id", "t", *context), ["event_id", "t"], "left")
@@ -162,11 +174,70 @@ def write_run(spark: SparkSession, r: Run, root: str) -> None:
         if (df := getattr(r, name)) is not None:
             df.write.mode("overwrite").parquet(f"{root}/{name}")
     sinks.write_text(spark, f"{root}/health.json", json.dumps(r.health, indent=1))
-    sinks.write_text(spark, f"{root}/models.json", json.dumps(r.models, indent=1, default=str))
+    sinks.write_text(spark, f"{root}/models.json", models.saved_models(r.models))
     log = spark.read.parquet(f"{root}/{'enhanced' if r.enhanced is not None else 'baseline'}")
     sinks.write_text(spark, f"{root}/attribution.md", "\n".join(sinks.report(df, title) for title, df in attribution(log).items()))
 
 
+def train(spark: SparkSession, rows: DataFrame, features: DataFrame, columns: list[str], c: Config, root: str) -> dict:
+    """Hazard models by fold and of all rows, from hazard rows and features: models.json, oof (Parquet), report.json."""
+    frame, names = meta.hazard_frame(rows, features, columns)
+    frame = sinks.staged(frame, "hazard-frame")
+    if not names or frame.isEmpty():
+        raise ValueError("no hazard rows with features")
+    a, b = frame.agg(F.min("t"), F.max("t")).first()
+    windows = [f.asDict() for f in backtest.folds(spark, a, b, c.train_days, c.test_days, c.step_days, c.embargo_minutes).collect()]  # a row a fold
+    oof, by_fold = models.walk_forward_fit(frame, windows, names, calibration=c.calibration)
+    measures = lambda df: {"auc": models.auc(df, "p_hat", "y").first()[0], "pr_auc": models.average_precision(df, "p_hat", "y").first()[0], "brier": models.brier(df, "p_hat", "y").first()[0], "lift_top_decile": models.lift(df, "p_hat", "y").first()[0], "rows": df.count()}
+    whole = models.fitted(frame, names, calibration=c.calibration)
+    report = {"features": names, "folds": len(by_fold), "overall": None}
+    if oof is not None:
+        oof = sinks.staged(oof, "oof")
+        oof.write.mode("overwrite").parquet(f"{root}/oof")
+        report["overall"] = measures(oof)
+        report["by_fold"] = [{"fold_id": m["fold_id"], **measures(oof.where(F.col("fold_id") == m["fold_id"]))} for m in by_fold]
+    sinks.write_text(spark, f"{root}/models.json", models.saved_models([{"fold_id": None, **whole}, *by_fold]))
+    sinks.write_text(spark, f"{root}/report.json", json.dumps(report, indent=1, default=str))
+    return report
+
+
+def modes(entries: DataFrame, mode: str) -> DataFrame:
+    """Entries of both kinds of regime, or of one: both, trend_only, range_only."""
+    name = {"both": None, "trend_only": "TREND", "range_only": "RANGE"}[mode]
+    return entries if name is None else entries.where(F.col("regime") == name)
+
+
+def backtested(spark: SparkSession, bars_: DataFrame, c: Config, root: str, mode: str = "both", fee_mults: tuple[float, ...] = (), slippage_mults: tuple[float, ...] = (1.0,), probabilities: DataFrame | None = None, policies: tuple[str, ...] = ("full_policy",)) -> dict:
+    """Trades of classified bars: trades (Parquet, and CSV beside it), and a report.
+
+    With ``fee_mults``, also the walk-forward summaries (walk_forward) and each fold's trades (fold_trades, by fold); with
+    ``probabilities`` (event_id, t, p), each fold's comparison of the exit policies with none (compared).
+    """
+    classified = sinks.staged(regime.classify(bars_, c.rv_window, c.hazard_quantile, c.ema_fast, c.ema_slow, c.trend_strength), "classified")
+    events = modes(entries_or_cusum(classified, c), mode).withColumnRenamed("entry_ts", "t0").select("event_id", "symbol", "t0", "side", "entry_price", "regime", "reason")
+    events = backtest.delayed(events, bars_, c.latency_ms)
+    labelled = sinks.staged(labels.triple_barrier(events, bars_, labels.volatility(bars_), c.horizon, c.pt, c.sl, overrides=c.overrides), "labelled")
+    costs = (c.capital, c.leverage, c.share, c.fee_bps, c.slippage_bps)
+    log = sinks.staged(backtest.trade_log(labelled, bars_, *costs), "trades")
+    log.write.mode("overwrite").parquet(f"{root}/trades")
+    log.write.mode("overwrite").option("header", True).csv(f"{root}/trades.csv")
+    one = backtest.trade_summary(log.withColumn("all", F.lit("all")), ["all"], c.capital).first()
+    report = {"config": c.digest(), "mode": mode, "summary": one.asDict() if one else {}}
+    a, b = bars_.agg(F.min("bar"), F.max("bar")).first()
+    fold_rows = backtest.folds(spark, a, b, c.train_days, c.test_days, c.step_days, c.embargo_minutes)
+    if fee_mults:
+        walked = sinks.staged(backtest.walk_forward(log, fold_rows, list(fee_mults), list(slippage_mults), c.capital), "walk-forward")
+        walked.write.mode("overwrite").parquet(f"{root}/walk_forward")
+        backtest.by_fold(log, fold_rows, "entry_ts").write.mode("overwrite").partitionBy("fold_id").parquet(f"{root}/fold_trades")
+        report["folds"] = walked.select("fold_id").distinct().count()
+        report["middles"] = [r.asDict() for r in quality_gates.middles(walked, ["pnl_net", "trade_count", "win_rate"]).collect()]
+    if probabilities is not None:
+        compared = backtest.walk_forward_compared(labelled, probabilities, bars_, fold_rows, list(policies), c.exit_at, c.fail_at, c.in_a_row, costs)
+        compared.write.mode("overwrite").parquet(f"{root}/compared")
+    sinks.write_text(spark, f"{root}/report.json", json.dumps(report, indent=1, default=str))
+    return report
+
+
 def attribution(trades: DataFrame) -> dict[str, DataFrame]:
     one = trades.withColumn("all", F.lit("all"))
     parts = {f"Net profit by {k}": backtest.pnl_by(trades, k).orderBy("key") for k in ("day", "week", "regime", "event_type", "exit_reason")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import io
+import re
 import time
 import zipfile
 from collections.abc import Callable, Iterator
@@ -82,8 +83,12 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, value) of text files, plain or gzip, in an order that each file's rows keep."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"), "value")
+    """(path, line, value) of text files, plain or gzip; ``line`` is a string in the order of the lines, whatever the splits.
+
+    It is made of the file, of where the split of it begins that has the line, and of the line's place in its task.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), "value")
+    return rows.select("path", F.concat_ws(":", "path", F.lpad(F.col("_start").cast("string"), 15, "0"), F.lpad(F.col("_id").cast("string"), 20, "0")).alias("line"), "value")
 
 
 def containers(spark: SparkSession, path: str) -> DataFrame:
@@ -137,8 +142,22 @@ def retried(fetch: Callable[[], object], tries: int = 5, wait: float = 1.0, slee
     raise RuntimeError("unreachable")
 
 
+class Throttle:
+    """Calls at least ``interval`` seconds apart."""
+
+    def __init__(self, interval: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.interval, self.clock, self.sleep, self.next = interval, clock, sleep, 0.0
+
+    def __call__(self, fetch: Callable[[], object]) -> object:
+        if (wait := self.next - self.clock()) > 0:
+            self.sleep(wait)
+        self.next = self.clock() + self.interval
+        return fetch()
+
+
 class Pages(DataSource):
-    """Rows of a paged service: options ``fetch`` ("module:function" of start, end, limit), start, end, slice (ms), limit.
+    """Rows of a paged service: options ``fetch`` ("module:function" of start, end, limit), start, end, slice (ms), limit,
+    and ``interval``, the least seconds between two requests of a task.
 
     A partition is a slice of time, read page by page from the last row's time on.
     """
@@ -171,9 +190,33 @@ class PagesReader(DataSourceReader):
     def read(self, partition: Slice) -> Iterator[tuple[int, str]]:
         module, name = self.options["fetch"].split(":")
         fetch, limit, at = getattr(importlib.import_module(module), name), int(self.options.get("limit", 1000)), partition.start
+        throttled = Throttle(float(self.options.get("interval", 0)))
         while at < partition.end:
-            rows = list(retried(lambda: fetch(at, partition.end, limit)))  # noqa: B023
+            rows = list(retried(lambda: throttled(lambda: fetch(at, partition.end, limit))))  # noqa: B023
             yield from ((ts, row) for ts, row in rows if partition.start <= ts < partition.end)
             if len(rows) < limit:
                 return
             at = max(ts for ts, _ in rows) + 1
+
+
+def latest_run(spark: SparkSession, root: str) -> str:
+    """The folder of the last run under ``root``, by the stamp (YYYYMMDD_HHMMSS) that its name begins with."""
+    from .sinks import files as hadoop
+
+    fs, to_path = hadoop(spark, root)
+    names = [f.getPath().getName() for f in fs.listStatus(to_path(root)) if f.isDirectory()] if fs.exists(to_path(root)) else []
+    stamped = sorted(n for n in names if re.match(r"\d{8}_\d{6}", n))
+    if not stamped:
+        raise ValueError(f"no runs under {root}")
+    return f"{root.rstrip('/')}/{stamped[-1]}"
+
+
+def trade_log_of(spark: SparkSession, run: str, *names: str) -> DataFrame:
+    """The first trade log that a run has, of ``names``: by default the one with early exits, then the plain one."""
+    from .sinks import files as hadoop
+
+    fs, to_path = hadoop(spark, run)
+    for name in names or ("enhanced", "baseline"):
+        if fs.exists(to_path(f"{run}/{name}")):
+            return spark.read.parquet(f"{run}/{name}")
+    raise ValueError(f"no trade log in {run}")
