@@ -165,7 +165,11 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """encode() and decode() in one pass over the texts, so that a task needs one Python worker and not two."""
+    """encode() and decode() in one pass over the texts, so that a task needs one Python worker and not two.
+
+    Returns ``id_col``, ``ids`` and ``text``. A null text counts as empty; repeated rows each give a row; an empty table
+    gives none; other columns are left behind. A text of any length is encoded and decoded whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
