@@ -50,7 +50,8 @@ BOXED = 4
 #: Elements nested deeper share the node of their ancestor at this depth; their text stays. Longer names are cut in a path.
 DEEPEST, LONGEST_NAME = 40, 80
 
-START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+#: The start of a comment or tag, with the whole tag where its quotes hold neither "<" nor ">".
+START = re.compile(r"""<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']+|"[^"<>]*"|'[^'<>]*')*+)(>)?|(!--)|[!?/])""")
 #: The rest of a tag; a tag with a quote that isn't closed ends at the first ">".
 QUOTED = re.compile(r"""(?:(?>[^>"']+)|"[^"]*"|'[^']*')*+>""")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -84,26 +85,28 @@ def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
     A raw element is one tag with all it holds. Each character is looked at a bounded number of times: a comment or raw
     element that isn't closed takes in the rest, and after one tag whose quotes don't match, quotes count for nothing.
     """
-    at, quotes = 0, True
-    while m := START.search(html, at):
-        start, at = m.start(), m.end()
-        if m[1]:
+    at, quotes, search = 0, True, START.search
+    while m := search(html, at):
+        start, at = m.span()
+        slash, name, attributes, whole, comment = m.groups()
+        if comment:
             end = html.find("-->", at)
             at = len(html) if end < 0 else end + 3
             yield start, at, "", False, ""
             continue
-        end = QUOTED.match(html, at) if quotes and m[3] else None
-        stop = end.end() if end else html.find(">", at) + 1
-        if not stop:
-            return  # no tag ends any more
-        quotes = quotes and (end is not None or not m[3])
-        name = (m[3] or "").lower()
-        attributes = html[at : stop - 1] if name else ""
-        at = stop
-        if name in RAW and not m[2]:
+        if not whole:
+            end = QUOTED.match(html, m.end(2)) if quotes and name else None
+            stop = end.end() if end else html.find(">", at if not name else m.end(2)) + 1
+            if not stop:
+                return  # no tag ends any more
+            quotes = quotes and (end is not None or not name)
+            attributes = html[m.end(2) : stop - 1] if name else ""
+            at = stop
+        name = name.lower() if name else ""
+        if name in RAW and not slash:
             close = RAW_END[name].search(html, at)
             at = close and html.find(">", close.end()) + 1 or len(html)
-        yield start, at, name, bool(m[2]), attributes
+        yield start, at, name, bool(slash), attributes
 
 
 class Element:

@@ -49,7 +49,7 @@ def record_id(*parts: object) -> str:
 
 def clean(value: object) -> str:
     """A header's value: on one line."""
-    return re.sub(r"\s+", " ", str(value)).strip()
+    return " ".join(str(value).split())
 
 
 def record(kind: str, headers: dict[str, object], block: bytes) -> tuple[dict[str, str], bytes]:
