@@ -21,7 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: exact Jaccard similarity of 0.8 or more on word shingles of five."""
+    """One document of each group stays: SimHash links on shingles of five words, confirmed and completed at a Jaccard
+    similarity of 0.8 or more."""
     workers_find_us(spark)
     return near_copies.keep_one(docs, size=5, threshold=0.8)
 
