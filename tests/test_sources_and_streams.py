@@ -156,3 +156,83 @@ def test_messages(spark):
     o = spark.createDataFrame([(1, '{"arg":{"channel":"books5","instId":"S"},"data":[{"ts":"1735689600000","bids":[["1","2","0"]],"asks":[["3","4","0"]]}]}'), (2, '{"arg":{"channel":"trades","instId":"S"},"data":[{"ts":"1735689600000","px":"5","sz":"6"}]}')], "seq long, value string")
     assert [(r.kind, r.bid, r.ask_size, r.qty) for r in paper.decoded(o, "okx").orderBy("seq").collect()] == [("book", 1.0, 4.0, None), ("trade", None, None, 6.0)]
     assert b.select(F.lit(1)).count() == 3
+
+
+def test_archive_of_days(spark, tmp_path):
+    """Days in the window only, checked, parsed, each row once."""
+    day = 86_400_000
+    for d in range(4):
+        name = f"BTC-1m-2025-01-0{d + 1}.zip"
+        folder = tmp_path / "data" / "klines" / "BTC" / "1m"
+        folder.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(folder / name, "w") as z:
+            row = f"{MS + d * day},1,2,0.5,1.5,10"
+            z.writestr(name.replace("zip", "csv"), f"open_time,open,high,low,close,volume\n{row}\n{row}\n{MS + d * day + 60000},1,2,0.5,1.5,10\n")
+        (folder / f"{name}.CHECKSUM").write_text(__import__("hashlib").sha256((folder / name).read_bytes()).hexdigest() + f"  {name}\n")
+    found = files.archive(spark, f"file://{tmp_path}", "klines_1m", "BTC", MS + day, MS + 2 * day + 60000)
+    assert sorted(r.ts for r in found.collect()) == [MS + day, MS + day + 60000, MS + 2 * day]
+    (folder / "BTC-1m-2025-01-02.zip.CHECKSUM").write_text("0" * 64)
+    with pytest.raises(ValueError, match="checksum"):
+        files.archive(spark, f"file://{tmp_path}", "klines_1m", "BTC", MS + day, MS + 2 * day)
+    assert files.archive(spark, f"file://{tmp_path}", "klines_1m", "BTC", MS, MS + day).count() == 2
+    assert files.archive(spark, f"file://{tmp_path}", "agg_trades", "BTC", MS, MS + day).count() == 0
+    with pytest.raises(ValueError):
+        files.archive(spark, f"file://{tmp_path}", "other", "BTC", MS, MS + day)
+
+
+def test_paged_service_over_http(spark):
+    """Pages of a service on this machine, which is busy at first; klines and a depth snapshot of its answers."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    calls = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
+            calls.append(self.path)
+            if len(calls) == 1:
+                self.send_response(429)
+                self.send_header("Retry-After", "0")
+                self.end_headers()
+                return
+            if self.path.startswith("/depth"):
+                body = {"lastUpdateId": 7, "bids": [["9", "1"], ["10", "2"]], "asks": [["11", "3"]]}
+            else:
+                start, end, limit = (int(q[k]) for k in ("startTime", "endTime", "limit"))
+                first = -(-start // 60_000) * 60_000
+                body = [[t, "1", "2", "0.5", "1.5", "10"] for t in range(first, end, 60_000)][:limit]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        spark.dataSource.register(files.Pages)
+        options = {"url": base + "/klines?startTime={start}&endTime={end}&limit={limit}", "start": MS, "end": MS + 600_000, "slice": 300_000, "limit": 2, "interval": 0}
+        pages = spark.read.format("pages").options(**options).load()
+        row = F.from_json("row", "array<string>")
+        raw = pages.select("ts", *(F.get(row, F.lit(i)).alias(n) for i, n in enumerate(("open_time", "open", "high", "low", "close", "volume"))))
+        k = parsers.klines(raw.drop("ts"), "S")
+        assert sorted(r.ts for r in k.collect()) == [MS + 60_000 * i for i in range(10)] and len(calls) >= 6
+        d = files.depth_snapshot(spark, base + "/depth", "S", MS).first()
+        assert (d.update_id, d.bid_price_1, d.bid_size_2, d.ask_price_1) == (7, 10.0, 1.0, 11.0)
+    finally:
+        server.shutdown()
+
+
+def test_batches_go_to_a_callback(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"x": i}))
+    seen = []
+    stream_ = spark.readStream.schema("x long").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+    for _ in range(2):
+        sinks.each_batch(stream_, lambda df, n: seen.append((n, sorted(r.x for r in df.collect()))), f"file://{tmp_path}/c", available_now=True).awaitTermination(120)
+    assert [n for n, _ in seen] == [0, 1, 2] and sorted(x for _, xs in seen for x in xs) == [0, 1, 2]

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import importlib
 import io
+import json
 import re
 import time
+import urllib.error
+import urllib.request
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -37,7 +40,7 @@ def table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unknown kind of file: {path}")
 
 
-def zipped_lines(spark: SparkSession, path: str, pattern: str = "*.zip", member: str = ".csv") -> DataFrame:
+def zipped_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.zip", member: str = ".csv") -> DataFrame:
     """(path, line, value) of the first member with the suffix in each zip; a zip is read whole by one task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
@@ -54,7 +57,7 @@ def zipped_lines(spark: SparkSession, path: str, pattern: str = "*.zip", member:
     return files.mapInArrow(run, "path string, line long, value string")
 
 
-def zipped_csv(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
+def zipped_csv(spark: SparkSession, path: str | list[str], pattern: str = "*.zip") -> DataFrame:
     """The rows of zipped CSV files as strings; files may differ in their headers, which come first."""
     lines = zipped_lines(spark, path, pattern)
     headers = [r["value"] for r in lines.where("line = 0").select("value").distinct().orderBy("value").collect()]  # one for each layout
@@ -156,8 +159,10 @@ class Throttle:
 
 
 class Pages(DataSource):
-    """Rows of a paged service: options ``fetch`` ("module:function" of start, end, limit), start, end, slice (ms), limit,
-    and ``interval``, the least seconds between two requests of a task.
+    """Rows of a paged service: options start, end, slice (ms), limit, ``interval``, the least seconds between two requests
+    of a task, and one of ``fetch`` ("module:function" of start, end, limit, which gives pairs of time and row) and ``url``,
+    with {start}, {end} and {limit} in it, whose answer is a JSON list, or an object with one under ``rows``; ``ts`` is the
+    name or the place of a row's time.
 
     A partition is a slice of time, read page by page from the last row's time on.
     """
@@ -173,6 +178,59 @@ class Pages(DataSource):
         return PagesReader(dict(self.options))
 
 
+def get(url: str, timeout: float = 30.0) -> bytes:
+    """What a GET request gives; an error has its ``status`` and, in seconds, ``retry_after``."""
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as r:
+            return r.read()
+    except urllib.error.HTTPError as e:
+        e.retry_after = float(after) if (after := e.headers.get("Retry-After", "")).isdigit() else None
+        raise
+
+
+def json_page(url: str, rows: str | None, ts: str) -> list[tuple[int, str]]:
+    """The rows of one answer, with their times."""
+    found = json.loads(get(url))
+    found = found[rows] if rows else found
+    return [(int(r[int(ts)] if isinstance(r, list) else r[ts]), json.dumps(r)) for r in found or ()]
+
+
+def depth_snapshot(spark: SparkSession, url: str, symbol: str, ts_ms: int, levels: int = parsers.LEVELS) -> DataFrame:
+    """One row of book_depth from a service's answer with ``bids`` and ``asks`` and, where it has one, an update id."""
+    j = json.loads(retried(lambda: get(url)))
+    j = j.get("data", j)
+    update = j.get("lastUpdateId", j.get("u", ts_ms))
+    raw = spark.createDataFrame([(ts_ms, int(update), json.dumps(j["bids"]), json.dumps(j["asks"]))], "ts long, update_id long, bids string, asks string")
+    return parsers.book_depth(raw, symbol, levels)
+
+
+#: For each dataset, what the names of daily archive files have between symbol and date.
+ARCHIVED = {"klines_1m": "1m", "agg_trades": "aggTrades", "book_ticker": "bookTicker", "book_depth": "bookDepth", "premium_kline": "premiumIndexKline", "mark_kline": "markPriceKline"}
+PARSERS = {"klines_1m": parsers.klines, "premium_kline": parsers.klines, "mark_kline": parsers.klines, "agg_trades": parsers.agg_trades, "book_ticker": parsers.book_ticker, "book_depth": parsers.book_depth}
+
+
+def archive(spark: SparkSession, root: str, dataset: str, symbol: str, start_ms: int, end_ms: int) -> DataFrame:
+    """Rows of [start, end) from the daily zips of a dataset anywhere under ``root``, each once.
+
+    Only files of days in the window are read. A file with a .CHECKSUM beside it has to match it, else ValueError.
+    """
+    if dataset not in ARCHIVED:
+        raise ValueError(f"no archives of {dataset}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{symbol}-{ARCHIVED[dataset]}-*").load(root)
+    day = F.to_date(F.regexp_extract("path", r"-(\d{4}-\d{2}-\d{2})\.zip(?:\.CHECKSUM)?$", 1))
+    dates = [F.to_date(F.timestamp_millis(F.lit(t))) for t in (start_ms, end_ms - 1)]
+    files = files.where((day >= dates[0]) & (day <= dates[1]))
+    zips = files.where("path like '%.zip'").select("path", F.sha2("content", 256).alias("digest"))
+    sums = files.where("path like '%.CHECKSUM'").select(F.regexp_replace("path", r"\.CHECKSUM$", "").alias("path"), F.lower(F.regexp_extract(F.decode("content", "UTF-8"), r"([0-9a-fA-F]{64})", 1)).alias("expected"))
+    if wrong := zips.join(sums, "path").where("digest <> expected").select("path").limit(5).collect():
+        raise ValueError(f"wrong checksums: {', '.join(r['path'] for r in wrong)}")
+    paths = [r["path"] for r in zips.select("path").orderBy("path").collect()]  # a file a day
+    if not paths:
+        return spark.createDataFrame([], parsers.SCHEMAS[dataset][0])
+    rows = PARSERS[dataset](zipped_csv(spark, paths), symbol)
+    return parsers.enforce(rows, dataset).where((F.col("ts") >= start_ms) & (F.col("ts") < end_ms)).dropDuplicates()
+
+
 class Slice(InputPartition):
     def __init__(self, start: int, end: int):
         super().__init__((start, end))
@@ -188,8 +246,12 @@ class PagesReader(DataSourceReader):
         return [Slice(a, min(a + step, end)) for a in range(start, end, step)]
 
     def read(self, partition: Slice) -> Iterator[tuple[int, str]]:
-        module, name = self.options["fetch"].split(":")
-        fetch, limit, at = getattr(importlib.import_module(module), name), int(self.options.get("limit", 1000)), partition.start
+        if "url" in self.options:
+            fetch = lambda start, end, limit: json_page(self.options["url"].format(start=start, end=end, limit=limit), self.options.get("rows"), self.options.get("ts", "0"))
+        else:
+            module, name = self.options["fetch"].split(":")
+            fetch = getattr(importlib.import_module(module), name)
+        limit, at = int(self.options.get("limit", 1000)), partition.start
         throttled = Throttle(float(self.options.get("interval", 0)))
         while at < partition.end:
             rows = list(retried(lambda: throttled(lambda: fetch(at, partition.end, limit))))  # noqa: B023

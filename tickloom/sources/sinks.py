@@ -6,6 +6,7 @@ import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,15 @@ def append(df: DataFrame, root: str, dataset: str, exchange: str, market: str) -
     rows.write.mode("append").partitionBy(*PARTITIONS).parquet(f"{root}/{dataset}")
 
 
+def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False):
+    """Gives each micro-batch of a stream, with its number, to ``write``; the checkpoint makes a restart go on where it was.
+
+    A batch that failed half-way comes again with the same number. Returns the running query.
+    """
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
 def write_manifest(spark: SparkSession, root: str, dataset: str, exchange: str, market: str, touched: list | None = None) -> dict:
     """Rows and range of each date, as JSON beside the data. With ``touched``, only these dates are counted anew."""
     path = f"{root}/_manifests/{dataset}-{exchange}-{market}.json"
