@@ -8,9 +8,9 @@ one of the first n - ceil(t * n) + 1 of either. The order is shingles by hash, w
 at the end, the most frequent last: a line that many texts have is then in few prefixes. The sample changes what is
 compared, not what is found.
 
-A large group of near copies would give all its pairs. So, first, the nodes of a shingle are compared with two of them (others
-for each shingle), and these links and those of the fingerprints are confirmed; then only nodes which these leave in different
-components meet, in blocks. Before a pair costs anything it is judged by sketches: a set's sketch has the parities of BITS
+A large group of near copies would give all its pairs. So, first, the nodes of a shingle are paired with two of them (others
+for each shingle), and of these pairs and those of the fingerprints one is confirmed for each node, then those which that leaves
+in different components; then only nodes which all this leaves in different components meet, in blocks. Before a pair costs anything it is judged by sketches: a set's sketch has the parities of BITS
 counters, so two sketches differ in no more bits than the sets differ in shingles, and too many bits rule a pair out for
 certain. What the sketches leave is compared on the whole sets.
 """
@@ -202,19 +202,50 @@ def meet(threshold: float):
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose sets' similarity is the threshold or more, by the whole sets of one text for each node."""
+    """The pairs (u, v) whose sets' similarity is the threshold or more, by the whole sets of one text for each node.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets, _, _ in sets_in(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array([node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "tokens"])
+    The sets go to their u: its own comes first and stays, the others pass by, one at a time.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # of a task
+        for part, found, _, _ in sets_in(batches, size):
+            centers, names = part.column(1).to_pylist(), part.column(2).to_pylist()
+            fresh = [i for i, k in enumerate(zip(centers, names, strict=True)) if k not in seen and not seen.add(k)]
+            yield pa.RecordBatch.from_arrays([pa.array([centers[i] for i in fresh], pa.int64()), pa.array([names[i] for i in fresh], pa.int64()), pa.array([names[i] != centers[i] for i in fresh], pa.bool_()), pa.array([found[i].view(np.int64) for i in fresh], pa.list_(pa.int64()))], names=["u", "v", "other", "tokens"])
 
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = saved(nodes.join(ends, "node").select("th"), "wanted")
-    picked = texts.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "th", "left_semi")
-    sets = saved(picked.select("text").mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return saved(both.where(common >= threshold * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v"), "links")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, own, last = None, np.empty(0, np.int64), None
+        for batch in freed(batches):
+            us, vs, others = (batch.column(i).to_pylist() for i in range(3))
+            flat, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False), np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            out = []
+            for i, (u, v, other) in enumerate(zip(us, vs, others, strict=True)):
+                tokens = flat[(ends[i - 1] if i else 0) : ends[i]]
+                if not other:
+                    center, own = u, tokens
+                elif center == u and (u, v) != last:
+                    both = len(np.intersect1d(own, tokens, assume_unique=True))
+                    if both >= threshold * (len(own) + len(tokens) - both) - 1e-9:
+                        out.append((u, v))
+                last = (u, v)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    members = pairs.select("u", "v").union(pairs.select("u", F.col("u").alias("v")).distinct())
+    wanted = saved(members.join(nodes.select(F.col("node").alias("v"), "th"), "v").select("th", "u", "v"), "wanted")
+    picked = texts.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "th").select("text", "u", "v")
+    rows = picked.mapInArrow(sets, "u long, v long, other boolean, tokens array<long>").repartition("u").sortWithinPartitions("u", "other", "v")
+    return saved(rows.mapInArrow(compare, "u long, v long"), "links")
+
+
+def roots_of(links_: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the nodes that have links, of which those ``before`` led to are stars."""
+    if before is not None:
+        if links_.isEmpty():
+            return before
+        links_ = links_.union(before.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return saved(components(links_), "roots")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -244,7 +275,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         kind = plain.schema["id"].dataType.simpleString()
         prints = saved(plain.mapInArrow(run, f"id {kind}, node long, fp long, n long, th long, rare array<long>, often array<long>, bits array<long>"), "prints")
         nodes = saved(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
-        sketched = prints.where("bits is not null").select("node", "bits").dropDuplicates(["node"])
+        sketched = saved(prints.where("bits is not null").select("node", "bits").dropDuplicates(["node"]), "sketches")
 
         def allowed(pairs: DataFrame) -> DataFrame:
             """The distinct pairs (node, v) that sizes and sketches allow, as (u, v)."""
@@ -265,19 +296,27 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         other = links(heads.select("fp")).join(heads.select(F.col("fp").alias("u"), F.col("head").alias("node")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("to")), "v").select("node", F.col("to").alias("v"))
         star = shared.select("node", F.explode(F.array("a", "b")).alias("v"))
         first = saved(allowed(one.union(other).union(star)), "candidates")
-        linked = confirmed(first, texts, nodes, size, threshold)
+        # each node with the least of those it is paired with, then the pairs that this leaves in different components
+        ends = first.union(first.select("v", "u"))
+        least = ends.groupBy("u").agg(F.min("v").alias("w")).select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct()
+        roots = roots_of(confirmed(least, texts, nodes, size, threshold))
+
+        def apart(pairs: DataFrame) -> DataFrame:
+            of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+            j = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+            return j.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
+        others = saved(apart(first.join(least, ["u", "v"], "left_anti")), "candidates")
+        roots = roots_of(confirmed(others, texts, nodes, size, threshold), roots)
 
         # shingles of up to three nodes have had all their pairs compared; where all nodes are one component there is no more to say
-        roots = saved(components(linked), "roots")
         rooted = saved(shared.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")), "rooted")
         tokens = rooted.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("k")).where("first <> last and k > 3").select("token", F.ceil(F.col("k") / BLOCK).alias("blocks"))
         left = rooted.join(tokens, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         left = left.join(nodes.select("node", "n"), "node").join(sketched, "node")
         cells = left.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "root", "n", "bits")
         rest = cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(meet(threshold), "u long, v long").distinct()
-        more = confirmed(saved(rest.join(first, ["u", "v"], "left_anti"), "candidates"), texts, nodes, size, threshold)
-
-        roots = saved(components(linked.union(more)), "roots")
+        roots = roots_of(confirmed(saved(rest.join(first, ["u", "v"], "left_anti"), "candidates"), texts, nodes, size, threshold), roots)
         of = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
         ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
         return prints.select("id", "fp", "node").join(of.select("node", "root").join(ids, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "fp", "component_id")
