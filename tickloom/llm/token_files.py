@@ -203,10 +203,11 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int, id_col: s
     buckets = max(-(-n_bytes // BUCKET_BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-n_bytes // LEAST_BYTES)), 1)
     placed = tokens.repartitionByRange(buckets, "id", F.substring("ids", 1, ORDERED)).sortWithinPartitions("id", "ids")
     placed.mapInArrow(block, BLOCK).write.option("compression", "none").parquet(f"{target}/blocks")
-    totals = np.zeros(buckets, np.int64)
-    for row in spark.read.schema(BLOCK).parquet(f"{target}/blocks").groupBy("bucket").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect():
-        totals[row["bucket"]] = row["n"]
-    spark.createDataFrame([(i, int(x)) for i, x in enumerate(np.cumsum(totals) - totals)], "bucket int, base long").coalesce(1).write.parquet(f"{target}/buckets")
+    # as many as there are partitions, which may be more than were asked for
+    found = {row["bucket"]: row["n"] for row in spark.read.schema(BLOCK).parquet(f"{target}/blocks").groupBy("bucket").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()}
+    names = sorted(found)
+    ends = np.cumsum([found[b] for b in names], dtype=np.int64)
+    spark.createDataFrame([(b, int(end) - found[b]) for b, end in zip(names, ends, strict=True)], "bucket int, base long").coalesce(1).write.parquet(f"{target}/buckets")
 
 
 def read_tokens(spark: SparkSession, target: str, id_col: str = "doc_id") -> DataFrame:
