@@ -56,6 +56,20 @@ def test_against_brute_force(spark, monkeypatch, often):
     assert len({c for _, c in brute_force(rows)}) < len(rows)
 
 
+def test_long_texts_of_other_lengths(spark):
+    """Sketches of several widths: long texts that share much, about at the threshold and below, beside shorter parts of them."""
+    draw = random.Random(5)
+    words = [f"w{draw.randrange(10**7)}" for _ in range(9000)]
+    rows = []
+    for n in (400, 520, 4000, 4900, 5600, 9000):
+        for part in (0.0, 0.015, 0.021, 0.03, 0.1):
+            edited = words[:n]
+            for i in draw.sample(range(n), int(part * n)):
+                edited[i] = f"x{draw.randrange(10**7)}"
+            rows.append((len(rows), " ".join(edited)))
+    assert found(spark, rows) == brute_force(rows) and len({c for _, c in brute_force(rows)}) > 8
+
+
 def test_edge_cases(spark):
     assert found(spark, EDGE_TEXTS) == brute_force(EDGE_TEXTS)
     assert found(spark, []) == []

@@ -34,7 +34,8 @@ from .simhash import digests, links, majority
 SAMPLE, OFTEN, MOST = 20_000, 3, 200_000
 #: Shingles of more than this share of the sample are spread over tasks from the start.
 HOT = 0.01
-#: Bits of a sketch, and texts whose sketches are made together.
+#: Bits of a sketch at least (long sets have more; where many nodes meet they are folded to these), and sketches of this width
+#: that are made together.
 BITS, SKETCHED = 1024, 1000
 #: Nodes of a shingle that meet in one block, rows that a task holds at once, and pairs of sketches.
 BLOCK, BLOCK_ROWS, BLOCK_PAIRS = 4096, 200_000, 200_000
@@ -57,15 +58,28 @@ def sets_in(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.R
             yield part, [np.unique(h[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)], h, n
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BITS bits, as uint64, for each set."""
-    out = [np.empty((0, BITS // 64), np.uint64)]
-    for at in range(0, len(sets), SKETCHED):
-        some = sets[at : at + SKETCHED]
-        of = np.repeat(np.arange(len(some)) * BITS, list(map(len, some)))
-        counts = np.bincount(of + (np.concatenate(some) % np.uint64(BITS)).astype(np.int64), minlength=len(some) * BITS)
-        out.append(np.packbits((counts & 1).astype(bool)).view(np.uint64).reshape(-1, BITS // 64))
-    return np.concatenate(out)
+def sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sketch of each set: BITS bits, or as many (a power of two) as twice its shingles, as uint64."""
+    out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(sets)
+    of_width: dict[int, list[int]] = {}
+    for i, s in enumerate(sets):
+        of_width.setdefault(max(BITS, 1 << (2 * len(s) - 1).bit_length()), []).append(i)
+    for width, those in of_width.items():
+        step = max(1, SKETCHED * BITS // width)
+        for at in range(0, len(those), step):
+            some = those[at : at + step]
+            of = np.repeat(np.arange(len(some)) * width, [len(sets[i]) for i in some])
+            counts = np.bincount(of + (np.concatenate([sets[i] for i in some]) % np.uint64(width)).astype(np.int64), minlength=len(some) * width)
+            for i, bits in zip(some, np.packbits((counts & 1).astype(bool)).view(np.uint64).reshape(-1, width // 64), strict=True):
+                out[i] = bits
+    return out
+
+
+def folded(bits: np.ndarray, words: int = BITS // 64) -> np.ndarray:
+    """The sketch of the same set with fewer bits: halves fall together."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def prefix(s: np.ndarray, threshold: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -88,10 +102,9 @@ def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets, _, _ in sets_in(batches, size):
-            for s in sets:
-                if (fp := node(s)) not in seen and len(s):
-                    seen.add(fp)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["token"])
+            fresh = [s for s in sets if len(s) and (k := node(s)) not in seen and not seen.add(k)]
+            if fresh:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fresh).view(np.int64))], names=["token"])
 
     counts = sample.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= OFTEN)
     rows = counts.orderBy(F.desc("count"), "token").limit(MOST).toArrow()
@@ -262,26 +275,30 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for part, sets, h, n in sets_in(batches, size):
             names = [node(s) for s in sets]
             fresh = [i for i, (k, s) in enumerate(zip(names, sets, strict=True)) if len(s) and k not in seen and not seen.add(k)]
-            rare, often, bits = ([None] * len(sets) for _ in range(3))
+            rare, often, bits, wide = ([None] * len(sets) for _ in range(4))
             for i, b in zip(fresh, sketches([sets[i] for i in fresh]), strict=True):
                 first = prefix(sets[i], threshold, common, rank)
                 is_hot = np.isin(first, hot)
-                rare[i], often[i], bits[i] = first[~is_hot].view(np.int64), first[is_hot].view(np.int64), b.view(np.int64)
+                rare[i], often[i], bits[i], wide[i] = first[~is_hot].view(np.int64), first[is_hot].view(np.int64), folded(b).view(np.int64), b.view(np.int64)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array(majority(h, n).view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), part.column(2), pa.array(rare, longs), pa.array(often, longs), pa.array(bits, longs)], names=["id", "node", "fp", "n", "th", "rare", "often", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array(majority(h, n).view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), part.column(2), pa.array(rare, longs), pa.array(often, longs), pa.array(bits, longs), pa.array(wide, longs)], names=["id", "node", "fp", "n", "th", "rare", "often", "bits", "wide"])
 
     def found() -> DataFrame:
         plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
         kind = plain.schema["id"].dataType.simpleString()
-        prints = saved(plain.mapInArrow(run, f"id {kind}, node long, fp long, n long, th long, rare array<long>, often array<long>, bits array<long>"), "prints")
+        prints = saved(plain.mapInArrow(run, f"id {kind}, node long, fp long, n long, th long, rare array<long>, often array<long>, bits array<long>, wide array<long>"), "prints")
         nodes = saved(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
-        sketched = saved(prints.where("bits is not null").select("node", "bits").dropDuplicates(["node"]), "sketches")
+        sketched = saved(prints.where("bits is not null").select("node", "bits", "wide").dropDuplicates(["node"]), "sketches")
 
         def allowed(pairs: DataFrame) -> DataFrame:
             """The distinct pairs (node, v) that sizes and sketches allow, as (u, v)."""
             p = pairs.where(F.col("node") != F.col("v")).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
             p = p.join(nodes.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(nodes.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v").where(sizes_fit(F.col("nu"), F.col("nv"), threshold))
-            p = p.join(sketched.select(F.col("node").alias("u"), F.col("bits").alias("bu")), "u").join(sketched.select(F.col("node").alias("v"), F.col("bits").alias("bv")), "v")
+            p = p.join(sketched.select(F.col("node").alias("u"), F.col("wide").alias("bu")), "u").join(sketched.select(F.col("node").alias("v"), F.col("wide").alias("bv")), "v")
+            # sizes that fit differ by less than the half, and so do widths: one fold makes them equal
+            half = lambda x: (F.size(x) / 2).cast("int")
+            fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda a, b: a.bitwiseXOR(b))
+            p = p.withColumns({x: F.when(F.size(x) > F.size(y), fold(F.col(x))).otherwise(F.col(x)) for x, y in (("bu", "bv"), ("bv", "bu"))})
             apart = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
             return p.where(apart <= most_bits(F.col("nu"), F.col("nv"), threshold)).select("u", "v")
 
@@ -313,10 +330,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rooted = saved(shared.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")), "rooted")
         tokens = rooted.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("k")).where("first <> last and k > 3").select("token", F.ceil(F.col("k") / BLOCK).alias("blocks"))
         left = rooted.join(tokens, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        left = left.join(nodes.select("node", "n"), "node").join(sketched, "node")
+        left = left.join(nodes.select("node", "n"), "node").join(sketched.select("node", "bits"), "node")
         cells = left.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "root", "n", "bits")
-        rest = cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(meet(threshold), "u long, v long").distinct()
-        roots = roots_of(confirmed(saved(rest.join(first, ["u", "v"], "left_anti"), "candidates"), texts, nodes, size, threshold), roots)
+        rest = cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(meet(threshold), "u long, v long").select(F.col("u").alias("node"), "v")
+        roots = roots_of(confirmed(saved(allowed(rest).join(first, ["u", "v"], "left_anti"), "candidates"), texts, nodes, size, threshold), roots)
         of = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
         ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
         return prints.select("id", "fp", "node").join(of.select("node", "root").join(ids, "root").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "fp", "component_id")
