@@ -79,7 +79,8 @@ def _records(rows: DataFrame, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from batched(r for i in range(batch.num_rows) for r in make(*(c[i].as_py() for c in batch.columns)))
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield from batched(r for row in zip(*(c.slice(at, BATCH_ROWS).to_pylist() for c in batch.columns), strict=True) for r in make(*row))
 
     return rows.mapInArrow(run, RECORD)
 
@@ -148,11 +149,10 @@ def derive(sources: DataFrame) -> DataFrame:
     return _records(of_pages.select("block", more.alias("more"), *(F.col("headers")[n].alias(n) for n in names)), make)
 
 
-def member(headers: dict[str, str], block: bytes, level: int = 1) -> bytes:
-    """A record as WARC/1.0 in a gzip member."""
+def member(head: bytes, block: bytes, level: int = 1) -> bytes:
+    """A record, of its headers as they are written and its block, in a gzip member."""
     out = zlib.compressobj(level, wbits=31)
-    head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + "\r\n"
-    return out.compress(head.encode()) + out.compress(block) + out.compress(b"\r\n\r\n") + out.flush()
+    return out.compress(head) + out.compress(block) + out.compress(b"\r\n\r\n") + out.flush()
 
 
 def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
@@ -165,17 +165,20 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                held.append(member(dict(batch.column(0)[i].as_py() or ()), batch.column(1)[i].as_py() or b""))
-                size += len(held[-1])
-                if size >= file_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
-                    held, size = [], 0
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                for head, block in zip(*(c.slice(at, BATCH_ROWS).to_pylist() for c in batch.columns), strict=True):
+                    held.append(member(head, block))
+                    size += len(held[-1])
+                    if size >= file_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                        held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
 
+    lines = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\r\n"))), "")
+    rows = records.select(F.encode(F.concat(F.lit("WARC/1.0\r\n"), F.coalesce(lines, F.lit("")), F.lit("\r\n")), "UTF-8").alias("head"), F.coalesce("block", F.lit(b"")).alias("block"))
     # a cast keeps the bytes as they are
-    files = records.select("headers", "block").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    files = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     files.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
