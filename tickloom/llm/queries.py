@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, containment, quality, shards, simhash, site_style, token_counts, token_files, warc
+from . import bpe, chat, containment, filter_audit, quality, shards, simhash, site_style, spelling, token_counts, token_files, warc
 from .common import new_dir, table, workers_find_us
 from .vocabulary import default_path
 
@@ -122,3 +122,18 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), default_path())
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in all 120 orders, by source."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = filter_audit.ORACLE
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the forms that they are variants of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
