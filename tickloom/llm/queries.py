@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, containment, filter_audit, quality, shards, simhash, site_style, spelling, token_counts, token_files, warc
+from . import bpe, chat, containment, filter_audit, quality, shards, simhash, site_style, spelling, token_counts, token_files, vector_graph, warc
 from .common import new_dir, table, workers_find_us
 from .vocabulary import default_path
 
@@ -124,6 +124,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@query
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their links at a cosine of 0.95 and the component that these lead to."""
+    return vector_graph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters over all documents in all 120 orders, by source."""
