@@ -1,8 +1,7 @@
-"""Scans whose state depends on all rows before: exponential means, CUSUM, volume buckets, cooldowns, book replay.
+"""Folds of a key's rows in order: volume buckets and book replay (scans.py has those that are cut into parts).
 
-They run as applyInPandas per key in a total order. A key is one sequential state, so a key's rows meet in one task by
-their nature; what goes in is small columns of bars, minutes or events. Book logs are not small: they are cut into sessions,
-each of which begins with a snapshot and is a key of its own.
+They run as applyInPandas per key in a total order. A bucket's size follows from where the one before ended, so a key's
+minutes meet in one task. Book logs are cut into sessions, each of which begins with a snapshot and is a key of its own.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeops import filled_by_day, numbered_by_day, ordered
+from .scans import cooldown, cusum, ewm, nonoverlapping  # noqa: F401
 
 
 def fold(rows: DataFrame, by: str | list[str], order: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -23,49 +23,6 @@ def fold(rows: DataFrame, by: str | list[str], order: list[str], run: Callable[[
     return rows.groupBy(by).applyInPandas(group, schema)
 
 
-def ewm(rows: DataFrame, value: str, span: int, by: str = "symbol", order: str = "bar") -> DataFrame:
-    """(key, order, ewm_mean, ewm_std): exponentially weighted without adjustment; the deviation is unbiased, NULL at first.
-
-    A missing value leaves the state as it is and repeats the last result; before any value the result is NULL.
-    """
-    a = 2 / (span + 1)
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        means, stds, m, c, s = [], [], None, 0.0, 1.0
-        for x in f[value].tolist():
-            if x is not None and x == x:
-                if m is None:
-                    m = x
-                else:
-                    c = (1 - a) * (c + a * (x - m) ** 2)
-                    m = (1 - a) * m + a * x
-                    s = (1 - a) ** 2 * s + a * a
-            means.append(m)
-            stds.append((c / (1 - s)) ** 0.5 if s < 1 else None)
-        return pd.DataFrame({by: f[by], order: f[order], "ewm_mean": pd.array(means, "Float64"), "ewm_std": pd.array(stds, "Float64")})
-
-    slim = rows.select(by, order, value)
-    return fold(slim, by, [order], run, f"{by} {slim.schema[by].dataType.simpleString()}, {order} {slim.schema[order].dataType.simpleString()}, ewm_mean double, ewm_std double")
-
-
-def cusum(rows: DataFrame, k: float, by: str = "symbol", order: str = "bar", change: str = "ret", sigma: str = "sigma") -> DataFrame:
-    """Symmetric CUSUM events: (key, t0, side, threshold, sigma). Both sums start anew after an event."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        out, up, down = [], 0.0, 0.0
-        for t, r, s in zip(f[order], f[change].tolist(), f[sigma].tolist(), strict=True):
-            if r is None or r != r:
-                continue
-            up, down = max(0.0, up + r), min(0.0, down + r)
-            if up > k * s or down < -k * s:
-                out.append((f[by].iloc[0], t, 1 if up > k * s else -1, k * s, s))
-                up = down = 0.0
-        return pd.DataFrame(out, columns=[by, "t0", "side", "threshold", "sigma"])
-
-    slim = rows.select(by, order, change, sigma)
-    return fold(slim, by, [order], run, f"{by} {slim.schema[by].dataType.simpleString()}, t0 {slim.schema[order].dataType.simpleString()}, side int, threshold double, sigma double")
-
-
 def volume_buckets(minutes: DataFrame, multiple: float, window: int, least: float, by: str = "symbol", order: str = "minute") -> DataFrame:
     """VPIN's buckets of equal volume from minute totals: (key, end, place, bucket_volume, imbalance).
 
@@ -95,34 +52,6 @@ def volume_buckets(minutes: DataFrame, multiple: float, window: int, least: floa
     return fold(slim, by, [order], run, f"{by} {slim.schema[by].dataType.simpleString()}, end {slim.schema[order].dataType.simpleString()}, place long, bucket_volume double, imbalance double")
 
 
-def cooldown(candidates: DataFrame, rows_apart: int, by: str = "symbol", position: str = "position") -> DataFrame:
-    """Candidates taken greedily in order: each at least ``rows_apart`` positions after the last that was taken."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        taken, last = [], None
-        for i, p in enumerate(f[position].tolist()):
-            if last is None or p - last >= rows_apart:
-                taken.append(i)
-                last = p
-        return f.iloc[taken]
-
-    return fold(candidates, by, [position], run, candidates.schema)
-
-
-def nonoverlapping(trades: DataFrame, by: str = "symbol", start: str = "entry_ts", end: str = "exit_ts", tie: str = "event_id") -> DataFrame:
-    """Trades taken greedily in order of entry: none enters before the last one taken has left."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        taken, free = [], None
-        for i, (a, b) in enumerate(zip(f[start], f[end], strict=True)):
-            if free is None or a >= free:
-                taken.append(i)
-                free = b
-        return f.iloc[taken]
-
-    return fold(trades, by, [start, tie], run, trades.schema)
-
-
 BOOK_EVENT = "symbol string, ts long, line long, kind string, u long, seq long, bids array<array<string>>, asks array<array<string>>"
 
 

@@ -86,8 +86,9 @@ def missing_days(df: DataFrame, ts: str) -> DataFrame:
 
 
 def middles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean and median of number columns: a row for each column."""
-    one = df.agg(*(f(c).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, f in (("mean", F.avg), ("median", F.median))))
+    """Mean, of an exact sum, and median of number columns: a row for each column."""
+    mean = lambda c: F.try_divide(exact_sum(F.col(c)), F.count(c))
+    one = df.agg(*(f(c).alias(f"{name}_{i}") for i, c in enumerate(columns) for name, f in (("mean", mean), ("median", F.median))))
     return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"mean_{i}").alias("mean"), F.col(f"median_{i}").alias("median")) for i, c in enumerate(columns)))))
 
 

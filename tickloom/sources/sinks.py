@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stage import scratch, staged  # noqa: F401
 from ..operators.quality_gates import keep_last, validate
 from . import parsers
 
-SHARED = "spark.checkpoint.dir"
 PARTITIONS = ["exchange", "market", "date"]
 
 
@@ -24,29 +23,6 @@ def files(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    Where neither is set, a local master (as in tests) gets a temporary folder; on a cluster that is an error.
-    """
-    context = spark.sparkContext._jsc.sc()
-    shared = spark.conf.get(SHARED, None)
-    if not shared:
-        if context.getCheckpointDir().isEmpty():
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError(f"set {SHARED} to a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tickloom-"))
-        shared = context.getCheckpointDir().get()
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: a short plan, and nothing to compute anew."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def upsert(df: DataFrame, root: str, dataset: str, exchange: str, market: str, gap_seconds: int | None = None) -> dict:
     """Rows into ``root``/dataset, by key: the last by time wins, and of equal times the row that came now.
 
