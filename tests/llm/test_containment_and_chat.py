@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import chat, containment
 from tickloom.llm.queries import ORACLE, QUERIES
@@ -59,3 +60,12 @@ def test_chats_read_back(spark):
         assert r.loss_text == "".join(t for _, role, t in turns if role == "assistant") and len(r.loss) == sum(role == "assistant" for _, role, _ in turns)
     assert read[5].formatted.startswith("<s>[INST]  [/INST]<s>t</s>") and hashlib.sha256(read[2].formatted.encode()).hexdigest() == hashlib.sha256(b"<s>only</s>").hexdigest()
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_keep_clean_with_clashing_columns(spark):
+    """Columns of the documents may have any name, those that the operator uses inside as well."""
+    said = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, said), (2, "something else that is clean enough"), (None, said), (None, "clean")], "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_found", "of", "item", "h", "n")})
+    items = spark.createDataFrame([(9, said)], "item_id long, text string")
+    kept = containment.keep_clean(docs, items)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]

@@ -53,7 +53,7 @@ def plain(docs):
         total = sum(words[key].values())
         kept = not failed
         if kept and total >= quality.LEAST_REFERENCE:
-            common = {w: n / total for w, n in words[key].items() if len(w) <= quality.SHORT and n / total >= quality.COMMON}
+            common = {w: n / total for w, n in words[key].items() if n / total >= quality.COMMON}
             mine, own = Counter(letters(t)), letters(t)
             p = [mine[w] / max(1, len(own)) for w in common]
             kept = js([*p, 1 - sum(p)], [*common.values(), 1 - sum(common.values())]) <= quality.FAR_WORDS + quality.NOISE / math.sqrt(counts[0])

@@ -133,3 +133,49 @@ def test_nested_then_stray_tags():
         began = time.process_time()
         Page(html).main_text()
         assert time.process_time() - began < 6
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article><p>a b c</p><svg class="i"/><p>d e f</p></article>', "a b c\nd e f"),
+        ("<article><p>a b c</p><button>x<p>d e f</p></article>", "a b c\nx\nd e f"),
+        ("<p>see <select><option>x</option> d e f</p><p>more</p>", "see\nx\nd e f\nmore"),
+        ("<p>b <video src=x/> c</p><p>d</p>", "b c\nd"),
+        ("<article><p>a</p><svg><g><svg><text>no</text></svg></g></svg><p>b <button>x <b>no</b></button> c</p></article>", "a\nb c"),
+        ("<article><p>a</p><object>y</article><footer>f</footer><object>z</object>", "a\ny"),
+        ('<form id="aspnetForm"><div><h1>t</h1><p>a longer story</p></div><div class="comments"><p>x</p></div></form>', "t\na longer story"),
+        ('<body><div class="modal-content"><p>story here</p></div></body>', "story here"),
+        ('<body><div class="modal"><form class="login"><p>story here, all of it</p></form></div></body>', "story here, all of it"),
+        ('<body><div class="modal"><p>no</p></div><article><p>story</p></article></body>', "story"),
+    ],
+)
+def test_elements_end_where_they_do(html, text):
+    assert Page(html).main_text() == text
+
+
+def test_unclosed_elements_are_shown(spark):
+    assert visible_text('<p>a</p><svg class="i"/><p>b</p><button>c<p>d</p>') == "a\nb\nc\nd"
+    assert visible_text("<p>a <button>no</button> b</p>") == "a\nb"
+
+
+def test_a_host_of_one_form(spark):
+    """Pages of one host that are a form each keep their texts, with a tree and without."""
+    rows = [(i, "http://h/", f'<form id="aspnetForm"><div class="top"><p>Menu of the house</p></div><div><h1>Title {i}</h1><p>{" ".join(f"word{i}x{k}" for k in range(60))}</p></div></form>') for i in range(20)]
+    got = site_style.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(f"word{r.page_id}x0" in r.text for r in got)
+
+
+def test_long_names_are_told_apart():
+    """Names that differ beyond the length kept of them are nodes of their own."""
+    page = Page("".join(f'<div class="{"a" * 100}{i}"><p>t{i}</p></div>' for i in range(3)), stats=True)
+    assert len({path for path, _ in page.texts if path.count("/") == 1}) == 3
+
+
+def test_many_open_elements_take_linear_time():
+    import time
+
+    began = time.time()
+    for html in ("<svg>" * 100_000 + "</div>" + "</svg>" * 100_000, "<button>" * 100_000, "<button>" * 50_000 + "</button>", "<div><select></div>" * 50_000):
+        Page(html).main_text()
+    assert time.time() - began < 60

@@ -75,8 +75,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """The rows of ``docs`` that contain none of ``items``, with all their columns; all rows of an id go together."""
-    found = saved(contaminated(docs, items, id_col, **options).select(F.col(id_col).alias("_found")).distinct(), "contaminated")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_found")), "left_anti")
+    found = saved(contaminated(docs, items, id_col, **options).select(F.col(id_col)).distinct(), "contaminated")
+    return docs.join(found, docs[id_col].eqNullSafe(found[id_col]), "left_anti")
 
 
 ORACLE = r"""

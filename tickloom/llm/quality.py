@@ -5,7 +5,7 @@ word is common if it makes up at least COMMON of the language's words, which bou
 is rejected if the Jensen-Shannon distance of its character classes or of its common words from the reference is above a
 limit. Short texts, and languages with few words, are exempt from a distance: theirs is mostly noise.
 
-All of it is DataFrame expressions; texts aren't shuffled, only counts of short words and of classes.
+All of it is DataFrame expressions; texts aren't shuffled, only counts of words, summed by task first, and of classes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ SYMBOLS = "[#*$%&|<>]"
 #: Runs of each class of characters; what is left over is the class of all other characters.
 CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "space": SPACE, "stop": r"[.,;:!?'()\"-]+", "symbol": f"{SYMBOLS}+"}
 COMMON = 0.005
-SHORT = 6
 #: Limits of the two distances; that of words allows for the noise of few words, NOISE over the root of their number. They
 #: were set by hand in the gap between documents labelled good and bad in the test tables: of the labelled documents at
 #: sf0.01 that pass the base rules, all 327 good ones stay and 24 of 27 bad ones go (symbols after words, lists of rare words).
@@ -76,10 +75,9 @@ def references(docs: DataFrame, language: Column, text: Column) -> DataFrame:
     chars = chars.select("language", F.array(*(F.coalesce(F.try_divide(f"c{i}", total), F.lit(0.0)) for i in range(len(CLASSES) + 1))).alias("class_shares"))
     # explode() would add a filter that splits each text once more
     words = plain.select("language", F.explode_outer(F.array_remove(F.split(spelled(F.col("body")), " +"), "")).alias("word")).where("word is not null")
-    # longer words count for the total only
-    counted = saved(words.groupBy("language", F.when(F.length("word") <= SHORT, F.col("word")).alias("word")).agg(F.count("*").alias("n")), "words")
+    counted = saved(words.groupBy("language", "word").agg(F.count("*").alias("n")), "words")
     totals = counted.groupBy("language").agg(F.sum("n").alias("all_words"))
-    common = counted.join(totals, "language").where("word is not null").withColumn("share", F.col("n") / F.col("all_words")).where(F.col("share") >= COMMON)
+    common = counted.join(totals, "language").withColumn("share", F.col("n") / F.col("all_words")).where(F.col("share") >= COMMON)
     lists = common.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("word", "share"))).alias("common"))
     return chars.join(totals, "language", "left").join(lists, "language", "left")
 
@@ -148,7 +146,7 @@ often AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams),
 repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM often WHERE n > 1) GROUP BY r),
 words AS (SELECT language, x AS word, count(*) AS n FROM (SELECT language, unnest(list_filter(string_split(spelled, ' '), lambda x: x <> '')) AS x FROM w) GROUP BY ALL),
 totals AS (SELECT language, sum(n) AS all_words FROM words GROUP BY language),
-common AS (SELECT language, list({{'word': word, 'share': n / all_words}} ORDER BY word) AS common FROM words JOIN totals USING (language) WHERE length(word) <= {SHORT} AND n / all_words >= {COMMON} GROUP BY language),
+common AS (SELECT language, list({{'word': word, 'share': n / all_words}} ORDER BY word) AS common FROM words JOIN totals USING (language) WHERE n / all_words >= {COMMON} GROUP BY language),
 sums AS (SELECT language, list(s ORDER BY k) AS s FROM (SELECT language, k, sum(classes[k]) AS s FROM c, range(1, 8) AS x(k) GROUP BY ALL) GROUP BY language),
 found AS (
   SELECT c.*, all_words, list_transform(s, lambda x: x / list_sum(s)) AS q, list_transform(classes, lambda x: x / list_sum(classes)) AS p, list_transform(common, lambda x: x.share) AS wq,

@@ -31,6 +31,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,7 +48,8 @@ TRUNK, ONCE = 0.7, 1.2
 LEAST_LEFT = 0.4
 #: An article in a box with a noise name has to be so much larger to be the main one.
 BOXED = 4
-#: Elements nested deeper share the node of their ancestor at this depth; their text stays. Longer names are cut in a path.
+#: Elements nested deeper share the node of their ancestor at this depth; their text stays. Of longer names a path has the
+#: beginning and a hash.
 DEEPEST, LONGEST_NAME = 40, 80
 
 #: The start of a comment or tag, with the whole tag where its quotes hold neither "<" nor ">".
@@ -55,8 +57,11 @@ START = re.compile(r"""<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']+|"[^"<>]*"|'[
 #: The rest of a tag; a tag with a quote that isn't closed ends at the first ">".
 QUOTED = re.compile(r"""(?:(?>[^>"']+)|"[^"]*"|'[^']*')*+>""")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "textarea", "title", "select", "button", "canvas", "video", "audio"}
+#: Elements whose content is no markup, and those that go with all they hold: their end is that of an element like others.
+RAW, WHOLE = {"script", "style", "noscript", "template", "iframe", "textarea", "title"}, {"object", "svg", "select", "button", "canvas", "video", "audio"}
 RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
+WHOLE_TAG = {name: re.compile(f"<(/?){name}(?=[\\s/>])[^>]*>", re.I) for name in WHOLE}
+ANY_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "br"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Without a class they go with their container.
@@ -79,13 +84,48 @@ def says_noise(token: str) -> bool:
     return any(p in NOISE_NAMES for p in parts) and all(p in NOISE_NAMES or p in BOX_NAMES for p in parts)
 
 
+class Wholes:
+    """Where the elements of WHOLE on a page end."""
+
+    def __init__(self, html: str):
+        self.html, self.ends, self.broken = html, {}, -1
+
+    def end(self, name: str, start: int, at: int) -> int:
+        """The place after the element that the tag from ``start`` to ``at`` opens: after its end tag, or just ``at`` if it closes
+        itself, has none, or one that comes after the end of an element around it. Linear over all tags of a page."""
+        if self.html[at - 2 : at] == "/>":
+            return at
+        if name not in self.ends:
+            found, open_ = {}, []
+            for m in WHOLE_TAG[name].finditer(self.html):
+                if not m[1] and not m[0].endswith("/>"):
+                    open_.append(m.start())
+                elif m[1] and open_:
+                    found[open_.pop()] = m.span()
+            self.ends[name] = found
+        close, end = self.ends[name].get(start, (at, at))
+        if start < self.broken < close:
+            return at
+        inside: dict[str, int] = {}
+        for m in ANY_TAG.finditer(self.html, at, close):
+            tag = m[2].lower()
+            if tag in VOID or tag in INLINE:
+                continue
+            inside[tag] = inside.get(tag, 0) + (-1 if m[1] else 1)
+            if inside[tag] < 0:  # ends what began before: so does it for all that opens up to here
+                self.broken = m.start()
+                return at
+        return end
+
+
 def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
     """Comments and tags: start, end, name in lower case ("" for what is none), whether it closes, attributes.
 
-    A raw element is one tag with all it holds. Each character is looked at a bounded number of times: a comment or raw
-    element that isn't closed takes in the rest, and after one tag whose quotes don't match, quotes count for nothing.
+    An element of RAW or WHOLE is one tag with all it holds; a tag of WHOLE that holds nothing by its end is none. Each character
+    is looked at a bounded number of times: a comment or raw element that isn't closed takes in the rest, and after one tag whose
+    quotes don't match, quotes count for nothing.
     """
-    at, quotes, search = 0, True, START.search
+    at, quotes, search, wholes = 0, True, START.search, None
     while m := search(html, at):
         start, at = m.span()
         slash, name, attributes, whole, comment = m.groups()
@@ -106,14 +146,21 @@ def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
         if name in RAW and not slash:
             close = RAW_END[name].search(html, at)
             at = close and html.find(">", close.end()) + 1 or len(html)
+        elif name in WHOLE:
+            if not slash:
+                wholes = wholes or Wholes(html)
+                at = wholes.end(name, start, at)
+            name = "" if slash or at == m.end() else name
         yield start, at, name, bool(slash), attributes
 
 
 class Element:
-    __slots__ = ("article", "box", "children", "low", "name", "noise", "noise_inside", "outside", "path", "size")
+    __slots__ = ("article", "box", "boxed", "children", "held", "low", "name", "noise", "noise_inside", "order", "outside", "path", "size")
 
     def __init__(self, name: str, path: str, parent: Element | None):
         self.name, self.path, self.children, self.size = name, path, [], 0
+        #: Its place among the page's elements; the outermost box around, and the text that it holds.
+        self.order, self.boxed, self.held = 0, parent.boxed if parent else None, 0
         #: The outermost article or main element around; whether it goes for sure; whether it goes unless it holds the main
         #: article, by a name outside of any article (box) or inside of one; whether it is low, beside the main part or else.
         self.article, self.noise, self.box, self.noise_inside, self.outside, self.low = (parent.article, parent.noise, parent.box, parent.noise_inside, parent.outside, parent.low) if parent else (None, False, False, False, False, False)
@@ -122,8 +169,8 @@ class Element:
 class Page:
     """One walk over a page's markup: blocks of text with their elements, and what each node of the tree has."""
 
-    def __init__(self, html: str, low: frozenset[str] = frozenset(), stats: bool = False):
-        self.low, self.stats = low, stats
+    def __init__(self, html: str, low: frozenset[str] = frozenset(), stats: bool = False, page_boxes: frozenset[int] = frozenset()):
+        self.html, self.low, self.stats, self.page_boxes, self.opened = html, low, stats, page_boxes, 0
         self.blocks: list[tuple[str, Element]] = []
         self.texts: dict[tuple[str, str], None] = {}
         self.forms: dict[str, list[str]] = {}
@@ -135,7 +182,7 @@ class Page:
         for start, end, name, closes, attributes in tags(html):
             self.text.append(html[at:start])
             at = end
-            if not name or name in INLINE and name != "wbr" or name in RAW and not closes:
+            if not name or name in INLINE and name != "wbr" or (name in RAW or name in WHOLE) and not closes:
                 continue
             if name in VOID:
                 self.text.append(" ")
@@ -164,8 +211,11 @@ class Page:
             parent.children.append(name)
         path = parent.path
         if len(self.stack) <= DEEPEST:
-            path = f"{path}/{name}.{names[:LONGEST_NAME].replace('/', '|')}" if names else f"{path}/{name}"
+            short = names if len(names) <= LONGEST_NAME else f"{names[:LONGEST_NAME]}~{crc32(names.encode()):08x}"
+            path = f"{path}/{name}.{short.replace('/', '|')}" if names else f"{path}/{name}"
         e = Element(name, path, parent)
+        self.opened += 1
+        e.order = self.opened
         inside = e.article is not None
         if name in ("article", "main") or "main" in names.split():
             e.article = e.article or e
@@ -173,8 +223,8 @@ class Page:
         said = name in MOSTLY_NOISE or name not in NEVER_LOW and any(says_noise(t) and not (inside and t == "header") for t in names.split())
         if inside:
             e.noise_inside = e.noise_inside or said
-        else:
-            e.box = e.box or said
+        elif said and e.order not in self.page_boxes:
+            e.box, e.boxed = True, e.boxed or e
         if self.low and name not in NEVER_LOW and (names or name not in PLAIN):
             e.outside = e.outside or "!" + path in self.low
             e.low = e.low or path in self.low
@@ -202,10 +252,17 @@ class Page:
                     self.texts.setdefault((e.path, text))
             e = self.stack[-1]
             self.blocks.append((text, e))
+            if e.boxed is not None and not e.noise:
+                e.boxed.held += len(text)
             if e.article and not e.noise and not e.noise_inside:
                 e.article.size += len(text)
 
     def main_text(self) -> str:
+        if not any(e.article for _, e in self.blocks):
+            # a box that holds most text of a page without an article is the page
+            box = max((e.boxed for _, e in self.blocks if e.boxed and not e.noise), key=lambda b: b.held, default=None)
+            if box and box.held >= TRUNK * _size([(t, e) for t, e in self.blocks if not e.noise]):
+                return Page(self.html, self.low, page_boxes=self.page_boxes | {box.order}).main_text()
         # an article in a box with a noise name is more often a comment or a teaser
         largest = max((e.article for _, e in self.blocks if e.article), key=lambda a: a.size / (BOXED if a.box else 1), default=None)
         rest = [(t, e) for t, e in self.blocks if not e.noise and not e.noise_inside and not (e.box and (e.article is None or e.article is not largest))]
