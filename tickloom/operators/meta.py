@@ -14,7 +14,7 @@ from . import micro
 from .joins import asof
 from .quality_gates import enough_values
 
-CANDLES = ["ret_last", "ret_sum_2", "ret_sum_n", "slope", "realized_vol", "body_ratio", "upper_wick", "lower_wick", "close_location", "high_n", "volume_z", "count_z"]
+CANDLES = micro.CANDLES
 
 
 def feature_frame(bars: DataFrame, book: DataFrame | None, flow: DataFrame, levels: list[int], lambda_window: int = 10, z_window: int = 20, by: str = "symbol") -> DataFrame:
@@ -31,9 +31,9 @@ def feature_frame(bars: DataFrame, book: DataFrame | None, flow: DataFrame, leve
 
         d = by_day(book, by, "ts", "agg_id", 3, features)
         top = levels[-1]
-        columns = [f"ofi_L{top}", f"w_ofi_L{top}", f"w_obi_L{top}", f"depth_L{top}", "repl_ratio", "spread"]
-        d = d.withColumn("ofi", F.col(f"ofi_L{top}"))
-        out = micro.on_bars(out, d, [*columns, "ofi"], by).withColumn("spread_mean", F.col("spread"))
+        columns = [f"ofi_L{top}", f"w_ofi_L{top}", f"w_obi_L{top}", f"depth_L{top}", f"repl_ratio_L{top}", "spread_mean"]
+        others = [f"{c}_L{n}" for n in levels if n != top for c in ("ofi", "repl_ratio")]  # for the policy
+        out = micro.on_bars(out.drop("spread_mean"), d, [*columns, *others], by)
         names += columns
     for c in names:
         out = out.withColumn(f"{c}_z", rolling_zscore(F.col(c), z_window, w))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import WindowSpec
 
-from ..functions.timeops import bar_end, bar_floor, by_day, exact_sum, filled_by_day, full, last_rows, ordered, rolling_mean, rolling_zscore, running_totals
+from ..functions.timeops import bar_end, bar_floor, by_day, exact_sum, filled_by_day, full, last_rows, ordered, rolling_mean, rolling_zscore, running_totals, upto_now
 from .joins import asof, on_spine
 
 
@@ -80,20 +80,35 @@ def depth_features(book: DataFrame, levels: list[int]) -> DataFrame:
 
 
 def replenishment(book: DataFrame, levels: list[int], window: int = 3, eps: float = 1e-9, by: str = "symbol", ts: str = "ts", tie: str = "agg_id") -> DataFrame:
-    """Adds depth, depletion, replenish, repl_ratio (rolling mean), spread and microprice."""
+    """Adds depth_L<n>, depletion_L<n>, replenish_L<n> and repl_ratio_L<n> (a rolling mean) for each level n, summed over the
+    configured levels up to n, and spread_mean and microprice."""
+    if eps <= 0 or window <= 0 or not levels:
+        raise ValueError("levels, and an eps and a window above zero are needed")
 
     def run(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        d = rows.withColumn("depth", depth(levels))
-        before = F.lag("depth").over(w)
-        moved = d.withColumn("depletion", F.greatest(F.lit(0.0), before - F.col("depth"))).withColumn("replenish", F.greatest(F.lit(0.0), F.col("depth") - before))
-        moved = moved.withColumn("depletion", F.when(before.isNotNull(), F.col("depletion"))).withColumn("replenish", F.when(before.isNotNull(), F.col("replenish"))).withColumn("_ratio", F.col("replenish") / (F.col("depletion") + eps))
+        levels_ = sorted(set(levels))
+        d = rows.withColumns({f"depth_L{n}": depth([i for i in levels_ if i <= n]) for n in levels_})
+        more = {n: F.col(f"depth_L{n}") - F.lag(f"depth_L{n}").over(w) for n in levels_}
+        d = d.withColumns({f"{name}_L{n}": F.when(x.isNotNull(), F.greatest(F.lit(0.0), x)) for n in levels_ for name, x in (("depletion", -more[n]), ("replenish", more[n]))})
+        d = d.withColumns({f"repl_ratio_L{n}": rolling_mean(F.col(f"replenish_L{n}") / (F.col(f"depletion_L{n}") + eps), window, w) for n in levels_})
         size = F.col("bid_size_1") + F.col("ask_size_1")
         micro = F.try_divide(F.col("ask_price_1") * F.col("bid_size_1") + F.col("bid_price_1") * F.col("ask_size_1"), size)
-        return moved.withColumn("repl_ratio", rolling_mean(F.col("_ratio"), window, w)).withColumn("spread", F.col("ask_price_1") - F.col("bid_price_1")).withColumn("microprice", micro).drop("_ratio")
+        return d.withColumn("spread_mean", F.col("ask_price_1") - F.col("bid_price_1")).withColumn("microprice", micro)
 
     return by_day(book, by, ts, tie, window, run)
 
 
+#: The features that a bar gets of the book, by the names before their level.
+WHITELIST = ("depth", "depletion", "replenish", "repl_ratio", "spread_mean", "microprice")
+
+
+def replenishment_on_bars(bars: DataFrame, book: DataFrame, levels: list[int], window: int = 3, keep: tuple[str, ...] = WHITELIST, by: str = "symbol") -> DataFrame:
+    """Each bar with the last replenishment features at or before its label, those of ``keep`` (a name stands for all its levels)."""
+    features = replenishment(book, levels, window, by=by)
+    names = [c for c in features.columns if c.rsplit("_L", 1)[0] in keep and c not in book.columns]
+    return on_bars(bars, features, names, by)
+
+
 def on_bars(bars: DataFrame, features: DataFrame, columns: list[str], by: str = "symbol", bar: str = "bar", ts: str = "ts") -> DataFrame:
     """Each bar with the last feature row at or before its label."""
     return asof(bars, features.select(by, ts, *columns), by, bar, ts).drop(ts)
@@ -189,32 +204,40 @@ def top_features(ics: DataFrame, n: int) -> DataFrame:
     return ics.where("ic is not null").withColumn("place", F.row_number().over(ordered("target", F.abs("ic").desc(), "feature"))).where(F.col("place") <= n)
 
 
-def candles_before(events: DataFrame, bars: DataFrame, minutes: int = 5, history: int = 60, unit_seconds: int = 60, by: str = "symbol", at: str = "entry_ts", bar: str = "bar", count: str = "trade_count") -> DataFrame:
-    """Twelve candle features of the ``minutes`` bars before each event, [T - n, T), with z-scores against [T - history, T).
+#: The names of the candle features.
+CANDLES = ["ret_1m_last", "ret_2m_sum", "ret_5m_sum", "ret_slope_5", "realized_vol_5", "body_ratio_mean", "upper_wick_ratio_max", "lower_wick_ratio_max", "close_location_last", "close_location_mean", "vol_zscore_5", "trade_count_zscore_5"]
+
+
+def candles_before(events: DataFrame, bars: DataFrame, minutes: int = 5, history: int = 60, unit_seconds: int = 60, by: str = "symbol", at: str = "entry_ts", bar: str = "bar", count: str | None = None) -> DataFrame:
+    """CANDLES of the ``minutes`` bars before each event, [T - n, T); an event without bars there has NULLs.
 
-    One interval join and one aggregation with conditions; an event without bars has NULLs.
+    Returns are those that aren't NULL; the slope is that of the last five closes, if there are five. Z-scores are of the window's
+    mean against mean and deviation of [T - history, T), 0 where that doesn't vary, NULL where the bars have no such column;
+    ``count`` is trade_count, count or num_trades where it isn't given. One interval join and one aggregation.
     """
     from ..functions.timeops import micros, shifted
     from .joins import within
 
     ids = [by, at]
+    count = count or next((c for c in ("trade_count", "count", "num_trades") if c in bars.columns), "")
     ev = events.select(*ids).distinct()
     span = history * unit_seconds
     b = bars.withColumn("_ret", F.try_divide("mid_close", F.lag("mid_close").over(ordered(by, bar))) - 1)
     j = within(ev, b, by, shifted(F.col(at), -span), shifted(F.col(at), 0), span, bar, include_start=True).where(F.col(f"row_{bar}") < F.col(at))
-    t, late = micros(F.col(f"row_{bar}")), F.col(f"row_{bar}") >= shifted(F.col(at), -minutes * unit_seconds)
-    last = lambda c: F.max_by(c, F.when(late, t))
-    recent = lambda k, c: F.when(F.col("_back") <= k, F.col(c))
-    j = j.withColumn("_back", F.row_number().over(ordered(ids, F.col(f"row_{bar}").desc())))
-    rng = F.col("mid_high") - F.col("mid_low")
-    body, top, low = F.col("mid_close") - F.col("mid_open"), F.greatest("mid_open", "mid_close"), F.least("mid_open", "mid_close")
-    j = j.withColumn("_body", F.abs(body) / (rng + 1e-12)).withColumn("_upper", (F.col("mid_high") - top) / (rng + 1e-12)).withColumn("_lower", (low - F.col("mid_low")) / (rng + 1e-12)).withColumn("_place", (F.col("mid_close") - F.col("mid_low")) / (rng + 1e-12))
-    z = lambda c: F.when(F.stddev_pop(c) > 0, (last(c) - F.avg(c)) / F.stddev_pop(c)).otherwise(0.0)
-    return ev.join(
-        j.groupBy(*ids).agg(
-            F.sum(recent(1, "_ret")).alias("ret_last"), F.sum(recent(2, "_ret")).alias("ret_sum_2"), F.sum(F.when(late, F.col("_ret"))).alias("ret_sum_n"),
-            F.regr_slope(F.when(late, F.col("mid_close")), -F.col("_back").cast("double")).alias("slope"), F.stddev_pop(F.when(late, F.col("_ret"))).alias("realized_vol"),
-            last("_body").alias("body_ratio"), last("_upper").alias("upper_wick"), last("_lower").alias("lower_wick"), last("_place").alias("close_location"),
-            F.max(F.when(late, F.col("mid_high"))).alias("high_n"), z("volume").alias("volume_z"), (z(count) if count in bars.columns else F.lit(0.0)).alias("count_z"),
-        ), ids, "left",
-    )
+    late = F.col(f"row_{bar}") >= shifted(F.col(at), -minutes * unit_seconds)
+    w = ordered(ids, F.col(f"row_{bar}").desc())
+    j = j.withColumn("_back", F.row_number().over(w)).withColumn("_moves", F.count("_ret").over(upto_now(w)))
+    wide = F.col("mid_high") - F.col("mid_low") + 1e-12
+    candle = {"_body": F.abs(F.col("mid_close") - F.col("mid_open")), "_upper": F.col("mid_high") - F.greatest("mid_open", "mid_close"), "_lower": F.least("mid_open", "mid_close") - F.col("mid_low"), "_place": F.col("mid_close") - F.col("mid_low")}
+    whole = F.col("mid_open").isNotNull() & F.col("mid_close").isNotNull()
+    j = j.withColumns({n: F.when(whole if n in ("_upper", "_lower") else F.lit(True), x / wide) for n, x in candle.items()})
+    moves = lambda k: F.sum(F.when(late & (F.col("_moves") <= k), F.col("_ret")))
+    tail = F.when(late & (F.col("_back") <= 5), F.col("mid_close"))
+    inside = lambda f, c: f(F.when(late, F.col(c)))
+    some = F.count(F.when(late, 1)) > 0
+    z = lambda c: F.when(some, F.when(F.stddev_pop(c) > 0, (inside(F.avg, c) - F.avg(c)) / F.stddev_pop(c)).otherwise(0.0)) if c in bars.columns else F.lit(None).cast("double")
+    features = [
+        moves(1), moves(2), moves(5), F.when(F.count(tail) == 5, F.regr_slope(tail, -F.col("_back").cast("double"))), inside(F.stddev_pop, "_ret"),
+        inside(F.avg, "_body"), inside(F.max, "_upper"), inside(F.max, "_lower"), F.max_by("_place", F.when(late, micros(F.col(f"row_{bar}")))), inside(F.avg, "_place"), z("volume"), z(count),
+    ]
+    return ev.join(j.groupBy(*ids).agg(*(f.alias(n) for n, f in zip(CANDLES, features, strict=True))), ids, "left")

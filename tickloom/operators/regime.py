@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,8 +87,9 @@ def entries(bars: DataFrame, band_window: int = 20, band_k: float = 2.0, atr_win
 def first_exits(rows: DataFrame, exit_at: float, fail_at: float, in_a_row: int = 2, rising: bool = False, absorption: bool = False, drop: bool = False, window: int = 3, mode: str = "full_policy", key: str = "event_id", t: str = "t", p: str = "p") -> DataFrame:
     """The first exit of each event, of those that have one: (key, exit_ts, exit_reason).
 
-    Fail-fast comes first at any time: p at its level and, where asked, an absorption spike (order flow at the window's
-    0.9 quantile while lambda fell or its residuals rose) and a drop in replenishment (or a wider spread). Otherwise p is
+    Fail-fast comes first at any time: p at its level and, where asked, an absorption spike (the largest order flow of any level
+    at the window's 0.9 quantile while lambda fell or its residuals rose) and a drop in the mean of the replenishment ratios of
+    all levels (or a wider spread); what the rows have no columns for isn't asked. Otherwise p is
     at the exit level for ``in_a_row`` rows, rising where asked; the first row never rises.
     """
     d = rows.where(F.col(p).isNotNull())
@@ -95,11 +98,23 @@ def first_exits(rows: DataFrame, exit_at: float, fail_at: float, in_a_row: int =
     ok = F.lit(True)
     seen = F.row_number().over(w) > 1
     before = lambda c: F.lag(c).over(w)
-    if absorption and "ofi" in rows.columns:
-        spike = F.abs(F.col("ofi")) >= F.percentile(F.abs(F.col("ofi")), 0.9).over(last_rows(w, window))
-        ok = ok & F.coalesce(spike & seen & ((F.col("lambda") < before("lambda")) | (F.col("resid_std") > before("resid_std"))), F.lit(False))
-    if drop and "repl_ratio" in rows.columns:
-        ok = ok & F.coalesce(seen & ((F.col("repl_ratio") < before("repl_ratio")) | (F.col("spread_mean") > before("spread_mean"))), F.lit(False))
+    flows = [c for c in rows.columns if c == "ofi" or c.startswith("ofi_L")]
+    changes = [x for c, x in (("lambda", F.col("lambda") < before("lambda")), ("resid_std", F.col("resid_std") > before("resid_std"))) if c in rows.columns]
+    if absorption and flows and changes:
+        size = F.greatest(*(F.abs(F.col(c)) for c in flows)) if len(flows) > 1 else F.abs(F.col(flows[0]))
+        d = d.withColumn("_flow", size)
+        spike = F.col("_flow") >= F.percentile("_flow", 0.9).over(last_rows(w, window))
+        ok = ok & F.coalesce(spike & seen & reduce(lambda x, y: x | y, (F.coalesce(x, F.lit(False)) for x in changes)), F.lit(False))
+    ratios = [c for c in rows.columns if c.startswith("repl_ratio")]
+    if drop and (ratios or "spread_mean" in rows.columns):
+        fell = []
+        if ratios:
+            n = sum((F.col(c).isNotNull().cast("int") for c in ratios), F.lit(0))
+            d = d.withColumn("_ratio", sum((F.coalesce(F.col(c), F.lit(0.0)) for c in ratios), F.lit(0.0)) / F.nullif(n, F.lit(0)))
+            fell.append(F.col("_ratio") < before("_ratio"))
+        if "spread_mean" in rows.columns:
+            fell.append(F.col("spread_mean") > before("spread_mean"))
+        ok = ok & seen & reduce(lambda x, y: x | y, (F.coalesce(x, F.lit(False)) for x in fell))
     d = d.withColumn("_ok", ok).withColumn("_rise", F.coalesce(F.col(p) > before(p), F.lit(False)))
     fail = (F.col(p) >= fail_at) & F.col("_ok") if mode in ("full_policy", "fail_fast_only") else F.lit(False)
     leave = (F.col("_run") >= in_a_row) & (F.col("_rise") | F.lit(not rising)) if mode in ("full_policy", "hazard_exit_only") else F.lit(False)

@@ -160,7 +160,7 @@ def run(spark: SparkSession, trades: DataFrame, book: DataFrame | None, c: Confi
         windows = [r.asDict() for r in backtest.folds(spark, a, b, c.train_days, c.test_days, c.step_days, c.embargo_minutes).collect()]  # a row a fold
         p, fitted = models.walk_forward_fit(frame, windows, names, calibration=c.calibration) if names else (None, [])
         if p is not None:
-            context = [n for n in ("ofi", "lambda", "resid_std", "repl_ratio", "spread_mean") if n in frame.columns]
+            context = [n for n in frame.columns if n in ("lambda", "resid_std", "spread_mean") or n.startswith(("ofi_L", "repl_ratio_L")) and not n.endswith("_z")]
             p = p.withColumnRenamed("p_hat", "p").join(frame.select("event_id", "t", *context), ["event_id", "t"], "left")
             exits = regime.first_exits(p, c.exit_at, c.fail_at, c.in_a_row)
             enhanced = backtest.trade_log(backtest.with_exits(labelled, exits, narrow), narrow, *costs)

@@ -167,10 +167,18 @@ def obi_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(micro.weighted_imbalance(book(spark, sf), [1, 2, 3]), 7, "w_obi_L3").select("agg_id", "symbol", "w_obi_L3")
 
 
-@REGISTER(f"WITH {BOOK}, d AS (SELECT *, bid_size_1 + ask_size_1 + bid_size_2 + ask_size_2 + bid_size_3 + ask_size_3 AS depth FROM book), m AS (SELECT *, greatest(0.0, lag(depth) {TICK} - depth) AS dep, CASE WHEN lag(depth) {TICK} IS NOT NULL THEN greatest(0.0, depth - lag(depth) {TICK}) END AS rep, lag(depth) {TICK} AS before FROM d), r AS (SELECT *, CASE WHEN before IS NOT NULL THEN rep / (dep + 1e-9) END AS ratio FROM m) SELECT agg_id, symbol, depth, CASE WHEN before IS NOT NULL THEN CAST(dep AS DOUBLE) END AS depletion, CAST(rep AS DOUBLE) AS replenish, round(ask_price_1 - bid_price_1, 6) AS spread, CASE WHEN count(ratio) {over(3, 'ts, agg_id')} >= 3 THEN round(avg(ratio) {over(3, 'ts, agg_id')} / 1e9, 6) END AS repl_ratio FROM r")
+DEEP = {n: " + ".join(f"{side}_size_{i}" for i in range(1, n + 1) for side in ("bid", "ask")) for n in (1, 2, 3)}
+
+
+@REGISTER(
+    f"""WITH {BOOK}, d AS (SELECT *, {', '.join(f'{x} AS depth_L{n}' for n, x in DEEP.items())} FROM book),
+    m AS (SELECT *, {', '.join(f'depth_L{n} - lag(depth_L{n}) {TICK} AS more_{n}' for n in DEEP)} FROM d),
+    r AS (SELECT *, {', '.join(f'greatest(0.0::DOUBLE, -more_{n}) + 0 * more_{n} AS depletion_L{n}, greatest(0.0::DOUBLE, more_{n}) + 0 * more_{n} AS replenish_L{n}' for n in DEEP)} FROM m)
+    SELECT agg_id, symbol, round(ask_price_1 - bid_price_1, 6) AS spread_mean, {', '.join(f"depth_L{n}, depletion_L{n}, replenish_L{n}, CASE WHEN count(more_{n}) {over(3, 'ts, agg_id')} >= 3 THEN round(avg(replenish_L{n} / (depletion_L{n} + 1e-9)) {over(3, 'ts, agg_id')} / 1e9, 6) END AS repl_ratio_L{n}" for n in DEEP)} FROM r"""
+)
 def replenishment(spark: SparkSession, sf: str) -> DataFrame:
     r = micro.replenishment(book(spark, sf), [1, 2, 3])
-    return r.select("agg_id", "symbol", "depth", "depletion", "replenish", F.round("spread", 6).alias("spread"), F.round(F.col("repl_ratio") / 1e9, 6).alias("repl_ratio"))
+    return r.select("agg_id", "symbol", F.round("spread_mean", 6).alias("spread_mean"), *(f"{c}_L{n}" for n in DEEP for c in ("depth", "depletion", "replenish")), *(F.round(F.col(f"repl_ratio_L{n}") / 1e9, 6).alias(f"repl_ratio_L{n}") for n in DEEP))
 
 
 @REGISTER(f"WITH {BARS}, f AS (SELECT agg_id, symbol, ts, bid_size_1 + ask_size_1 AS depth_L1, bid_size_1 + ask_size_1 + bid_size_3 + ask_size_3 AS depth_L3 FROM ({BOOK.replace(TRADES + ', book AS (', '')[:-1]})) SELECT b.symbol, b.bar, f.depth_L1, f.depth_L3 FROM bars b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.bar >= f.ts")

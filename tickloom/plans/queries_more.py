@@ -101,21 +101,25 @@ LATE = "FILTER (bar >= entry_ts - INTERVAL 5 HOUR)"
 
 
 def z_sql(c: str) -> str:
-    return f"CASE WHEN stddev_pop({c}) > 0 THEN (arg_max({c}, bar) {LATE} - avg({c})) / stddev_pop({c}) ELSE 0 END"
+    return f"CASE WHEN count(*) {LATE} > 0 THEN CASE WHEN stddev_pop({c}) > 0 THEN (avg({c}) {LATE} - avg({c})) / stddev_pop({c}) ELSE 0 END END"
+
+
+LAST5 = "FILTER (bar >= entry_ts - INTERVAL 5 HOUR AND back <= 5)"
 
 
 @REGISTER(
     f"""WITH {BARS}, b AS (SELECT *, mid_close / lag(mid_close) {LAG} - 1 AS ret, mid_high - mid_low + 1e-12 AS rng FROM bars),
     e AS (SELECT DISTINCT event_type AS symbol, make_timestamp(CAST(epoch_us(ts) + ({US} - epoch_us(ts) % {US}) % {US} AS BIGINT)) AS entry_ts FROM events),
-    j AS (SELECT e.symbol, entry_ts, b.* EXCLUDE (symbol), row_number() OVER (PARTITION BY e.symbol, entry_ts ORDER BY bar DESC) AS back FROM e JOIN b ON b.symbol = e.symbol AND bar >= entry_ts - INTERVAL 60 HOUR AND bar < entry_ts),
-    a AS (SELECT symbol, entry_ts, sum(ret) FILTER (back <= 1) AS ret_last, sum(ret) FILTER (back <= 2) AS ret_sum_2, sum(ret) {LATE} AS ret_sum_n, CASE WHEN count(DISTINCT CASE WHEN mid_close IS NOT NULL THEN back END) {LATE} > 1 THEN regr_slope(mid_close, -back) {LATE} END AS slope, stddev_pop(ret) {LATE} AS realized_vol,
-      arg_max_null(abs(mid_close - mid_open) / rng, bar) {LATE} AS body_ratio, arg_max_null((mid_high - greatest(mid_open, mid_close)) / rng, bar) {LATE} AS upper_wick, arg_max_null((least(mid_open, mid_close) - mid_low) / rng, bar) {LATE} AS lower_wick, arg_max_null((mid_close - mid_low) / rng, bar) {LATE} AS close_location,
-      max(mid_high) {LATE} AS high_n, {z_sql('volume')} AS volume_z FROM j GROUP BY ALL)
-    SELECT e.symbol, e.entry_ts, {', '.join(f'round({c}, 6) AS {c}' for c in 'ret_last ret_sum_2 ret_sum_n slope realized_vol high_n volume_z'.split())}, {', '.join(f'round({c}, 6) AS {c}' for c in 'body_ratio upper_wick lower_wick close_location'.split())}, CASE WHEN a.symbol IS NOT NULL THEN 0.0::DOUBLE END AS count_z FROM e LEFT JOIN a ON a.symbol = e.symbol AND a.entry_ts = e.entry_ts"""
+    j AS (SELECT e.symbol, entry_ts, b.* EXCLUDE (symbol), row_number() OVER v AS back, count(ret) OVER (v ROWS UNBOUNDED PRECEDING) AS moves FROM e JOIN b ON b.symbol = e.symbol AND bar >= entry_ts - INTERVAL 60 HOUR AND bar < entry_ts WINDOW v AS (PARTITION BY e.symbol, entry_ts ORDER BY bar DESC)),
+    a AS (SELECT symbol, entry_ts, {', '.join(f"sum(ret) FILTER (bar >= entry_ts - INTERVAL 5 HOUR AND moves <= {k}) AS {n}" for k, n in ((1, 'ret_1m_last'), (2, 'ret_2m_sum'), (5, 'ret_5m_sum')))},
+      CASE WHEN count(mid_close) {LAST5} = 5 THEN regr_slope(mid_close, -back) {LAST5} END AS ret_slope_5, stddev_pop(ret) {LATE} AS realized_vol_5, avg(abs(mid_close - mid_open) / rng) {LATE} AS body_ratio_mean,
+      max(CASE WHEN mid_close IS NOT NULL THEN (mid_high - greatest(mid_open, mid_close)) / rng END) {LATE} AS upper_wick_ratio_max, max(CASE WHEN mid_close IS NOT NULL THEN (least(mid_open, mid_close) - mid_low) / rng END) {LATE} AS lower_wick_ratio_max,
+      arg_max_null((mid_close - mid_low) / rng, bar) {LATE} AS close_location_last, avg((mid_close - mid_low) / rng) {LATE} AS close_location_mean, {z_sql('volume')} AS vol_zscore_5 FROM j GROUP BY ALL)
+    SELECT e.symbol, e.entry_ts, {', '.join(f'round({c}, 6) AS {c}' for c in micro.CANDLES[:-1])}, CAST(NULL AS DOUBLE) AS trade_count_zscore_5 FROM e LEFT JOIN a ON a.symbol = e.symbol AND a.entry_ts = e.entry_ts"""
 )
 def intrabar_features(spark: SparkSession, sf: str) -> DataFrame:
     ev = picked(spark, sf).select("symbol", T.bar_end(F.col("entry_ts"), HOUR).alias("entry_ts"))
-    return rounded(micro.candles_before(ev, hourly(spark, sf), 5, 60, HOUR), 6, *[c for c in meta.CANDLES if c != "count_z"])
+    return rounded(micro.candles_before(ev, hourly(spark, sf), 5, 60, HOUR), 6, *micro.CANDLES[:-1])
 
 
 # --- regimes, confirmations, costs
