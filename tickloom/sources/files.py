@@ -10,6 +10,7 @@ import time
 import urllib.error
 import urllib.request
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -162,9 +163,12 @@ class Pages(DataSource):
     """Rows of a paged service: options start, end, slice (ms), limit, ``interval``, the least seconds between two requests
     of a task, and one of ``fetch`` ("module:function" of start, end, limit, which gives pairs of time and row) and ``url``,
     with {start}, {end} and {limit} in it, whose answer is a JSON list, or an object with one under ``rows``; ``ts`` is the
-    name or the place of a row's time.
+    name or the place of a row's time. Answers are in order of time, from the start on, at most ``limit`` rows (0: all there are).
 
-    A partition is a slice of time, read page by page from the last row's time on.
+    A partition is a slice of time, read page by page. Rows of one time may lie on both sides of a page's edge, so the next page
+    begins at the last row's time, and rows that were there already are left out. Where one time fills a page, that leads no
+    further: with ``id`` (the name or place of a row's id, which grows with time) and ``from_url`` with {id} and {limit}, or
+    ``from_fetch`` of id and limit, pages go on from the last row's id; without, it is a ValueError. No row is lost or comes twice.
     """
 
     @classmethod
@@ -253,12 +257,45 @@ class PagesReader(DataSourceReader):
             fetch = getattr(importlib.import_module(module), name)
         limit, at = int(self.options.get("limit", 1000)), partition.start
         throttled = Throttle(float(self.options.get("interval", 0)))
-        while at < partition.end:
-            rows = list(retried(lambda: throttled(lambda: fetch(at, partition.end, limit))))  # noqa: B023
+        ask = lambda f, *args: list(retried(lambda: throttled(lambda: f(*args))))
+        after = self.by_id()
+        seen: Counter[str] = Counter()  # rows of the time ``at`` that earlier pages had
+        while True:
+            rows = ask(fetch, at, partition.end, limit)
+            before, fresh = seen.copy(), []
+            for ts, row in rows:
+                if ts == at and before[row] > 0:
+                    before[row] -= 1
+                elif partition.start <= ts < partition.end:
+                    fresh.append((ts, row))
+            yield from fresh
+            if not limit or len(rows) < limit or rows[-1][0] >= partition.end:
+                return
+            last = rows[-1][0]
+            if last == at:
+                break
+            at, seen = last, Counter(row for ts, row in rows if ts == last)
+        if after is None:
+            raise ValueError(f"more rows of time {at} than the {limit} of a page; pages by id need id and from_url or from_fetch")
+        known = max(self.id_of(row) for _, row in rows)
+        while True:
+            rows = ask(after, known + 1, limit)
             yield from ((ts, row) for ts, row in rows if partition.start <= ts < partition.end)
-            if len(rows) < limit:
+            if len(rows) < limit or rows[-1][0] >= partition.end:
                 return
-            at = max(ts for ts, _ in rows) + 1
+            known = max(self.id_of(row) for _, row in rows)
+
+    def by_id(self) -> Callable[[int, int], list[tuple[int, str]]] | None:
+        if "id" in self.options and "from_url" in self.options:
+            return lambda ident, limit: json_page(self.options["from_url"].format(id=ident, limit=limit), self.options.get("rows"), self.options.get("ts", "0"))
+        if "id" in self.options and "from_fetch" in self.options:
+            module, name = self.options["from_fetch"].split(":")
+            return getattr(importlib.import_module(module), name)
+        return None
+
+    def id_of(self, row: str) -> int:
+        r, name = json.loads(row), self.options["id"]
+        return int(r[int(name)] if isinstance(r, list) else r[name])
 
 
 def latest_run(spark: SparkSession, root: str) -> str:
