@@ -36,7 +36,7 @@ def ewm(rows: DataFrame, value: str, span: int, by: str = "symbol", order: str =
     size = max(1, min(most_rows, int(60 / decay)))
     back = 6 + ceil(180 / (decay * size))
     slim = rows.select(by, order, F.col(value).cast("double").alias("_x")).withColumn("_x", F.when(~F.isnan("_x"), F.col("_x")))
-    placed = numbered_by_day(slim, "_place", by, order, order).withColumn("_block", F.floor(F.col("_place") / size))
+    placed = staged(numbered_by_day(slim, "_place", by, order, order).withColumn("_block", F.floor(F.col("_place") / size)), "placed")
     seen = F.when(F.col("_x").isNotNull(), F.col("_place"))
     last = placed.groupBy(by, "_block").agg(F.max(seen).alias("_last"))
     before = last.select(by, "_block", F.last("_last", ignorenulls=True).over(ordered(by, "_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_known"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timeops as T
+from ..functions.stage import staged
 from ..operators import backtest, labels, models, regime
 from ..sources import parsers
 from .queries_joins import PICKED, picked
@@ -41,7 +42,7 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
     b = hourly(spark, sf)
     for c in ("mid_open", "mid_high", "mid_low", "mid_close"):
         b = b.withColumn(c, T.fill_forward(F.col(c), w))
-    return regime.classify(b, window=6, q=0.8, fast=6, slow=24, strength=20.0)
+    return staged(regime.classify(b, window=6, q=0.8, fast=6, slow=24, strength=20.0), "classified")
 
 
 @REGISTER()
