@@ -236,3 +236,14 @@ def test_batches_go_to_a_callback(spark, tmp_path):
     for _ in range(2):
         sinks.each_batch(stream_, lambda df, n: seen.append((n, sorted(r.x for r in df.collect()))), f"file://{tmp_path}/c", available_now=True).awaitTermination(120)
     assert [n for n, _ in seen] == [0, 1, 2] and sorted(x for _, xs in seen for x in xs) == [0, 1, 2]
+
+
+def test_numbers_sides_and_depth_of_sources(spark):
+    rows = [("5", "2", "1", "SELL"), ("5", "1", "1", "buy"), ("5", "1", "1", "buy"), ("3", "9", "1", None), ("4", "9", "1", "x")]
+    raw = spark.createDataFrame([(str(MS + int(t)), p, q, s) for t, p, q, s in rows], "Timestamp string, Price string, size string, Side string")
+    got = [(r.agg_id, r.ts - MS, r.price, r.is_buyer_maker) for r in parsers.numbered_trades(raw, "S").orderBy("agg_id").collect()]
+    assert got == [(1, 3, 9.0, False), (2, 4, 9.0, False), (3, 5, 1.0, False), (4, 5, 1.0, False), (5, 5, 2.0, True)]
+    assert tuple(parsers.side_counts(raw).first()) == (5, 2) and tuple(parsers.side_counts(raw.drop("Side")).first()) == (5, 5)
+    book = spark.createDataFrame([(MS + i, json.dumps([["1", "1"]] * n), "[]") for i, n in enumerate([2, 3, 9])], "ts long, bids string, asks string")
+    assert parsers.source_depth(book, 2) == 3 and parsers.source_depth(book) == 9 and parsers.source_depth(book, most=5) == 5
+    assert parsers.source_depth(book.drop("bids")) == 0 and parsers.source_depth(book.limit(0)) == 0

@@ -322,6 +322,25 @@ def parse_side_trades(spark: SparkSession, sf: str) -> DataFrame:
     return parsers.agg_trades(raw, "S")
 
 
+SIDED = "CASE WHEN user_id % 3 = 0 THEN 'sell' WHEN user_id % 3 = 1 THEN 'buy' ELSE '?' END"
+
+
+def sided(spark: SparkSession, sf: str) -> DataFrame:
+    side = F.when(F.col("user_id") % 3 == 0, " Sell ").when(F.col("user_id") % 3 == 1, "buy").otherwise("?")
+    return table(spark, sf, "events").select(ms().alias("ts_ms"), F.col("value").alias("px"), F.col("user_id").alias("sz"), side.alias("Side"))
+
+
+@REGISTER(f"SELECT row_number() OVER (ORDER BY {MS}, value, user_id, user_id % 3 = 0) AS agg_id, {MS} AS ts, value AS price, CAST(user_id AS DOUBLE) AS qty, user_id % 3 = 0 AS is_buyer_maker, 'S' AS symbol FROM events")
+def numbered_trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Trades without ids are numbered in order of time."""
+    return parsers.numbered_trades(sided(spark, sf), "S")
+
+
+@REGISTER(f"SELECT count(*) AS n, count(*) FILTER ({SIDED} = '?') AS unknown_side FROM events")
+def unknown_sides(spark: SparkSession, sf: str) -> DataFrame:
+    return parsers.side_counts(sided(spark, sf))
+
+
 @REGISTER(f"SELECT {MS} AS ts, event_id AS update_id, value - 1 AS bid_price, CAST(user_id AS DOUBLE) AS bid_qty, value + 1 AS ask_price, CAST(NULL AS DOUBLE) AS ask_qty, 'S' AS symbol FROM events")
 def parse_book_ticker(spark: SparkSession, sf: str) -> DataFrame:
     raw = table(spark, sf, "events").select(ms().cast("string").alias("event_time"), F.col("event_id").cast("string").alias("u"), (F.col("value") - 1).cast("string").alias("best_bid_price"), F.col("user_id").cast("string").alias("best_bid_qty"), (F.col("value") + 1).cast("string").alias("askPx"), F.lit("none").alias("askSz"))

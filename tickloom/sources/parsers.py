@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from ..functions.timeops import numbered_by_day
+
 LEVELS = 50
 LEVEL = "array<struct<price:double,size:double>>"
 
@@ -83,8 +85,8 @@ def in_ms(c: Column) -> Column:
 
 
 def maker_of(side: Column) -> Column:
-    """Whether the buyer was the maker: the taker sold."""
-    return F.lower(F.trim(side)).isin("sell", "s")
+    """Whether the buyer was the maker: the taker sold (an unknown side counts as bought)."""
+    return F.coalesce(F.lower(F.trim(side)).isin("sell", "s"), F.lit(False))
 
 
 def klines(raw: DataFrame, symbol: str, offset_ms: int = 60_000) -> DataFrame:
@@ -109,6 +111,32 @@ def agg_trades(raw: DataFrame, symbol: str) -> DataFrame:
     return enforce(d.select(agg_id.alias("agg_id"), ts.alias("ts"), price.alias("price"), qty.alias("qty"), sold.alias("is_buyer_maker"), F.lit(symbol).alias("symbol")).dropna(subset=["ts", "price", "qty"]), "agg_trades")
 
 
+def numbered_trades(raw: DataFrame, symbol: str) -> DataFrame:
+    """Trades of a source that gives no ids: they count from 1 in order of time, price, quantity and side, by days of their
+    own; a trade that is equal to another in all of these gets another number."""
+    plain = agg_trades(raw.drop(*(c for c in raw.columns if c.strip().lower() in ("agg_id", "agg_trade_id", "id"))), symbol).drop("agg_id")
+    rank = plain.withColumn("_at", F.timestamp_millis("ts")).withColumn("_tie", F.struct("price", "qty", "is_buyer_maker"))
+    return enforce(numbered_by_day(rank, "agg_id", "symbol", "_at", "_tie").withColumn("agg_id", (F.col("agg_id") + 1).cast("long")).drop("_at", "_tie"), "agg_trades")
+
+
+def side_counts(raw: DataFrame) -> DataFrame:
+    """One row: trades, and those whose side is neither a buy nor a sale (all, where there is no such column)."""
+    side = first_of(normalized(raw), "side")
+    unknown = ~F.coalesce(F.lower(F.trim(side)).isin("buy", "b", "sell", "s"), F.lit(False)) if side is not None else F.lit(True)
+    return normalized(raw).agg(F.count("*").alias("n"), F.count_if(unknown).alias("unknown_side"))
+
+
+def source_depth(raw: DataFrame, rows: int = 10, most: int = LEVELS) -> int:
+    """The levels that a book source has: the longest list of its first rows by time, ``most`` at most; 0 without lists."""
+    d = normalized(raw)
+    if "bids" not in d.columns or "asks" not in d.columns:
+        return 0
+    size = lambda c: F.size(level_list(F.col(c) if dict(d.dtypes)[c] == "string" else F.to_json(c)))
+    ts = in_ms(needed(d, "ts", "ts_ms", "timestamp", "event_time", "transact_time"))
+    first = d.select(ts.alias("ts"), F.greatest(size("bids"), size("asks"), F.lit(0)).alias("n")).orderBy("ts", F.desc("n")).limit(rows)
+    return min(most, first.agg(F.max("n")).first()[0] or 0)
+
+
 def _strict(raw: DataFrame, symbol: str) -> DataFrame:
     """A trade file's columns as values, and which of them are bad; ValueError if it lacks a column."""
     d = raw.toDF(*(c.strip().lower() for c in raw.columns))
