@@ -10,7 +10,8 @@ compared, not what is found.
 
 A large group of near copies would give all its pairs. So, first, the nodes of a shingle are paired with two of them (others
 for each shingle), and of these pairs and those of the fingerprints one is confirmed for each node, then those which that leaves
-in different components; then only nodes which all this leaves in different components meet, in blocks. Before a pair costs anything it is judged by sketches: a set's sketch has the parities of BITS
+in different components; then only nodes which all this leaves in different components meet, in blocks; blocks of one
+component don't meet each other. Before a pair costs anything it is judged by sketches: a set's sketch has the parities of BITS
 counters, so two sketches differ in no more bits than the sets differ in shingles, and too many bits rule a pair out for
 certain. What the sketches leave is compared on the whole sets.
 """
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import freed, slices
@@ -39,7 +40,9 @@ HOT = 0.01
 BITS, SKETCHED = 1024, 1000
 #: Nodes of a shingle that meet in one block, rows that a task holds at once, and pairs of sketches.
 BLOCK, BLOCK_ROWS, BLOCK_PAIRS = 4096, 200_000, 200_000
-#: Texts of so many candidates at most are picked by a broadcast of their hashes (8 bytes each).
+#: Sets that are compared with one node's set in one task (about: they are dealt by hash).
+PART_SETS = 256
+#: Texts of so many candidates at most are picked by a broadcast of their hashes (32 bytes each).
 BROADCAST_ROWS = 500_000
 
 
@@ -214,30 +217,60 @@ def meet(threshold: float):
     return run
 
 
+def in_parts(pairs: DataFrame) -> DataFrame:
+    """The sets that each (u, part) compares, as (u, part, v): the v of its pairs, and u itself."""
+    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / PART_SETS).alias("parts")).where("parts > 1")
+    parted = pairs.join(many, "u", "left").select("u", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"), "v")
+    return parted.union(parted.select("u", "part", F.col("u").alias("v")).distinct())
+
+
+def blocks_meet(rooted: DataFrame) -> DataFrame:
+    """Of (token, node, root), the nodes of tokens with more than three nodes and more than one root, once for each cell
+    (token, lo, hi) of two blocks, as (token, lo, hi, block, node, root).
+
+    A token's nodes of a root with more than BLOCK of them are blocks of that root alone, numbered from 1 on, which don't
+    meet each other; the other nodes are mixed blocks (number 0) and meet all. A block is its number * 2^32 + its piece.
+    So a few outsiders of a large component cost as many cells as it has blocks, not the square of that.
+    """
+    shift = lambda no, piece: F.shiftleft(no.cast("long"), 32) + piece
+    tokens = saved(rooted.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("k")).where("first <> last and k > 3").select("token", "k"), "tokens")
+    counts = rooted.join(tokens.where(F.col("k") > BLOCK).select("token"), "token").groupBy("token", "root").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK)
+    large = saved(counts.select("token", "root", "k", F.row_number().over(Window.partitionBy("token").orderBy("root")).alias("no"), F.ceil(F.col("k") / BLOCK).alias("pieces")), "large")
+    mixed = tokens.join(large.groupBy("token").agg(F.sum("k").alias("in_large")), "token", "left").select("token", F.ceil((F.col("k") - F.coalesce("in_large", F.lit(0))) / BLOCK).alias("mixed"))
+    others = mixed.where("mixed > 0").select("token", F.lit(0).alias("other"), F.col("mixed").alias("others")).union(large.select("token", "no", "pieces"))
+    of = rooted.join(mixed, "token").join(large.select("token", "root", "no", "pieces"), ["token", "root"], "left")
+    placed = of.select("token", "node", "root", F.coalesce("no", F.lit(0)).alias("no"), F.pmod(F.xxhash64("node"), F.coalesce("pieces", "mixed")).alias("piece")).withColumn("block", shift(F.col("no"), F.col("piece")))
+    met = placed.join(others, "token").where("no = 0 or no <> other").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    other = shift(F.col("other"), F.col("with"))
+    return met.select("token", F.least("block", other).alias("lo"), F.greatest("block", other).alias("hi"), "block", "node", "root")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, threshold: float) -> DataFrame:
     """The pairs (u, v) whose sets' similarity is the threshold or more, by the whole sets of one text for each node.
 
-    The sets go to their u: its own comes first and stays, the others pass by, one at a time.
+    The sets go to their u: its own comes first and stays, the others pass by, one at a time. A u with many others is cut
+    into parts of about PART_SETS of them, each with a copy of u's own set, so a cluster's sets aren't one task's.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # of a task
-        for part, found, _, _ in sets_in(batches, size):
-            centers, names = part.column(1).to_pylist(), part.column(2).to_pylist()
-            fresh = [i for i, k in enumerate(zip(centers, names, strict=True)) if k not in seen and not seen.add(k)]
-            yield pa.RecordBatch.from_arrays([pa.array([centers[i] for i in fresh], pa.int64()), pa.array([names[i] for i in fresh], pa.int64()), pa.array([names[i] != centers[i] for i in fresh], pa.bool_()), pa.array([found[i].view(np.int64) for i in fresh], pa.list_(pa.int64()))], names=["u", "v", "other", "tokens"])
+        seen: set[tuple[int, int, int]] = set()  # of a task
+        for rows, found, _, _ in sets_in(batches, size):
+            centers, parts, names = (rows.column(i).to_pylist() for i in (1, 2, 3))
+            fresh = [i for i, k in enumerate(zip(centers, parts, names, strict=True)) if k not in seen and not seen.add(k)]
+            longs = [pa.array([x[i] for i in fresh], pa.int64()) for x in (centers, parts, names)]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array([names[i] != centers[i] for i in fresh], pa.bool_()), pa.array([found[i].view(np.int64) for i in fresh], pa.list_(pa.int64()))], names=["u", "part", "v", "other", "tokens"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         center, own, last = None, np.empty(0, np.int64), None
         for batch in freed(batches):
-            us, vs, others = (batch.column(i).to_pylist() for i in range(3))
-            flat, ends = batch.column(3).flatten().to_numpy(zero_copy_only=False), np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            us, parts, vs, others = (batch.column(i).to_pylist() for i in range(4))
+            flat, ends = batch.column(4).flatten().to_numpy(zero_copy_only=False), np.cumsum(batch.column(4).value_lengths().to_numpy(zero_copy_only=False))
             out = []
-            for i, (u, v, other) in enumerate(zip(us, vs, others, strict=True)):
+            for i, (u, part, v, other) in enumerate(zip(us, parts, vs, others, strict=True)):
                 tokens = flat[(ends[i - 1] if i else 0) : ends[i]]
                 if not other:
-                    center, own = u, tokens
-                elif center == u and (u, v) != last:
+                    center, own = (u, part), tokens
+                elif center == (u, part) and (u, v) != last:
                     both = len(np.intersect1d(own, tokens, assume_unique=True))
                     if both >= threshold * (len(own) + len(tokens) - both) - 1e-9:
                         out.append((u, v))
@@ -245,10 +278,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, t
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    members = pairs.select("u", "v").union(pairs.select("u", F.col("u").alias("v")).distinct())
-    wanted = saved(members.join(nodes.select(F.col("node").alias("v"), "th"), "v").select("th", "u", "v"), "wanted")
-    picked = texts.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "th").select("text", "u", "v")
-    rows = picked.mapInArrow(sets, "u long, v long, other boolean, tokens array<long>").repartition("u").sortWithinPartitions("u", "other", "v")
+    wanted = saved(in_parts(pairs).join(nodes.select(F.col("node").alias("v"), "th"), "v").select("th", "u", "part", "v"), "wanted")
+    picked = texts.withColumn("th", F.xxhash64("text")).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "th").select("text", "u", "part", "v")
+    rows = picked.mapInArrow(sets, "u long, part long, v long, other boolean, tokens array<long>").repartition("u", "part").sortWithinPartitions("u", "part", "other", "v")
     return saved(rows.mapInArrow(compare, "u long, v long"), "links")
 
 
@@ -328,10 +360,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         # shingles of up to three nodes have had all their pairs compared; where all nodes are one component there is no more to say
         rooted = saved(shared.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")), "rooted")
-        tokens = rooted.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("k")).where("first <> last and k > 3").select("token", F.ceil(F.col("k") / BLOCK).alias("blocks"))
-        left = rooted.join(tokens, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        left = left.join(nodes.select("node", "n"), "node").join(sketched.select("node", "bits"), "node")
-        cells = left.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "root", "n", "bits")
+        cells = blocks_meet(rooted).join(nodes.select("node", "n"), "node").join(sketched.select("node", "bits"), "node").select("token", "lo", "hi", "block", "node", "root", "n", "bits")
         rest = cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(meet(threshold), "u long, v long").select(F.col("u").alias("node"), "v")
         roots = roots_of(confirmed(saved(allowed(rest).join(first, ["u", "v"], "left_anti"), "candidates"), texts, nodes, size, threshold), roots)
         of = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
