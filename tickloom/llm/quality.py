@@ -31,7 +31,11 @@ LEAST_WORDS, LEAST_REFERENCE = 50, 2_000
 
 
 def base_counts(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds the struct ``base``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
+    """Adds the struct ``base``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long).
+
+    Takes ``classes`` of class_counts: words are all that isn't of the class of spaces, and symbols are a class.
+    """
+    classes = dict(zip(CLASSES, (F.col("classes")[i] for i in range(len(CLASSES))), strict=True))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return (
         docs.withColumn("_words", F.array_remove(F.split(text, SPACE), ""))
@@ -44,8 +48,8 @@ def base_counts(docs: DataFrame, text: Column) -> DataFrame:
             "base",
             F.struct(
                 F.size("_words").cast("long").alias("n_words"),
-                F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-                F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+                (F.length(text) - classes["space"]).alias("word_chars"),
+                classes["symbol"].alias("n_symbols"),
                 (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
                 F.coalesce(F.aggregate(F.transform("_places", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_places", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
             ),
@@ -75,8 +79,8 @@ def references(docs: DataFrame, language: Column, text: Column) -> DataFrame:
     chars = class_counts(plain, F.col("body")).groupBy("language").agg(*(F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)))
     total = sum((F.col(f"c{i}") for i in range(1, len(CLASSES) + 1)), F.col("c0"))
     chars = chars.select("language", F.array(*(F.coalesce(F.try_divide(f"c{i}", total), F.lit(0.0)) for i in range(len(CLASSES) + 1))).alias("class_shares"))
-    # explode() would add a filter that splits each text once more
-    words = plain.select("language", F.explode_outer(F.array_remove(F.split(spelled(F.col("body")), " +"), "")).alias("word")).where("word is not null")
+    # explode() would add a filter that splits each text once more; a split at one plain character needs no pattern
+    words = plain.select("language", F.explode_outer(F.split(F.regexp_replace(F.lower("body"), r"[^\p{L}]+", " "), " ")).alias("word")).where("word <> ''")
     # words are counted by buckets of their hash first, which are few however many words there are; only buckets with the share
     # of a common word can hold one, and only their words are counted one by one
     words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
@@ -104,7 +108,7 @@ def judged(docs: DataFrame, text_col: str, language_col: str) -> DataFrame:
     text, language = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(language_col), F.lit(""))
     known = saved(references(docs, language, text), "language")
     plain = docs.select(F.struct("*").alias("row"), language.alias("language"), text.alias("body"))
-    counted = class_counts(base_counts(plain, F.col("body")), F.col("body")).withColumn("spelled", spelled(F.col("body"))).drop("body")
+    counted = base_counts(class_counts(plain, F.col("body")), F.col("body")).withColumn("spelled", spelled(F.col("body"))).drop("body")
     joined = counted.join(known, "language", "left").withColumn("n", F.octet_length("spelled") - F.octet_length(F.replace("spelled", F.lit("  "), F.lit(" "))) + 1)
     n_chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     found = joined.withColumn("hits", F.transform("common", lambda c: (F.octet_length("spelled") - F.octet_length(F.replace(F.col("spelled"), F.concat(F.lit(" "), c["word"], F.lit(" ")), F.lit("")))) / (F.octet_length(c["word"]) + 2) / F.col("n")))
