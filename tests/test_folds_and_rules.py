@@ -191,3 +191,23 @@ def test_bad_input(spark):
         bars.time_bars(spark.createDataFrame([(1,)], "x int"), 60)
     with pytest.raises(ValueError):
         backtest.folds(spark, T0, T0, 0, 1, 1, 0)
+
+
+def test_many_calibration_points(spark):
+    """A row looks its place up among thousands of points; the expression doesn't grow with them."""
+    draw = np.random.default_rng(3)
+    xs = sorted({round(float(v), 6) for v in draw.normal(size=5000)})
+    ys = np.sort(draw.uniform(size=len(xs))).tolist()
+    few, many = (models.interpolated(F.col("x"), {"x": xs[:n], "y": ys[:n]}) for n in (len(xs) // 100, len(xs)))
+    df = spark.createDataFrame([(float(v),) for v in [*xs[:200], *draw.normal(size=800), -9.0, 9.0]], "x double").repartition(4)
+    rows = df.select("x", many.alias("p")).collect()
+    assert len(rows) == 1002 and max(abs(r.p - np.interp(r.x, xs, ys)) for r in rows) < 1e-12
+    size = [df.select(c.alias("p"))._jdf.queryExecution().analyzed().treeString().count("(") for c in (few, many)]
+    assert size[1] < 2 * size[0]
+
+
+def test_isotonic_fit_of_distinct_scores(spark):
+    """Labels of one score count as one weighted row."""
+    rows = [(0.1, 0)] * 3 + [(0.2, 1)] * 2 + [(0.3, 0)] * 2 + [(0.3, 1)] + [(0.4, 1)]
+    points = models.fit_isotonic(spark.createDataFrame(rows, "s double, y int").repartition(3), "s", "y")
+    assert points["x"] == [0.1, 0.2, 0.3, 0.4] and np.allclose(points["y"], [0.0, 0.6, 0.6, 1.0])

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stage import staged
 from ..functions.timeops import from_micros, micros, running_totals
 
 
@@ -78,9 +79,12 @@ def margin(model: dict) -> Column:
 
 
 def fit_isotonic(df: DataFrame, score: str, y: str) -> dict:
+    """Points of the isotonic fit of the labels on a score; rows of one score are one weighted row."""
     from pyspark.ml.regression import IsotonicRegression
 
-    m = IsotonicRegression(featuresCol=score, labelCol="y").fit(df.select(F.col(score).cast("double"), F.col(y).cast("double").alias("y")).dropna())
+    rows = df.select(F.col(score).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    means = rows.groupBy("x").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("n"))
+    m = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="n").fit(means)
     return {"x": [float(v) for v in m.boundaries], "y": [float(v) for v in m.predictions]}
 
 
@@ -92,13 +96,19 @@ def fit_sigmoid(df: DataFrame, score: str, y: str) -> dict:
 
 
 def interpolated(x: Column, points: dict) -> Column:
-    """Piecewise linear between the points, constant outside."""
-    pairs = list(zip(points["x"], points["y"], strict=True))
-    table = F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in pairs))
-    below, above = F.filter(table, lambda p: p["x"] <= x), F.filter(table, lambda p: p["x"] > x)
-    a, b = F.element_at(below, -1), F.element_at(above, 1)
-    inside = a["y"] + (x - a["x"]) / (b["x"] - a["x"]) * (b["y"] - a["y"])
-    return F.when(F.size(below) == 0, pairs[0][1]).when(F.size(above) == 0, pairs[-1][1]).otherwise(inside)
+    """Piecewise linear between the points, constant outside. A row looks its place up by halving, not at every point."""
+    n = len(points["x"])
+    # text that becomes one constant array: an expression for each number would make the plan as long as the points
+    xs, ys = (F.split(F.lit(",".join(repr(float(v)) for v in points[k])), ",").cast("array<double>") for k in ("x", "y"))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+
+    def value(x: Column, below: Column) -> Column:
+        ax, bx, ay, by = (F.get(v, i) for v in (xs, ys) for i in (below - 1, below))
+        return F.when(below == 0, float(points["y"][0])).when(below == n, float(points["y"][-1])).otherwise(ay + (x - ax) / (bx - ax) * (by - ay))
+
+    once = lambda c, use: F.get(F.transform(F.array(c), use), F.lit(0))
+    below = lambda x: F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(xs, at + s - 1) <= x, at + s).otherwise(at))
+    return once(x, lambda x: once(below(x), lambda k: value(x, k)))
 
 
 def scored(df: DataFrame, model: dict, out: str = "p_hat") -> DataFrame:
@@ -173,8 +183,9 @@ def fit_meta(frame: DataFrame, features: list[str], fold_rows: list[dict], key:
     if not fold_rows:
         fold_rows = [f for f in [split_at(frame, ts)] if f]
     oof, _ = walk_forward_fit(frame, fold_rows, features, key, ts, None, y, calibration)
+    oof = None if oof is None else staged(oof, "oof")
     model = fitted(frame, features, y, calibration)
-    full = scored(frame, model)
+    full = staged(scored(frame.select(*dict.fromkeys((y, net, *features))), model), "full")
     measures = lambda df, p: {"rows": df.count(), "auc": auc(df, p, y).first()[0], **precision_recall(df, p, y, 0.5).first().asDict()}
     passed = [F.struct(F.lit(float(x)).alias("threshold"), F.avg((F.col("p_hat") >= x).cast("double")).alias("accept_rate"), F.coalesce(F.sum(F.when(F.col("p_hat") >= x, F.col(net))), F.lit(0.0)).alias(net)) for x in thresholds]
     report = {
