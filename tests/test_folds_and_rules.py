@@ -211,3 +211,27 @@ def test_isotonic_fit_of_distinct_scores(spark):
     rows = [(0.1, 0)] * 3 + [(0.2, 1)] * 2 + [(0.3, 0)] * 2 + [(0.3, 1)] + [(0.4, 1)]
     points = models.fit_isotonic(spark.createDataFrame(rows, "s double, y int").repartition(3), "s", "y")
     assert points["x"] == [0.1, 0.2, 0.3, 0.4] and np.allclose(points["y"], [0.0, 0.6, 0.6, 1.0])
+
+
+def test_book_log_is_parsed_and_replayed_once(spark):
+    """However many symbols there are, the log is read by one plan, and what the sessions give isn't made anew to number it."""
+    from tickloom.plans import queries_more
+
+    events = queries_more.parsers.book_events(queries_more.book_log(spark, "/root/testdata/sf0.001"), F.col("path"))
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "Union" not in plan and events.select("symbol").distinct().count() == 5
+    plan = folds.replay_book(events, 2, 3_600_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "Pandas" not in plan and "MapInArrow" not in plan
+
+
+def test_session_goes_on_in_the_next_batch(spark):
+    rows = [("S", 1000 * i, i, "delta" if i % 40 else "snapshot", None, i, [[str(100 + i % 7), str(i)]], [["200", "1"]]) for i in range(200)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    for n in ("3", before):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            found.append(sorted(tuple(map(str, r)) for r in folds.replay_book(spark.createDataFrame(rows, folds.BOOK_EVENT), 3, every=True).collect()))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found[0]) == 200 and found[0] == found[1]

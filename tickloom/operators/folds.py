@@ -1,17 +1,20 @@
 """Folds of a key's rows in order: volume buckets and book replay (scans.py has those that are cut into parts).
 
-They run as applyInPandas per key in a total order. A bucket's size follows from where the one before ended, so a key's
-minutes meet in one task. Book logs are cut into sessions, each of which begins with a snapshot and is a key of its own.
+Buckets run as applyInPandas per key in a total order. A bucket's size follows from where the one before ended, so a key's
+minutes meet in one task. Book logs are cut into sessions, each of which begins with a snapshot; a task streams through its
+sessions, of which there may be very many.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stage import staged
 from ..functions.timeops import filled_by_day, numbered_by_day, ordered
 from .scans import cooldown, cusum, ewm, nonoverlapping  # noqa: F401
 
@@ -92,30 +95,41 @@ def replay_book(events: DataFrame, levels: int, sample_ms: int = 1000, every: bo
     """
     names = [f"{s}_{f}_{i}" for s in ("bid", "ask") for f in ("price", "size") for i in range(1, levels + 1)]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        state, valid, last, bucket, out = BookState(), False, None, None, []
-        for ts, line, kind, u, seq, bids, asks in zip(f.ts, f.line, f.kind, f.u, f.seq, f.bids, f.asks, strict=True):
-            number = seq if seq is not None and seq == seq else u
-            snapshot = kind == "snapshot" or u == 1
-            if not snapshot:
-                if valid and last is not None and number == number and number <= last:
-                    valid = False
-                if not valid:
-                    continue
-            state.apply(bids, asks, snapshot)
-            valid, last = True, number if number == number else last
-            if every or ts // sample_ms != bucket:
-                bucket = ts // sample_ms
-                out.append((f.symbol.iloc[0], ts, line, *state.top(levels)))
-        return pd.DataFrame(out, columns=["symbol", "ts", "line", *names]).astype(dict.fromkeys(names, "float64"))
-
-    at = events.withColumn("_at", F.timestamp_millis("ts"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sessions one after another, each in order; a session may go on in the next batch."""
+        session = state = valid = last = bucket = None
+        for batch in batches:
+            out = []
+            for symbol, at, ts, line, kind, u, seq, bids, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (symbol, at) != session:
+                    session, state, valid, last, bucket = (symbol, at), BookState(), False, None, None
+                number = seq if seq is not None else u
+                snapshot = kind == "snapshot" or u == 1
+                if not snapshot:
+                    if valid and last is not None and number is not None and number <= last:
+                        valid = False
+                    if not valid:
+                        continue
+                state.apply(bids, asks, snapshot)
+                valid, last = True, number if number is not None else last
+                if every or ts // sample_ms != bucket:
+                    bucket = ts // sample_ms
+                    out.append((symbol, ts, line, *state.top(levels)))
+            if out:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    # parsed and replayed once each: what follows looks at the rows twice
+    at = staged(events.withColumn("_at", F.timestamp_millis("ts")), "book-events")
     snapshot = (F.col("kind") == "snapshot") | (F.col("u") == 1)
-    sessions = filled_by_day(at, F.when(snapshot, F.concat_ws("|", "ts", "line")), "_session", "symbol", "_at", "line").where("_session is not null").drop("_at")
+    sessions = filled_by_day(at, F.when(snapshot, F.concat_ws("|", "ts", "line")), "_session", "symbol", "_at", "line").where("_session is not null")
     kind = sessions.schema["line"].dataType.simpleString()
-    rows = fold(sessions, ["symbol", "_session"], ["ts", "line"], run, f"symbol string, ts long, line {kind}, " + ", ".join(f"{n} double" for n in names))
+    schema = f"symbol string, ts long, line {kind}, " + ", ".join(f"{n} double" for n in names)
+    line = pa.string() if kind == "string" else pa.from_numpy_dtype({"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8"}[kind])
+    arrow = pa.schema([("symbol", pa.string()), ("ts", pa.int64()), ("line", line), *((n, pa.float64()) for n in names)])
+    dealt = sessions.select("symbol", "_session", "ts", "line", "kind", "u", "seq", "bids", "asks").repartition("symbol", "_session")
+    rows = dealt.sortWithinPartitions("symbol", "_session", "ts", "line").mapInArrow(run, schema)
     if not every:  # a bucket in which a session ends and another begins has a row of each
         rows = rows.withColumn("_bucket", F.floor(F.col("ts") / sample_ms)).withColumn("_r", F.row_number().over(ordered(["symbol", "_bucket"], "ts", "line")))
         rows = rows.where("_r = 1").drop("_r", "_bucket")
-    placed = numbered_by_day(rows.withColumn("_at", F.timestamp_millis("ts")), "_place", "symbol", "_at", "line")
+    placed = numbered_by_day(staged(rows.withColumn("_at", F.timestamp_millis("ts")), "book-rows"), "_place", "symbol", "_at", "line")
     return placed.select("symbol", "ts", (F.col("ts") * 1_000_000 + F.col("_place")).alias("update_id"), *names)

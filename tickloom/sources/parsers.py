@@ -213,11 +213,16 @@ def book_depth(raw: DataFrame, symbol: str, levels: int = LEVELS) -> DataFrame:
     return enforce(d.select(ts.alias("ts"), (number(update, "long") if update is not None else ts).alias("update_id"), *columns, *pads, F.lit(symbol).alias("symbol")), "book_depth")
 
 
-def book_events(lines: DataFrame, symbol: str) -> DataFrame:
-    """Snapshot and delta rows for a replay from JSON lines (value, line): symbol, ts, line, kind, u, seq, bids, asks."""
+def book_events(lines: DataFrame, symbol: str | Column) -> DataFrame:
+    """Snapshot and delta rows for a replay from JSON lines (value, line): symbol, ts, line, kind, u, seq, bids, asks.
+
+    ``symbol`` is one for all lines, or a column of them.
+    """
     schema = "type string, ts string, topic string, data struct<s:string, u:long, seq:long, b:array<array<string>>, a:array<array<string>>>"
-    j = lines.select("line", F.from_json("value", schema).alias("j")).where("j.data is not null")
-    return j.select(F.lit(symbol).alias("symbol"), in_ms(F.col("j.ts")).alias("ts"), "line", F.col("j.type").alias("kind"), "j.data.u", "j.data.seq", F.col("j.data.b").alias("bids"), F.col("j.data.a").alias("asks")).where("ts is not null")
+    name = F.lit(symbol) if isinstance(symbol, str) else symbol
+    # as a generator's output each line is parsed once; fields of a parsed column would parse it again in every filter
+    j = lines.select(name.alias("symbol"), "line", F.inline(F.array(F.from_json("value", schema)))).where("data is not null")
+    return j.select("symbol", in_ms(F.col("ts")).alias("ts"), "line", F.col("type").alias("kind"), "data.u", "data.seq", F.col("data.b").alias("bids"), F.col("data.a").alias("asks")).where("ts is not null")
 
 
 #: What a number of a given size counts as, by the first power of ten that is above it.
