@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import timeops as T
-from tickloom.operators import backtest, bars, folds, joins, labels, micro, models, regime
+from tickloom.operators import backtest, bars, folds, joins, labels, micro, models, quality_gates, regime
 from tickloom.plans import views
 
 SF = "/root/testdata/sf0.001"
@@ -235,3 +235,17 @@ def test_session_goes_on_in_the_next_batch(spark):
         finally:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(found[0]) == 200 and found[0] == found[1]
+
+
+def test_quantiles_by_counts(spark):
+    """As percentile() has them: keys that are NULL, keys without a value, ties; without a task that holds a key's values."""
+    draw = np.random.default_rng(11)
+    rows = [(k, float(v)) for k in ("a", "b", None) for v in draw.normal(size=301).round(1)] + [("a", None), ("none", None), ("one", 2.5)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = T.add_quantiles(df.select("k").distinct(), df, ["k"], "x", {"m": 0.5, "q": 0.07})
+    want = df.groupBy("k").agg(F.percentile("x", 0.5).alias("m"), F.percentile("x", 0.07).alias("q"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = quality_gates.middles(spark.createDataFrame([(1.0, None), (4.0, None)], "a double, b double"), ["a", "b"])
+    assert {(r["column"], r["mean"], r["median"]) for r in plan.collect()} == {("a", 2.5, 2.5), ("b", None, None)}
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "median(" not in text and "percentile(" not in text

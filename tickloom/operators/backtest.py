@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.timeops import exact_sum, micros, ordered, upto_now
+from ..functions.timeops import add_quantiles, exact_sum, micros, ordered, upto_now
 from .folds import nonoverlapping
 from .joins import asof, next_row
 
@@ -78,8 +78,9 @@ def tail(trades: DataFrame, by: list[str]) -> DataFrame:
     """The 5 % quantile, the mean of the worst 5 % (one at least), and the worst week by exit."""
     ranked = trades.withColumn("_r", F.row_number().over(ordered(by, "net_pnl", "event_id"))).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
     worst = F.col("_r") <= F.greatest(F.lit(1), F.ceil(0.05 * F.col("_n")))
-    one = ranked.groupBy(*by).agg(F.percentile("net_pnl", 0.05).alias("worst_5pct_trade"), (exact_sum(F.when(worst, F.col("net_pnl"))) / F.count_if(worst)).alias("expected_shortfall_95"))
+    one = ranked.groupBy(*by).agg((exact_sum(F.when(worst, F.col("net_pnl"))) / F.count_if(worst)).alias("expected_shortfall_95"))
     weeks = trades.groupBy(*by, F.date_trunc("week", "exit_ts").alias("_week")).agg(exact_sum(F.col("net_pnl")).alias("_pnl"))
+    one = add_quantiles(one, trades, by, "net_pnl", {"worst_5pct_trade": 0.05})
     return one.join(weeks.groupBy(*by).agg(F.min("_pnl").alias("worst_week_pnl")), by)
 
 
@@ -91,7 +92,8 @@ def pnl_by(trades: DataFrame, key: str) -> DataFrame:
 
 def holding(trades: DataFrame, by: list[str]) -> DataFrame:
     minutes = (micros(F.col("exit_ts")) - micros(F.col("entry_ts"))) / 60_000_000
-    return trades.withColumn("_m", minutes).groupBy(*by).agg((exact_sum(F.col("_m")) / F.count("_m")).alias("mean_min"), F.percentile("_m", 0.5).alias("median_min"), F.percentile("_m", 0.95).alias("p95_min"))
+    rows = trades.select(*by, minutes.alias("_m"))
+    return add_quantiles(rows.groupBy(*by).agg((exact_sum(F.col("_m")) / F.count("_m")).alias("mean_min")), rows, by, "_m", {"median_min": 0.5, "p95_min": 0.95})
 
 
 def hazard_exit_counts(trades: DataFrame, by: list[str]) -> DataFrame:

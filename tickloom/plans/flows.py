@@ -249,5 +249,6 @@ def diagnosis(features: DataFrame, columns: list[str], horizons: tuple[int, ...]
     w = T.ordered("symbol", "bar")
     ahead = features.select("symbol", "bar", *columns, *(T.forward_return(F.col("mid_close"), h, w).alias(f"fwd_{h}") for h in horizons))
     ic = micro.rank_correlation(ahead, columns, [f"fwd_{h}" for h in horizons])
-    quantiles = features.select(F.expr(f"stack({len(columns)}, {', '.join(f'{c!r}, double(`{c}`)' for c in columns)}) AS (feature, x)")).groupBy("feature").agg(*(F.percentile("x", q).alias(f"q{round(100 * q)}") for q in (0.01, 0.05, 0.5, 0.95, 0.99)))
+    values = features.select(F.expr(f"stack({len(columns)}, {', '.join(f'{c!r}, double(`{c}`)' for c in columns)}) AS (feature, x)"))
+    quantiles = T.add_quantiles(values.select("feature").distinct(), values, ["feature"], "x", {f"q{round(100 * q)}": q for q in (0.01, 0.05, 0.5, 0.95, 0.99)})
     return {"Missing": quality_gates.missing_share(features.withColumn("all", F.lit("all")), columns, ["all"]), "Missing by day": quality_gates.missing_share(features.withColumn("day", F.to_date("bar")), columns, ["day"]), "Quantiles": quantiles, "IC": ic, "Top IC": micro.top_features(ic, top)}
