@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import zlib
 
+import pytest
+
 from tickloom.llm import warc
 from tickloom.llm.queries import QUERIES
 from tickloom.llm.site_style import visible_text
@@ -91,3 +93,18 @@ def test_long_and_repeated_pages(spark, tmp_path):
     pages.repartition(3).write.parquet(f"file://{tmp_path}/pages.parquet")
     found = sorted((r.page_id, r.n_bytes, r.n_chars, r.linked) for r in QUERIES["op4_warc_derivatives"](spark, f"file://{tmp_path}").collect())
     assert found == [(1, len(text), 7 * 5_000_000 - 1, True), (2, 4, 1, True), (2, 4, 1, True)]
+
+
+def test_members_are_inflated_by_zlib(monkeypatch):
+    """Each record a member, or the whole file, with zeros between, large records and empty ones; not by Python's slow reader."""
+    records = [(b"WARC/1.0\r\nContent-Length: %d\r\n\r\n" % n, bytes(range(256)) * (n // 512) + b"x" * (n - n // 512 * 256)) for n in (0, 1, 5000, 3_000_000, 7)]
+    want = [block for _, block in records]
+    each, whole = [warc.member(h, b) for h, b in records], gzip.compress(b"".join(h + b + b"\r\n\r\n" for h, b in records))
+    monkeypatch.setattr(gzip, "GzipFile", None)
+    for data in (b"".join(each), warc.EMPTY.join(each), (b"\0" * 9).join(each), whole):
+        assert [b for _, b in warc.parse_warc(data)] == want
+    for data in (b"".join(each)[:-3], whole[: len(whole) // 2]):
+        with pytest.raises(EOFError):
+            list(warc.parse_warc(data))
+    with pytest.raises(zlib.error):
+        list(warc.parse_warc(b"".join(each)[:-6] + b"zz" + b"".join(each)[-4:]))

@@ -9,7 +9,6 @@ text inside can be taken for a border; a task holds one file's compressed bytes
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import re
@@ -29,6 +28,8 @@ FILE_BYTES = 16 << 20
 BATCH_ROWS, BATCH_BYTES = 200, 8 << 20
 #: The date of a response for which none is given: tables of pages have none, and WARC asks for one.
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes of a gzip file that are given to zlib at once, and the most that it gives for them.
+PIECE, MOST_OUT = 1 << 14, 1 << 20
 RECORD = "headers map<string,string>, block binary"
 #: Fixed value: the name space of record ids that are made from content.
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -151,8 +152,7 @@ def derive(sources: DataFrame) -> DataFrame:
 
 def member(head: bytes, block: bytes, level: int = 1) -> bytes:
     """A record, of its headers as they are written and its block, in a gzip member."""
-    out = zlib.compressobj(level, wbits=31)
-    return out.compress(head) + out.compress(block) + out.compress(b"\r\n\r\n") + out.flush()
+    return zlib.compress(b"".join((head, block, b"\r\n\r\n")), level, wbits=31)
 
 
 def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
@@ -182,9 +182,41 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> N
     files.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
+class Inflated(io.RawIOBase):
+    """A file of gzip members as one stream, a piece at a time; zeros may follow a member. Zlib takes what is most of a member, or
+    all, in one call, and checks its sum."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.member, self.ready = memoryview(data), 0, None, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into: memoryview) -> int:
+        while not self.ready:
+            if self.member is None:
+                while self.at < len(self.data) and not self.data[self.at]:
+                    self.at += 1
+                if self.at == len(self.data):
+                    return 0
+                self.member = zlib.decompressobj(31)
+            given = self.data[self.at : self.at + PIECE]
+            out = self.member.decompress(given, MOST_OUT)
+            self.at += len(given) - len(self.member.unused_data if self.member.eof else self.member.unconsumed_tail)
+            if self.member.eof:
+                self.member = None
+            elif not given and not out:
+                raise EOFError("a gzip member is cut off")
+            self.ready = memoryview(out)
+        n = min(len(into), len(self.ready))
+        into[:n] = self.ready[:n]
+        self.ready = self.ready[n:]
+        return n
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of a file, one at a time; gzip is told by its first bytes, whether the file or each record is a member."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    stream = Inflated(data) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     with io.BufferedReader(stream, 1 << 16) as lines:
         while line := lines.readline():
             if not line.startswith(b"WARC/"):
