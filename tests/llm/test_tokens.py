@@ -133,3 +133,15 @@ def test_token_files_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     found = QUERIES["op8_token_files"](spark, SF).collect()
     assert sorted(((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in found), key=lambda r: r[1]) == plain_files(rows)
+
+
+def test_token_files_encoder_remembers_its_words():
+    """Chunks beyond the first 100,000 are known too when they come again."""
+    from tickloom.llm.token_files import library_encoder
+    from tickloom.llm.vocabulary import default_path
+
+    encoder, asked = library_encoder.__wrapped__(default_path()), []
+    plain = encoder.encode
+    encoder.encode = lambda units: asked.append(len(units)) or plain(units)
+    units = [f" {i}" for i in range(120_000)]
+    assert encoder(units) == encoder(units) and asked == [120_000]

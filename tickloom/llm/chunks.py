@@ -42,10 +42,10 @@ def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Remembering:
-    """An encoder of units that remembers its first REMEMBERED results; frequent units come early."""
+    """An encoder of units that remembers its first results, ``most`` of them; frequent units come early."""
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[str]], list], most: int = REMEMBERED):
+        self.encode, self.most, self.known = encode, most, {}
 
     def __call__(self, units: list[str]) -> list:
         known = self.known
@@ -54,8 +54,8 @@ class Remembering:
             new = self.encode([units[i] for i in missing])
             for i, x in zip(missing, new, strict=True):
                 out[i] = x
-            if len(known) < REMEMBERED:
-                known.update((units[i], out[i]) for i in missing[: REMEMBERED - len(known)])
+            if len(known) < self.most:
+                known.update((units[i], out[i]) for i in missing[: self.most - len(known)])
         return out
 
 
@@ -72,7 +72,8 @@ class Pieces:
         starts = np.cumsum(counts) - counts
         first = np.zeros(len(codes), bool)
         first[starts] = True
-        odd = np.fromiter((not w or w[0].isspace() for w in self.rest), bool, len(self.rest))
+        heads = pc.utf8_slice_codeunits(words.dictionary, 0, 1).dictionary_encode()
+        odd = np.array([not c or c.isspace() for c in heads.dictionary.to_pylist()], bool)[heads.indices.to_numpy(zero_copy_only=False)]
         doc = np.repeat(np.arange(n), counts)
         slow = np.bincount(doc[odd[codes] & ~first], minlength=n) > 0
         for s in specials:

@@ -13,6 +13,7 @@ between checkpoints are decoded side by side, by one table look-up for each id.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,7 +33,8 @@ BLOCK_IDS = 1 << 18
 EVERY = 128
 #: Bytes of ids that a bucket should hold, the least of them for the sake of more tasks, and bytes of a document that order it.
 BUCKET_BYTES, LEAST_BYTES, ORDERED = 64 << 20, 2 << 20, 64
-REMEMBERED_WORDS = 200_000
+#: Pre-tokens, and chunks with their spaces and punctuation, that a worker remembers: some 100 bytes each.
+REMEMBERED_WORDS, REMEMBERED_CHUNKS = 500_000, 300_000
 BLOCK = "bucket int, start long, docs array<long>, lengths array<long>, bits binary, checkpoints binary"
 
 
@@ -43,22 +45,23 @@ def library_encoder(path: str) -> Remembering:
 
     vocab, tokenizer = vocabulary(path), Tokenizer.from_file(path)
     model, letters, known = tokenizer.model, dict(enumerate(byte_letters())), {}
+    words, get = vocab.words, known.get
 
     def units(units: list[str]) -> list[bytes]:
         out = []
         for u in units:
             ids = b""
-            for w in vocab.words(u):
-                x = known.get(w)
+            for w in words(u):
+                x = get(w)
                 if x is None:
-                    x = np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))], np.uint32).tobytes()
+                    x = array("I", [t.id for t in model.tokenize(w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(letters))]).tobytes()
                     if len(known) < REMEMBERED_WORDS:
                         known[w] = x
                 ids += x
             out.append(ids)
         return out
 
-    return Remembering(units)
+    return Remembering(units, REMEMBERED_CHUNKS)
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
